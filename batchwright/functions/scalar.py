@@ -74,18 +74,21 @@ def round_cents(x: Column) -> Column:
     would, ties to even (F10).
 
     Neither `round` nor `bround` does that: both go through the shortest decimal text.
-    Here x is split into two halves of 26 bits whose products with 100 are exact, so the
-    comparison with the midpoint is exact as well. Holds for 0 <= x < 2**43.
+    Here x is split into two halves of 26 bits. Their products with 100 are exact, and so
+    are the whole and fractional parts of those. The fractions are never added as such:
+    only signs of sums are taken, and a floating-point sum has the right sign. Holds for
+    0 <= x < 2**43.
     """
     scaled = x * F.lit(134217729.0)
     high = scaled - (scaled - x)
-    low = x - high
-    hundreds = high * 100.0
-    floor = F.floor(hundreds)
-    beyond = (hundreds - floor.cast("double") - 0.5) + low * 100.0
-    cents = (
-        F.when(beyond > 0, floor + 1).when(beyond < 0, floor).otherwise(floor + F.pmod(floor, F.lit(2)))
-    )
+    low = (x - high) * 100.0
+    high = high * 100.0
+    whole_high, whole_low = F.floor(high), F.floor(low)
+    part_high, part_low = high - whole_high.cast("double"), low - whole_low.cast("double")
+    carry = ((part_high - 1.0) + part_low >= 0).cast("int")
+    floor = whole_high + whole_low + carry
+    beyond = (part_high - 0.5 - carry.cast("double")) + part_low
+    cents = F.when(beyond > 0, floor + 1).when(beyond < 0, floor).otherwise(floor + F.pmod(floor, F.lit(2)))
     return cents.cast("double") / 100.0
 
 

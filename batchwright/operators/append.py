@@ -6,28 +6,34 @@ the table) and before any file is written, so a rejected batch leaves the table
 was. One writer per table at a time is assumed.
 
 Cost of an append to a table far larger than the batch: one aggregation over the batch
-finds its row count, null keys and key ranges without an exchange; the ranges become
-filters on the table scan, so row groups and partitions outside them are skipped; of the
-rest only key columns are read, and only keys that the batch holds leave the scan stage
-when the batch's keys are small enough for Spark to broadcast.
+finds its row count, null keys, key bytes and key ranges without an exchange; the ranges
+become filters on the table scan, so row groups and partitions outside them are skipped;
+of the rest only key columns are read; and when the keys of the batch, as just measured,
+fit a broadcast, the table is not shuffled.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from batchwright import storage
 from batchwright.errors import EmptyInput, InvalidData, KeyConflict
-from batchwright.operators.binding import bind
+from batchwright.operators.binding import bind, converted_columns
 from batchwright.operators.duplicates import dedupe_first, duplicate_summary
-from batchwright.operators.joins import rows_with_keys, rows_without_keys
 from batchwright.schema import TableSchema, get_schema, read_table
 
+# Keys of a batch up to this size, as measured, are broadcast; larger ones are shuffled.
+BROADCAST_KEY_BYTES = 64 * 1024 * 1024
+
 
 @dataclass(frozen=True)
 class AppendResult:
@@ -46,14 +52,23 @@ class AppendResult:
         return spark.createDataFrame([(self.success, self.records_processed, self.inserted, self.skipped)], columns)
 
 
-def key_profile(df: DataFrame, keys: Sequence[str]) -> Row:
-    """Rows, rows with a null key part, and the range of each key column: one row per
-    task reaches the final aggregate."""
-    null_key = F.lit(False)
-    for k in keys:
-        null_key = null_key | F.col(f"`{k}`").isNull()
-    bounds = [f(F.col(f"`{k}`")).alias(f"{name}_{i}") for i, k in enumerate(keys) for name, f in (("lo", F.min), ("hi", F.max))]
-    return df.agg(F.count("*").alias("rows"), F.count_if(null_key).alias("null_keys"), *bounds).first()
+def key_profile(df: DataFrame, keys: Sequence[str], converted: Sequence[str] = ()) -> Row:
+    """Rows, rows with a null key part, bytes of all keys, and the range of each key
+    column: one row per task reaches the final aggregate. Counting the values of the
+    `converted` columns makes every cast of the batch run here, ahead of any write."""
+    null_key, width, bounds = F.lit(False), F.lit(0), []
+    for i, k in enumerate(keys):
+        column = F.col(f"`{k}`")
+        null_key = null_key | column.isNull()
+        width = width + (F.octet_length(column) + 16 if df.schema[k].dataType == T.StringType() else F.lit(16))
+        bounds += [F.min(column).alias(f"lo_{i}"), F.max(column).alias(f"hi_{i}")]
+    return df.agg(
+        F.count("*").alias("rows"),
+        F.count_if(null_key).alias("null_keys"),
+        F.coalesce(F.sum(width), F.lit(0)).alias("key_bytes"),
+        *bounds,
+        *[F.count(f"`{c}`").alias(f"values_{i}") for i, c in enumerate(converted)],
+    ).first()
 
 
 def within_profile(target: DataFrame, keys: Sequence[str], profile: Row) -> DataFrame:
@@ -66,6 +81,10 @@ def within_profile(target: DataFrame, keys: Sequence[str], profile: Row) -> Data
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
+    try:
+        return storage.exists(path)
+    except (OSError, pa.ArrowException):  # storage that only Spark can reach
+        pass
     try:
         spark.read.format("binaryFile").load(path)
         return True
@@ -81,14 +100,22 @@ def _existing(spark: SparkSession, schema: TableSchema, path: str) -> DataFrame:
     return spark.createDataFrame([], schema.to_struct())
 
 
-def key_conflicts(batch: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
+def shared_keys(batch: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys of the table that the batch holds too, for a batch whose keys are known to
+    fit a broadcast: they travel to the table's scan and the table is not shuffled."""
+    columns = [f"`{k}`" for k in keys]
+    return target.select(*columns).join(F.broadcast(batch.select(*columns).distinct()), list(keys), "left_semi")
+
+
+def key_conflicts(batch: DataFrame, target: DataFrame, keys: Sequence[str], broadcast: bool = False) -> DataFrame:
     """Keys of the batch that break the primary key, with the number of rows that hold
     them on either side (A7 and J2 together).
 
     Both sides are counted by key in one exchange, after a map-side aggregation.
     """
     columns = [f"`{k}`" for k in keys]
-    sides = batch.select(*columns, F.lit(1).alias("__new")).unionAll(target.select(*columns, F.lit(0).alias("__new")))
+    held = shared_keys(batch, target, keys) if broadcast else target.select(*columns)
+    sides = batch.select(*columns, F.lit(1).alias("__new")).unionAll(held.select(*columns, F.lit(0).alias("__new")))
     counted = sides.groupBy(*columns).agg(
         F.sum("__new").alias("rows_in_batch"), F.sum(1 - F.col("__new")).alias("rows_in_table")
     )
@@ -96,16 +123,22 @@ def key_conflicts(batch: DataFrame, target: DataFrame, keys: Sequence[str]) -> D
 
 
 def surviving_rows(
-    batch: DataFrame, target: DataFrame, keys: Sequence[str], order: Sequence
+    batch: DataFrame, target: DataFrame, keys: Sequence[str], order: Sequence, broadcast: bool = False
 ) -> DataFrame:
     """First row per key of the batch, without the keys the table already holds.
 
-    The table is first reduced to the keys that the batch shares with it. A small batch
-    is broadcast to the table's scan for that, so the table itself is not shuffled.
+    Small batch: the keys it shares with the table, which are no more than it has, are
+    found without a shuffle of the table and taken out before the batch is deduplicated.
+
+    Large batch: it is deduplicated first, which leaves one row of any hot key, and then
+    merged with the table's keys, which are unique as well; the deduplication has already
+    partitioned the batch for that join.
     """
-    columns = [f"`{k}`" for k in keys]
-    taken = rows_with_keys(target.select(*columns), batch.select(*columns), keys)
-    return dedupe_first(rows_without_keys(batch, taken, keys), keys, order)
+    if broadcast:
+        fresh = batch.join(F.broadcast(shared_keys(batch, target, keys)), list(keys), "left_anti")
+        return dedupe_first(fresh, keys, order)
+    first = dedupe_first(batch, keys, order)
+    return first.join(target.select(*[f"`{k}`" for k in keys]), list(keys), "left_anti")
 
 
 def bulk_append(
@@ -139,11 +172,12 @@ def bulk_append(
     keys = list(schema.primary_key)
     carried = [ordinal] if ordinal else []
     batch = bind(df, schema, bind_by, carried)
-    if not deterministic:
-        batch = storage.materialize(batch, "batch")
+    converted = converted_columns(df, schema, bind_by, carried)
     try:
-        profile = key_profile(batch, keys)
-    except PySparkException as e:
+        if not deterministic:
+            batch = storage.materialize(batch, "batch")
+        profile = key_profile(batch, keys, converted)
+    except (PySparkException, Py4JJavaError) as e:
         raise _as_invalid(e) from e
     if profile["rows"] == 0:
         raise EmptyInput("batch holds no records")
@@ -153,29 +187,25 @@ def bulk_append(
     rows = batch
     if keys:
         target = within_profile(_existing(spark, schema, path), keys, profile)
+        small = profile["key_bytes"] <= BROADCAST_KEY_BYTES
         if on_conflict == "error":
-            offender = key_conflicts(batch, target, keys).first()
+            offender = key_conflicts(batch, target, keys, small).first()
             if offender:
                 raise KeyConflict(f"duplicate key {({k: offender[k] for k in keys})}")
         else:
-            rows = surviving_rows(batch, target, keys, [f"`{n}`" for n in carried + schema.names])
+            rows = surviving_rows(batch, target, keys, [f"`{n}`" for n in carried + schema.names], small)
 
     counted = Observation()
     out = rows.select(*schema.names).observe(counted, F.count("*").alias("rows"))
-    try:
-        out.write.mode("append").partitionBy(*partition_by).parquet(path)
-    except PySparkException as e:
-        raise _as_invalid(e) from e
+    out.write.mode("append").partitionBy(*partition_by).parquet(path)
     inserted = counted.get["rows"]
     return AppendResult(True, profile["rows"], inserted, profile["rows"] - inserted)
 
 
-def _as_invalid(e: PySparkException) -> Exception:
+def _as_invalid(e: Exception) -> Exception:
     """Conversion failures raised inside tasks are data errors; the rest stays as it is."""
-    condition = e.getCondition() or ""
-    if condition.startswith(("USER_RAISED_EXCEPTION", "CAST_INVALID_INPUT", "INVALID_VARIANT_CAST")):
-        return InvalidData(str(e).split("\n")[0])
-    return e
+    found = re.search(r"column '[^\n]*cannot convert to [^\n]*", str(e))
+    return InvalidData(found.group(0)) if found else e
 
 
 def reconcile(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -73,3 +73,11 @@ def bind(df: DataFrame, schema: TableSchema, how: str = "position", keep: Sequen
             value = F.lit(None).cast(target.dataType)
         columns.append(value.alias(target.name))
     return df.select(*columns, *[F.col(f"__keep_{i}").alias(c) for i, c in enumerate(keep)])
+
+
+def converted_columns(df: DataFrame, schema: TableSchema, how: str, keep: Sequence[str] = ()) -> list[str]:
+    """Table columns that `bind` has to cast for this batch."""
+    data = [f for f in df.schema if f.name not in keep]
+    names = schema.names if how == "position" else [f.name for f in data]
+    have = {n: f.dataType for n, f in zip(names, data)}
+    return [t.name for t in schema.to_struct() if t.name in have and have[t.name] != t.dataType]

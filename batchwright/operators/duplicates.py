@@ -41,6 +41,8 @@ def dedupe_first(df: DataFrame, keys: Sequence[str] | None, order: Sequence[str
     if not order:
         raise InvalidData("keep-first needs an order: an input position or the columns that define it")
     names = resolve_keys(df, keys)
+    # Within a key the key columns are constant, so they need no sorting.
+    order = [o for o in order if not isinstance(o, str) or o.strip("`") not in names] or [F.lit(0)]
     window = Window.partitionBy(*[f"`{k}`" for k in names]).orderBy(*order)
     return df.withColumn("__rank", F.row_number().over(window)).filter("__rank = 1").drop("__rank")
 

@@ -166,6 +166,10 @@ class IpcReader(DataSourceReader):
                     yield pa.RecordBatch.from_arrays(arrays, schema=self.target)
 
 
+def staging_folder(path: str, job: str) -> str:
+    return f"{path.rstrip('/')}/_temporary-{job}"
+
+
 @dataclass
 class Written(WriterCommitMessage):
     """Files of one task: (temporary path, final path, rows, batches, bytes)."""
@@ -181,8 +185,8 @@ class IpcWriter(DataSourceArrowWriter):
         self.target_bytes = int(options.get("targetbytes", TARGET_BYTES))
         self.rows_per_batch = int(options.get("rowsperbatch", ROWS_PER_BATCH))
         self.overwrite = overwrite
-        self.job = options.get("job") or uuid.uuid4().hex
-        self.staging = f"{self.path}/_temporary-{self.job}"
+        self.job = options["job"]
+        self.staging = staging_folder(self.path, self.job)
 
     def _chunks(self, iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Regroup Spark's batches into batches of `rows_per_batch`."""
@@ -203,7 +207,6 @@ class IpcWriter(DataSourceArrowWriter):
     def _new_file(self):
         name = f"part-{uuid.uuid4().hex}.{'arrow' if self.layout == 'file' else 'arrows'}"
         fs, staging = filesystem(f"{self.staging}/{name}")
-        fs.create_dir(staging.rsplit("/", 1)[0], recursive=True)
         return f"{self.staging}/{name}", f"{self.path}/{name}", fs.open_output_stream(staging)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
@@ -304,9 +307,13 @@ def write_arrow(
     spark = df.sparkSession
     spark.dataSource.register(ArrowIpcSource)
     job = uuid.uuid4().hex
+    # Made here and not by the tasks, so that a task which outlives a failed job cannot
+    # bring the folder back.
+    fs, staging = filesystem(staging_folder(path, job))
+    fs.create_dir(staging, recursive=True)
     writer = df.write.format(FORMAT).mode(mode).option("layout", layout).option("job", job)
     writer.option("targetBytes", target_bytes).option("rowsPerBatch", rows_per_batch).save(path)
-    fs, manifest = filesystem(f"{path.rstrip('/')}/_manifest-{job}.json")
+    manifest = filesystem(f"{path.rstrip('/')}/_manifest-{job}.json")[1]
     with fs.open_input_stream(manifest) as source:
         rows = [json.loads(line) for line in source.read().splitlines()]
     return spark.createDataFrame(rows, "path string, rows bigint, batches bigint, bytes bigint")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructType, TimestampNTZType
 
 from batchwright import storage
 from batchwright.operators.append import bulk_append
@@ -55,7 +56,12 @@ def stream_dedupe(
     watermark has passed; without them it grows with the number of keys, which suits
     bounded input only."""
     if event_time and delay:
-        return sdf.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
+        # A watermark needs a timestamp with a zone; a zone-less one is cast for it.
+        clock = F.col(event_time)
+        if isinstance(sdf.schema[event_time].dataType, TimestampNTZType):
+            clock = clock.cast("timestamp")
+        timed = sdf.withColumn("__clock", clock).withWatermark("__clock", delay)
+        return timed.dropDuplicatesWithinWatermark(list(keys)).drop("__clock")
     return sdf.dropDuplicates(list(keys))
 
 

@@ -1,0 +1,74 @@
+"""Shapes of physical plans, and every query against its SQL."""
+
+import os
+import sys
+
+import pytest
+from conftest import plan
+from pyspark.sql import functions as F
+
+sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "scripts"))
+
+import __spark_entry__ as entry
+from batchwright.operators import duplicates as D
+from batchwright.operators import query as Q
+
+duckdb = pytest.importorskip("duckdb")
+from check_oracle import TABLES, canonical  # noqa: E402
+
+
+@pytest.fixture(scope="module")
+def oracle():
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(entry.queries()))
+def test_query_matches_its_sql(spark, sf, oracle, name):
+    df = entry.queries()[name](spark, sf)
+    text = plan(df)
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+    relation = oracle.execute(entry.oracle_sql()[name])
+    columns = [d[0] for d in relation.description]
+    assert sorted(df.columns) == sorted(columns)
+    assert canonical(df.collect(), df.columns) == canonical(relation.fetchall(), columns)
+
+
+def test_every_query_has_sql():
+    assert set(entry.queries()) == set(entry.oracle_sql())
+
+
+def test_entry(spark):
+    assert entry.entry(spark).count() == 4599
+
+
+def test_A4_filters_and_columns_reach_the_scan(spark, sf, setting):
+    setting("spark.sql.maxMetadataStringLength", "1000")
+    text = plan(entry.queries()["sum_product_filtered"](spark, sf))
+    for part in ("GreaterThanOrEqual(l_shipdate", "LessThan(l_shipdate", "LessThan(l_quantity", "GreaterThanOrEqual(l_discount"):
+        assert part in text
+    assert "ReadSchema: struct<l_quantity:double,l_extendedprice:double,l_discount:double,l_shipdate:timestamp_ntz>" in text
+
+
+def test_A3_two_columns_are_read(spark, sf):
+    assert "ReadSchema: struct<l_extendedprice:double,l_discount:double>" in plan(entry.queries()["sum_product"](spark, sf))
+
+
+@pytest.mark.parametrize("name", ["top_k", "page", "page_after", "first_match"])
+def test_L2_L4_top_k_without_a_sort(spark, sf, name):
+    text = plan(entry.queries()[name](spark, sf))
+    assert "TakeOrderedAndProject" in text and "Exchange" not in text
+
+
+def test_D5_only_keys_are_read_and_one_exchange_of_keys(table):
+    text = plan(D.duplicate_summary(table("lineitem"), ["l_orderkey", "l_linenumber"]))
+    assert "ReadSchema: struct<l_orderkey:bigint,l_linenumber:int>" in text
+    assert text.count("Exchange hashpartitioning") == 1
+
+
+def test_partition_filter(spark, table, tmp_path):
+    table("orders").withColumn("y", F.year("o_orderdate")).write.partitionBy("y").parquet(str(tmp_path / "o"))
+    text = plan(Q.where_all(spark.read.parquet(str(tmp_path / "o")), F.col("y") > 1998))
+    assert "PartitionFilters: [isnotnull(y" in text
