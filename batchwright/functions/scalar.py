@@ -41,7 +41,8 @@ def tagged(prefix: str, value: Column) -> Column:
 
 def tagged_padded(prefix: str, value: Column, width: int) -> Column:
     """As `tagged`, zero-padded; longer numbers are kept whole, which lpad does not do."""
-    return F.format_string(f"{prefix}%0{width}d", value)
+    text = value.cast("string")
+    return F.concat(F.lit(prefix), F.when(F.length(text) < width, F.lpad(text, width, F.lit("0"))).otherwise(text))
 
 
 def plus_seconds(start: Column, seconds: Column) -> Column:
@@ -94,7 +95,7 @@ def round_cents(x: Column) -> Column:
 
 def json_payload(value: Column) -> Column:
     """JSON text with one space after the colon, which to_json leaves out."""
-    return F.format_string('{"test": "data_%d"}', value)
+    return F.concat(F.lit('{"test": "data_'), value.cast("string"), F.lit('"}'))
 
 
 def hash_int(seed: int, key: Column, stream: str, low: int, high: int) -> Column:

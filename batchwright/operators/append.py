@@ -30,6 +30,7 @@ from batchwright.errors import EmptyInput, InvalidData, KeyConflict
 from batchwright.operators.binding import bind, converted_columns
 from batchwright.operators.duplicates import dedupe_first, duplicate_summary
 from batchwright.schema import TableSchema, get_schema, read_table
+from batchwright.sinks.files import clustered
 
 # Keys of a batch up to this size, as measured, are broadcast; larger ones are shuffled.
 BROADCAST_KEY_BYTES = 64 * 1024 * 1024
@@ -196,7 +197,7 @@ def bulk_append(
             rows = surviving_rows(batch, target, keys, [f"`{n}`" for n in carried + schema.names], small)
 
     counted = Observation()
-    out = rows.select(*schema.names).observe(counted, F.count("*").alias("rows"))
+    out = clustered(rows.select(*schema.names), partition_by).observe(counted, F.count("*").alias("rows"))
     out.write.mode("append").partitionBy(*partition_by).parquet(path)
     inserted = counted.get["rows"]
     return AppendResult(True, profile["rows"], inserted, profile["rows"] - inserted)

@@ -70,14 +70,27 @@ def row_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("row_count"))
 
 
-def exact_sum(value: Column, scale: int) -> Column:
-    """Sum that does not depend on the order of the rows: values are decimals of `scale`."""
-    return F.sum(value.cast(f"decimal(18,{scale})"))
+def fixed_point(value: Column, scale: int) -> Column:
+    """Value times 10^scale as a whole number, for values that have no more digits."""
+    return F.rint(value * float(10**scale)).cast("bigint")
+
+
+def exact_sum(value: Column, scale: int, whole: Column | None = None) -> Column:
+    """Sum as a double that does not depend on the order of the rows.
+
+    The values (or `whole`, already multiplied by 10^scale) are added as integers, which
+    costs no more than adding doubles. High and low bits are added apart and joined at
+    the end, so that the sums do not overflow however many rows there are.
+    """
+    whole = fixed_point(value, scale) if whole is None else whole
+    high = F.sum(F.shiftright(whole, 20)).cast("decimal(28,0)")
+    low = F.sum(whole.bitwiseAND(F.lit((1 << 20) - 1)))
+    return (high * F.lit(1 << 20) + low).cast("double") / float(10**scale)
 
 
 def exact_mean(value: Column, scale: int) -> Column:
     """Mean of such values, as the exact sum over the count."""
-    return exact_sum(value, scale).cast("double") / F.count(value)
+    return exact_sum(value, scale) / F.count(value)
 
 
 def sum_of(df: DataFrame, value: Column, name: str, where: Column | None = None) -> DataFrame:
@@ -89,11 +102,13 @@ def sum_of_product(
     df: DataFrame, a: str, b: str, name: str, where: Column | None = None, scale: int | None = None
 ) -> DataFrame:
     """One row: sum(a * b) over the rows that match (A3, A4). With `scale` both factors
-    are taken as decimals, and the sum is exact in any order."""
+    have that many digits at most, and the sum is exact in any order."""
     left, right = F.col(f"`{a}`"), F.col(f"`{b}`")
-    if scale is not None:
-        left, right = (c.cast(f"decimal(12,{scale})") for c in (left, right))
-    return where_all(df, where).agg(F.sum(left * right).cast("double").alias(name))
+    if scale is None:
+        total = F.sum(left * right)
+    else:
+        total = exact_sum(left, 2 * scale, fixed_point(left, scale) * fixed_point(right, scale))
+    return where_all(df, where).agg(total.alias(name))
 
 
 def group_means(df: DataFrame, by: str, means: dict[str, Column], where: Column | None = None) -> DataFrame:
@@ -116,7 +131,7 @@ def group_summary(
     if scale is None:
         mean, total = F.avg(v), F.sum(v)
     else:
-        mean, total = exact_mean(v, scale), exact_sum(v, scale).cast("double")
+        mean, total = exact_mean(v, scale), exact_sum(v, scale)
     return chosen.groupBy(f"`{by}`").agg(
         mean.alias("average_value"), total.alias("total_value"), F.count("*").alias("record_count")
     )

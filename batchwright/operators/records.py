@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -43,20 +44,25 @@ WELL_RULES = (
 )
 
 
-def pick(record: Column, rule: Rule) -> Column:
+def _with_fields(df: DataFrame, names: Sequence[str], record: str) -> tuple[DataFrame, dict[str, Column]]:
+    """Take each field out of the record once, as a column that later steps share."""
+    columns = {n: f"__field_{i}" for i, n in enumerate(dict.fromkeys(names))}
+    wide = df.select("*", *[field(F.col(record), n).alias(c) for n, c in columns.items()])
+    return wide, {n: F.col(c) for n, c in columns.items()}
+
+
+def pick(fields: dict[str, Column], rule: Rule) -> Column:
     """First name that is present wins, with an explicit null staying null; the default
     applies only when every name is absent."""
-    result = F.lit(rule.default).cast(rule.type)
-    for name in reversed(rule.names):
-        value = field(record, name)
-        result = F.when(value.isNotNull(), typed(value, rule.type)).otherwise(result)
-    return result
+    chosen = F.coalesce(*[fields[n] for n in rule.names])
+    return F.when(chosen.isNotNull(), typed(chosen, rule.type)).otherwise(F.lit(rule.default).cast(rule.type))
 
 
 def normalize(df: DataFrame, rules: tuple[Rule, ...] = WELL_RULES, record: str = "record") -> DataFrame:
     """Records to canonical columns; the other columns of `df` are kept in front."""
     kept = [f"`{c}`" for c in df.columns if c != record]
-    return df.select(*kept, *[pick(F.col(record), r).alias(r.column) for r in rules])
+    wide, fields = _with_fields(df, [n for r in rules for n in r.names], record)
+    return wide.select(*kept, *[pick(fields, r).alias(r.column) for r in rules])
 
 
 # Names used in type messages, by type family.
@@ -88,8 +94,8 @@ def type_family(value: Column) -> Column:
     return F.regexp_extract(F.schema_of_variant(value), r"^[A-Z]+", 0)
 
 
-def record_error(record: Column, schema: TableSchema) -> Column:
-    """The one message a record is rejected with, or null.
+def _with_error(df: DataFrame, schema: TableSchema, record: str, error: str) -> DataFrame:
+    """Add the one message a record is rejected with, or null.
 
     Required keys that are absent are reported first, all in one message. Otherwise the
     first present field of a wrong type is reported; null has no type that fits.
@@ -97,20 +103,20 @@ def record_error(record: Column, schema: TableSchema) -> Column:
     unknown = [p.type for p in schema.properties if p.type not in ACCEPTED]
     if unknown:
         raise SchemaValidation(f"schema '{schema.name}' declares unknown types {unknown}")
+    wide, fields = _with_fields(df, schema.names, record)
+    families = {p.name: f"__family_{i}" for i, p in enumerate(schema.properties)}
+    wide = wide.select(*df.columns, *[type_family(fields[n]).alias(c) for n, c in families.items()])
+
     required = [p.name for p in schema.properties if p.required]
-    absent = F.array_compact(F.array(*[F.when(field(record, n).isNull(), F.lit(n)) for n in required]))
-    missing = F.when(
-        F.size(absent) > 0, F.concat(F.lit("Missing required fields: "), F.array_join(absent, ", "))
-    )
+    absent = F.concat_ws(", ", *[F.when(F.col(families[n]).isNull(), F.lit(n)) for n in required])
+    messages = [F.when(absent != "", F.concat(F.lit("Missing required fields: "), absent))]
     names = F.create_map(*[F.lit(x) for pair in TYPE_NAMES.items() for x in pair])
-    mistyped = []
     for p in schema.properties:
-        value = field(record, p.name)
-        family = type_family(value)
+        family = F.col(families[p.name])
         shown = F.coalesce(names[family], F.lower(family))
         message = F.concat(F.lit(f"Field '{p.name}' expected {p.type}, got "), shown)
-        mistyped.append(F.when(value.isNotNull() & ~family.isin(*ACCEPTED[p.type]), message))
-    return F.coalesce(*([missing] if required else []), *mistyped)
+        messages.append(F.when(~family.isin(*ACCEPTED[p.type]), message))
+    return wide.select(*[f"`{c}`" for c in df.columns], F.coalesce(*messages).alias(error))
 
 
 def validate(
@@ -123,17 +129,16 @@ def validate(
     bad    keep the rejected records with their `error`
     raise  fail the job at the first rejected record
     """
-    message = record_error(F.col(record), schema)
-    if mode == "raise":
-        checked = F.when(message.isNotNull(), F.raise_error(message)).otherwise(F.col(record))
-        return df.withColumn(record, checked)
-    marked = df.withColumn(error, message)
+    marked = _with_error(df, schema, record, error)
     if mode == "mark":
         return marked
     if mode == "bad":
         return marked.filter(F.col(error).isNotNull())
     if mode == "good":
         return marked.filter(F.col(error).isNull()).drop(error)
+    if mode == "raise":
+        checked = F.when(F.col(error).isNotNull(), F.raise_error(F.col(error))).otherwise(F.col(record))
+        return marked.withColumn(record, checked).drop(error)
     raise InvalidData(f"unknown validation mode '{mode}'")
 
 

@@ -64,7 +64,7 @@ def group_means(spark, sf_dir):
     )
     means = {
         "quantity": F.floor("l_quantity"),
-        "price_cents": F.round(F.col("l_extendedprice") * 100).cast("bigint"),
+        "price_cents": Q.fixed_point(F.col("l_extendedprice"), 2),
         "unit_price_micros": F.floor(Q.mean_ratio("l_extendedprice", "l_quantity") * 1_000_000),
     }
     return Q.group_means(table(spark, sf_dir, "lineitem"), "l_linenumber", means, where)

@@ -117,7 +117,7 @@ def local_to_table(spark, sf_dir):
     # five literal rows
     joined = orders.join(F.broadcast(ranks), F.col("o_orderpriority") == F.col("name"))
     return joined.groupBy("origin", "rank").agg(
-        F.count("*").alias("orders"), Q.exact_sum(F.col("o_totalprice"), 2).cast("double").alias("total")
+        F.count("*").alias("orders"), Q.exact_sum(F.col("o_totalprice"), 2).alias("total")
     )
 
 
@@ -131,7 +131,7 @@ def partitioned_scan(spark, sf_dir):
     source = table(spark, sf_dir, "lineitem")
     shipped = source.withColumns({"year": F.year("l_shipdate"), "month": F.month("l_shipdate")})
     path = scratch_path(spark, "partitioned")
-    write_parquet(shipped.repartition("year", "month"), path, partition_by=["year", "month"])
+    write_parquet(shipped, path, partition_by=["year", "month"])
     scan = read_partitioned(spark, path, ["year", "month"], where="year > 1998")
     wanted = Q.where_all(scan, F.col("l_extendedprice") > 100)
     return wanted.select("l_orderkey", "l_extendedprice", "year", "month")

@@ -31,7 +31,7 @@ def sql_by_name(spark, sf_dir):
     methods = (
         customer.filter("c_acctbal > 0")
         .groupBy("c_mktsegment")
-        .agg(F.count("*").alias("n"), Q.exact_sum(F.col("c_acctbal"), 2).cast("double").alias("total"))
+        .agg(F.count("*").alias("n"), Q.exact_sum(F.col("c_acctbal"), 2).alias("total"))
         .select(F.lit("methods").alias("how"), "c_mktsegment", "n", "total")
     )
     return Q.bag_union(view, parameter, methods)

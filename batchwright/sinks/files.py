@@ -14,6 +14,13 @@ from batchwright.errors import InvalidData
 from batchwright.functions.scalar import iso_text
 
 
+def clustered(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """Bring the rows of a directory together before a partitioned write, so that not
+    every task writes a file into every directory. Rebalancing splits a directory that
+    holds most of the rows between several tasks."""
+    return df.hint("rebalance", *[F.col(f"`{c}`") for c in partition_by]) if partition_by else df
+
+
 def write_parquet(
     df: DataFrame,
     path: str,
@@ -23,7 +30,7 @@ def write_parquet(
     partition_by: Sequence[str] = (),
 ) -> None:
     """Parquet with the session's codec, or with `codec` and, for zstd, `level`."""
-    writer = df.write.mode(mode).partitionBy(*partition_by)
+    writer = clustered(df, partition_by).write.mode(mode).partitionBy(*partition_by)
     if codec:
         writer = writer.option("compression", codec)
     if level is not None:
