@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 __all__ = [
+    "literal",
     "remainder",
     "tagged",
     "tagged_padded",
@@ -29,6 +32,14 @@ __all__ = [
 ISO_PATTERN = "yyyy-MM-dd'T'HH:mm:ss'+00:00'"
 
 
+def literal(value) -> Column:
+    """Literal column; a datetime without a zone becomes a zone-less timestamp, whereas
+    `lit` would read it in the time zone of the driver's machine."""
+    if isinstance(value, dt.datetime) and value.tzinfo is None:
+        return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+    return F.lit(value)
+
+
 def remainder(value: Column, n: int) -> Column:
     """Non-negative integer remainder (F1)."""
     return F.pmod(value, F.lit(n).cast("bigint"))

@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from batchwright import storage
 from batchwright.errors import EmptyInput, InvalidData, KeyConflict
+from batchwright.functions.scalar import literal
 from batchwright.operators.binding import bind, converted_columns
 from batchwright.operators.duplicates import dedupe_first, duplicate_summary
 from batchwright.schema import TableSchema, get_schema, read_table
@@ -77,7 +78,7 @@ def within_profile(target: DataFrame, keys: Sequence[str], profile: Row) -> Data
     for i, k in enumerate(keys):
         low, high = profile[f"lo_{i}"], profile[f"hi_{i}"]
         if low is not None:
-            target = target.filter(F.col(f"`{k}`").between(F.lit(low), F.lit(high)))
+            target = target.filter(F.col(f"`{k}`").between(literal(low), literal(high)))
     return target
 
 

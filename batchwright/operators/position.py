@@ -11,15 +11,18 @@ from batchwright.storage import checkpoint
 
 
 def with_row_position(df: DataFrame, order: Sequence[str], name: str = "position") -> DataFrame:
-    """Add the 0-based position of each row in `order`, which should be a unique key.
+    """Add the 0-based position of each row in `order`; rows that tie keep their input order.
 
     A window over the whole frame would sort it in one task. Here the rows are sorted in
     range partitions and checkpointed, which fixes the partitions; a row's position is
     its rank in its partition plus the sizes of the partitions before. Only one count
     per partition is brought together.
     """
-    columns = [F.col(f"`{o}`") for o in order]
-    ranged = checkpoint(df.repartitionByRange(*columns).sortWithinPartitions(*columns))
+    # The input position makes every sort key distinct, so that a value shared by many
+    # rows is spread over as many ranges as it needs.
+    columns = [*[F.col(f"`{o}`") for o in order], F.col("__input")]
+    tagged = df.withColumn("__input", F.monotonically_increasing_id())
+    ranged = checkpoint(tagged.repartitionByRange(*columns).sortWithinPartitions(*columns).drop("__input"))
     numbered = ranged.withColumn("__id", F.monotonically_increasing_id())
     part = F.shiftright("__id", 33)
     sizes = numbered.groupBy(part.alias("__part")).agg(F.count("*").alias("__size"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from batchwright.errors import InvalidData, RecordNotFound
-from batchwright.functions.scalar import ratio
+from batchwright.functions.scalar import literal, ratio
 from batchwright.operators.position import with_row_position
 
 SHALLOW_ROWS = 10_000
@@ -32,7 +32,7 @@ def query(spark: SparkSession, sql: str, **frames: DataFrame) -> DataFrame:
 
 def point_lookup(df: DataFrame, column: str, value) -> DataFrame:
     """Rows with one value of a column."""
-    return df.filter(F.col(f"`{column}`") == F.lit(value))
+    return df.filter(F.col(f"`{column}`") == literal(value))
 
 
 def first_match(df: DataFrame, column: str, value, order: Sequence[str | Column], must_exist: bool = False) -> DataFrame:
@@ -48,9 +48,9 @@ def in_range(column: str, low=None, high=None, high_open: bool = False) -> Colum
     c = F.col(f"`{column}`")
     parts = []
     if low is not None:
-        parts.append(c >= F.lit(low))
+        parts.append(c >= literal(low))
     if high is not None:
-        parts.append(c < F.lit(high) if high_open else c <= F.lit(high))
+        parts.append(c < literal(high) if high_open else c <= literal(high))
     return reduce(Column.__and__, parts, F.lit(True))
 
 
@@ -126,7 +126,7 @@ def group_summary(
     df: DataFrame, by: str, value: str, only: object | None = None, scale: int | None = None
 ) -> DataFrame:
     """Mean, total and count per category, optionally of one category only."""
-    chosen = where_all(df, None if only is None else F.col(f"`{by}`") == F.lit(only))
+    chosen = where_all(df, None if only is None else F.col(f"`{by}`") == literal(only))
     v = F.col(f"`{value}`")
     if scale is None:
         mean, total = F.avg(v), F.sum(v)
@@ -163,7 +163,7 @@ def page(df: DataFrame, order: Sequence[str], skip: int, limit: int) -> DataFram
 def page_after(df: DataFrame, key: str, last: object | None, limit: int) -> DataFrame:
     """Next page by a unique key: the rows after the last one seen. Costs the same at any
     depth, as the filter reaches the scan (L4)."""
-    after = None if last is None else F.col(f"`{key}`") > F.lit(last)
+    after = None if last is None else F.col(f"`{key}`") > literal(last)
     return where_all(df, after).orderBy(f"`{key}`").limit(limit)
 
 

@@ -7,10 +7,9 @@ from collections.abc import Sequence
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchwright import storage
 from batchwright.errors import DatasetNotFound, InvalidData, ReadFailed
 from batchwright.sources.arrow_ipc import read_arrow
 
@@ -60,26 +59,34 @@ def with_row_position(df: DataFrame, name: str = "ordinal") -> DataFrame:
     )
 
 
+def _without_scheme(uri: str) -> str:
+    return re.sub(r"^[A-Za-z0-9+.-]+:(//[^/]*)?", "", uri).rstrip("/")
+
+
+def _path_values(file: Column, path: str, names: Sequence[str]) -> list[Column]:
+    """Partition values out of a file's uri, from `2015/01` as well as `year=2015/month=01`."""
+    below = re.escape(_without_scheme(path)) + r"/(?:[^/=]+=)?(-?\d+)" * len(names) + "/[^/]"
+    return [F.nullif(F.regexp_extract(file, below, i + 1), F.lit("")).cast("bigint").alias(n) for i, n in enumerate(names)]
+
+
 def partition_directories(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
-    """One row per leaf directory: its uri and one bigint column per partition level.
+    """One row per directory of the lowest level: its uri and a bigint column per level.
 
-    Accepts both `2015/01` and `year=2015/month=01`.
+    The listing is Spark's own and the paths stay distributed; no file is opened.
     """
-    depth = len(names)
-    base = path.rstrip("/")
-    seen: dict[str, list[int]] = {}
-    for uri, _ in storage.data_files(base):
-        parts = uri[len(base) + 1 :].split("/")[:-1]
-        if len(parts) < depth:
-            raise InvalidData(f"'{uri}' is not {depth} directories below '{base}'")
-        values = [p.split("=", 1)[-1] for p in parts[:depth]]
-        if not all(re.fullmatch(r"-?\d+", v) for v in values):
-            raise InvalidData(f"'{uri}' does not hold integer partition values")
-        seen["/".join([base, *parts[:depth]])] = [int(v) for v in values]
-    if not seen:
-        raise DatasetNotFound(f"no data found for '{path}'")
-    rows = [(d, *v) for d, v in sorted(seen.items())]
-    return spark.createDataFrame(rows, ", ".join(["directory string", *(f"`{n}` bigint" for n in names)]))
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            raise DatasetNotFound(f"no data found for '{path}'") from e
+        raise
+    base = re.escape(_without_scheme(path))
+    directory = F.regexp_extract("path", f"^(.*?{base}{'/[^/]+' * len(names)})/[^/]", 1)
+    found = files.select("path", directory.alias("directory"), *_path_values(F.col("path"), path, names))
+    odd = found.filter(F.col(f"`{names[0]}`").isNull()).first()
+    if odd:
+        raise InvalidData(f"'{odd.path}' is not below {len(names)} directories with integer values")
+    return found.drop("path").distinct()
 
 
 def read_partitioned(
@@ -95,16 +102,9 @@ def read_partitioned(
     kept = directories.filter(where) if where else directories
     paths = [r.directory for r in kept.select("directory").collect()]  # one row per directory
     if not paths:
-        sample = directories.first().directory
-        df = spark.read.parquet(sample).limit(0)
-        return df.select("*", *[F.lit(None).cast("bigint").alias(n) for n in names])
-    level = r"/(?:[^/=]+=)?(-?\d+)"
-    tail = level * len(names) + r"(?:/[^/]+)*/[^/]+$"
-    base = re.escape(re.sub(r"^file:(//)?", "", path.rstrip("/")))
-    return spark.read.parquet(*paths).select(
-        "*",
-        *[
-            F.regexp_extract(F.col("_metadata.file_path"), base + tail, i + 1).cast("bigint").alias(n)
-            for i, n in enumerate(names)
-        ],
-    )
+        sample = directories.first()
+        if sample is None:
+            raise DatasetNotFound(f"no data found for '{path}'")
+        empty = spark.read.parquet(sample.directory).limit(0)
+        return empty.select("*", *[F.lit(None).cast("bigint").alias(n) for n in names])
+    return spark.read.parquet(*paths).select("*", *_path_values(F.col("_metadata.file_path"), path, names))

@@ -24,7 +24,7 @@ def _volume(i: Column, start: float, step: float) -> Column:
 def production_columns(row_id: Column, start: dt.datetime, step: str, chunk: int | None) -> dict[str, Column]:
     """The 14 raw columns. Prefixes, moduli, start values and steps."""
     i = row_id if chunk is None else S.remainder(row_id, chunk)
-    origin = F.lit(start).cast("timestamp_ntz")
+    origin = S.literal(start)
     advance = {"second": S.plus_seconds, "hour": S.plus_hours}[step]
     return {
         "field_code": S.remainder(i, 1000),

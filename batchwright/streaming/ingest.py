@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType, TimestampNTZType
 
 from batchwright import storage
+from batchwright.errors import EmptyInput
 from batchwright.operators.append import bulk_append
 from batchwright.schema import TableSchema
 
@@ -42,8 +43,10 @@ def stream_append(
 
     def one_batch(batch: DataFrame, _epoch: int) -> None:
         rows = prepare(batch) if prepare else batch
-        if not rows.isEmpty():
+        try:
             bulk_append(rows, path, schema, bind_by, on_conflict="skip", partition_by=partition_by)
+        except EmptyInput:
+            pass
 
     location = checkpoint or storage.scratch_path(sdf.sparkSession, "stream-checkpoint")
     return sdf.writeStream.foreachBatch(one_batch).option("checkpointLocation", location).trigger(availableNow=True).start()

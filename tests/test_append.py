@@ -145,3 +145,23 @@ def test_partitioned_target_and_unstable_batch(spark, path):
     back = read_table(spark, WELLS, path)
     assert back.count() == 500 and back.columns == WELLS.names
     assert A.bulk_append(unstable, path, WELLS, on_conflict="skip", partition_by=["partition_0"]).inserted == 0
+
+
+def test_range_of_zone_less_times_does_not_depend_on_the_machine(spark, path, monkeypatch):
+    import time
+
+    monkeypatch.setenv("TZ", "Asia/Tokyo")
+    time.tzset()
+    try:
+        rows_ = synth(spark, 100)
+        A.bulk_append(rows_, path, WELLS)
+        assert read_table(spark, WELLS, path).agg(F.max("production_period")).first()[0] == dt.datetime(2024, 1, 1, 0, 1, 39)
+        again = A.bulk_append(rows_, path, WELLS, on_conflict="skip")
+        assert (again.inserted, again.skipped) == (0, 100)
+        new = bind(synth(spark, 100), WELLS)
+        target = A.within_profile(read_table(spark, WELLS, path), ["production_period"], A.key_profile(new, ["production_period"]))
+        text = target._jdf.queryExecution().executedPlan().toString()
+        assert "GreaterThanOrEqual(production_period,2024-01-01T00:00)" in text
+    finally:
+        monkeypatch.undo()
+        time.tzset()
