@@ -3,12 +3,14 @@
 from pyspark.sql import functions as F
 
 from batchwright.operators.append import bulk_append, key_conflicts
+from batchwright.operators.envelopes import dedupe_envelope, load_records
 from batchwright.operators.query import bag_union
 from batchwright.plans.registry import registered, table
 from batchwright.plans.rows import LINE_ORDER
-from batchwright.schema import TableSchema, create_table, define, read_table
+from batchwright.schema import TableSchema, create_table, define, get_schema, read_table
 from batchwright.sinks.files import write_envelope
 from batchwright.sources.envelope import read_envelope, record_columns
+from batchwright.sources.synth import production_rows
 from batchwright.storage import scratch_path
 
 KEYS = ["l_orderkey", "l_linenumber"]
@@ -105,3 +107,34 @@ def append_result(spark, sf_dir):
     batch = record_columns(read_envelope(spark, inbox, layout="lines", mode="failfast"), events.schema)
     result = bulk_append(batch, scratch_path(spark, "events"), EVENTS, bind_by="name", on_conflict="skip")
     return result.to_frame(spark)
+
+
+@registered(
+    """
+    SELECT i % 1000 AS field_code, 'Field_' || (i % 1000) AS field_name, i % 100 AS well_code,
+           printf('WELL_REF_%03d', i % 100) AS well_reference, 'Well_' || (i % 100) AS well_name,
+           TIMESTAMP '2024-01-01' + to_seconds(i) AS production_period, 30::BIGINT AS days_on_production,
+           (1000 + i) / 10 AS oil_production_kbd, (5000 + 5 * i) / 100 AS gas_production_mmcfd,
+           CAST(printf('%.2f', 25.0::DOUBLE + i * 0.025::DOUBLE) AS DOUBLE) AS liquids_production_kbd,
+           CAST(printf('%.2f', 75.0::DOUBLE + i * 0.075::DOUBLE) AS DOUBLE) AS water_production_kbd,
+           'performance_test' AS data_source, '{"test": "data_' || i || '"}' AS source_data,
+           'partition_' || (i % 10) AS partition_0
+    FROM (SELECT o_orderkey AS i FROM orders)
+    """
+)
+def load_envelope(spark, sf_dir):
+    """One raw production record per order, through JSON envelopes into the keyed table."""
+    inbox, target = scratch_path(spark, "inbox"), scratch_path(spark, "wells")
+    write_envelope(production_rows(table(spark, sf_dir, "orders"), "o_orderkey", chunk=None), inbox, {"@odata.context": "c"})
+    load_records(spark, inbox, target, layout="lines", mode="failfast")
+    return read_table(spark, get_schema("well_production"), target)
+
+
+@registered("SELECT * FROM customer")
+def dedupe_envelopes(spark, sf_dir):
+    """Customers written twice, read back after the envelope was cleaned of duplicates."""
+    customer = table(spark, sf_dir, "customer")
+    dirty, clean = scratch_path(spark, "dirty"), scratch_path(spark, "clean")
+    write_envelope(bag_union(customer, customer), dirty, {"@odata.context": "c"})
+    dedupe_envelope(spark, dirty, clean, keys=["c_custkey"], layout="lines", envelope={"@odata.context": "c"})
+    return record_columns(read_envelope(spark, clean, layout="lines", mode="failfast"), customer.schema)

@@ -56,16 +56,21 @@ def write_envelope(
     key: str = "value",
     mode: str = "errorifexists",
     indent: bool = False,
+    record: str | None = None,
 ) -> None:
     """Write one envelope document per partition: the other envelope fields, then `key`
     with one record per line. Text stays UTF-8, null fields stay present.
 
     Each file is a complete JSON document for any reader, and because records sit on
     lines of their own `read_envelope(layout="lines")` splits files of any size. With
-    `indent` the documents are pretty-printed, for `layout="indented"`.
+    `indent` the documents are pretty-printed, for `layout="indented"`. A record is made of
+    all columns, or is the VARIANT column `record` as it was read.
     """
-    record = F.struct(*[_json_ready(f) for f in df.schema])
-    lines = df.select(F.to_json(record, {"ignoreNullFields": "false"}).alias("value"))
+    if record:
+        lines = df.select(F.to_json(record).alias("value"))
+    else:
+        fields = F.struct(*[_json_ready(f) for f in df.schema])
+        lines = df.select(F.to_json(fields, {"ignoreNullFields": "false"}).alias("value"))
     fields = [f"{json.dumps(k)}: {json.dumps(v, ensure_ascii=False)}" for k, v in (envelope or {}).items()]
     separator = ",\n  " if indent else ", "
     head = ("{\n  " if indent else "{") + separator.join([*fields, json.dumps(key) + ": ["])

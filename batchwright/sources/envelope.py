@@ -11,11 +11,14 @@ indented  documents pretty-printed with two spaces, records being the only list
           objects. The text between two closing braces of a record is one row, so a
           single huge document is split between tasks too.
 
+With key=None the document is the bare list of records.
+
 Every row carries `ordinal`, a struct (file, block, row, piece) that sorts in input order.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 
@@ -28,14 +31,15 @@ from batchwright.errors import DatasetNotFound, InvalidData
 from batchwright.operators.binding import to_bigint
 
 MAX_DOCUMENT_BYTES = 512 * 1024 * 1024
-RECORD_CLOSE = "\n    }"
+# A bare list is one VARIANT before it is taken apart, and those have a size limit.
+MAX_LIST_BYTES = 64 * 1024 * 1024
 ORDINAL = "struct<file:string,block:bigint,row:bigint,piece:int>"
 
 
 def read_envelope(
     spark: SparkSession,
     path: str,
-    key: str = "value",
+    key: str | None = "value",
     layout: str = "document",
     mode: str = "permissive",
     keep: Sequence[str] = (),
@@ -53,8 +57,8 @@ def read_envelope(
         raise InvalidData(f"unknown mode '{mode}'")
     if layout not in ("document", "lines", "indented"):
         raise InvalidData(f"unknown envelope layout '{layout}'")
-    if keep and layout != "document":
-        raise InvalidData("envelope fields can only be kept from the document layout")
+    if keep and (layout != "document" or key is None):
+        raise InvalidData("envelope fields can only be kept from documents that have them")
     try:
         if layout == "document":
             return _documents(spark, path, key, mode, keep, glob or "*", max_document_bytes)
@@ -75,12 +79,18 @@ def _ordinal(file: Column, block: Column, row: Column, piece: Column) -> Column:
 
 
 def _documents(spark, path, key, mode, keep, glob, max_document_bytes) -> DataFrame:
+    max_document_bytes = min(max_document_bytes, MAX_LIST_BYTES) if key is None else max_document_bytes
     sizes = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "length")
     large = sizes.filter(F.col("length") > max_document_bytes).select("path").first()
     if large:
         raise InvalidData(
             f"'{large.path}' is larger than {max_document_bytes} bytes; read it with layout='indented' or 'lines'"
         )
+    if key is None:
+        lists = spark.read.options(multiLine=True, mode=mode.upper(), pathGlobFilter=glob, singleVariantColumn="doc")
+        docs = lists.json(path).select("doc", F.col("_metadata.file_path").alias("file"))
+        items = docs.lateralJoin(spark.tvf.variant_explode(F.col("doc").outer())).filter("key IS NULL")
+        return items.select(_ordinal(F.col("file"), F.lit(0), F.col("pos"), F.lit(0)), F.col("value").alias("record"))
     columns = [f"`{k}` string" for k in keep] + [f"`{key}` array<variant>", "_corrupt_record string"]
     documents = (
         spark.read.schema(", ".join(columns))
@@ -95,8 +105,9 @@ def _documents(spark, path, key, mode, keep, glob, max_document_bytes) -> DataFr
 
 def _text_records(spark, path, key, layout, mode, glob) -> DataFrame:
     reader = spark.read.option("pathGlobFilter", glob)
+    margin = "  " if key is None else "    "
     if layout == "indented":
-        reader = reader.option("lineSep", RECORD_CLOSE)
+        reader = reader.option("lineSep", f"\n{margin}}}")
     raw = reader.text(path).select(
         "value",
         F.col("_metadata.file_path").alias("file"),
@@ -110,9 +121,10 @@ def _text_records(spark, path, key, layout, mode, glob) -> DataFrame:
     else:
         # A fragment ends where a record's closing brace was cut off. Its last piece is
         # that record; pieces before it are empty records `{},` or the document's head.
-        compact = F.col("value").rlike(f'"{re.escape(key)}"\\s*:\\s*\\[[ \\t]*\\{{')
+        opening = r"^\s*" if key is None else rf'"{re.escape(key)}"\s*:\s*'
+        compact = F.col("value").rlike(opening + r"\[[ \t]*\{")
         refuse = F.raise_error(F.concat(F.lit("not an indented envelope: "), "file"))
-        parts = F.split(F.when(compact, refuse).otherwise(F.col("value")), "\n    (?=\\{)")
+        parts = F.split(F.when(compact, refuse).otherwise(F.col("value")), f"\n{margin}(?=\\{{)")
         exploded = raw.select("file", "block", "row", F.posexplode(parts).alias("piece", "text"))
         closed = F.when(F.col("text").startswith("{}"), F.lit("{}")).otherwise(F.concat("text", F.lit("\n}")))
         pieces = exploded.filter("piece > 0").select(
@@ -123,6 +135,16 @@ def _text_records(spark, path, key, layout, mode, glob) -> DataFrame:
     return parsed if mode == "failfast" else parsed.filter(F.col("record").isNotNull())
 
 
+def envelope_fields(spark: SparkSession, path: str, key: str = "value", glob: str = "*") -> dict:
+    """The other fields of the first document's envelope (W5); only they reach the driver."""
+    lists = spark.read.options(multiLine=True, pathGlobFilter=glob).schema(f"`{key}` array<variant>").json(path)
+    first = lists.select(F.min("_metadata.file_path")).first()[0]
+    docs = spark.read.options(multiLine=True, singleVariantColumn="doc").json(first)
+    members = docs.lateralJoin(spark.tvf.variant_explode(F.col("doc").outer()))
+    others = members.filter(F.col("key") != key).select("pos", "key", F.to_json("value").alias("value")).collect()
+    return {r.key: json.loads(r.value) for r in sorted(others)}
+
+
 def corrupt_documents(spark: SparkSession, path: str, key: str = "value", glob: str = "*") -> DataFrame:
     """Files of the document layout that a permissive read leaves out."""
     documents = (
