@@ -30,7 +30,7 @@ from batchwright.errors import EmptyInput, InvalidData, KeyConflict
 from batchwright.functions.scalar import literal
 from batchwright.operators.binding import bind, converted_columns
 from batchwright.operators.duplicates import dedupe_first, duplicate_summary
-from batchwright.schema import TableSchema, get_schema, read_table
+from batchwright.schema import TableSchema, empty_frame, get_schema, read_table
 from batchwright.sinks.files import clustered
 
 # Keys of a batch up to this size, as measured, are broadcast; larger ones are shuffled.
@@ -50,8 +50,9 @@ class AppendResult:
         return f"{self.inserted} records inserted, {self.skipped} duplicates removed"
 
     def to_frame(self, spark: SparkSession) -> DataFrame:
-        columns = "success boolean, records_processed bigint, inserted bigint, skipped bigint"
-        return spark.createDataFrame([(self.success, self.records_processed, self.inserted, self.skipped)], columns)
+        counts = {"records_processed": self.records_processed, "inserted": self.inserted, "skipped": self.skipped}
+        columns = [F.lit(n).cast("bigint").alias(c) for c, n in counts.items()]
+        return spark.range(1).select(F.lit(self.success).alias("success"), *columns)
 
 
 def key_profile(df: DataFrame, keys: Sequence[str], converted: Sequence[str] = ()) -> Row:
@@ -99,7 +100,7 @@ def table_exists(spark: SparkSession, path: str) -> bool:
 def _existing(spark: SparkSession, schema: TableSchema, path: str) -> DataFrame:
     if table_exists(spark, path):
         return read_table(spark, schema, path)
-    return spark.createDataFrame([], schema.to_struct())
+    return empty_frame(spark, schema.to_struct())
 
 
 def shared_keys(batch: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -90,7 +90,7 @@ def json_dir_read(spark, sf_dir):
     source = table(spark, sf_dir, "events")
     path = scratch_path(spark, "documents")
     write_envelope(source.repartition(8), path, ENVELOPE)
-    spark.createDataFrame([('{"value": [{"event_id": 1',)], "value string").write.mode("append").text(path)
+    spark.range(1).select(F.lit('{"value": [{"event_id": 1').alias("value")).write.mode("append").text(path)
     return record_columns(read_envelope(spark, path, layout="document", mode="permissive"), source.schema)
 
 

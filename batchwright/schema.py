@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from batchwright.errors import SchemaNotFound, SchemaValidation
@@ -137,6 +138,12 @@ def get_schema(name: str) -> TableSchema:
     return REGISTRY[name]
 
 
+def empty_frame(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    """No rows of that schema, known to the optimizer to be none."""
+    columns = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
+    return spark.range(1).filter(F.lit(False)).select(*columns)
+
+
 def create_table(
     spark: SparkSession,
     schema: TableSchema,
@@ -150,7 +157,7 @@ def create_table(
     enforced PRIMARY KEY for Parquet; the key is recorded as a table property and
     enforced by `bulk_append`.
     """
-    writer = spark.createDataFrame([], schema.to_struct()).write.mode("errorifexists")
+    writer = empty_frame(spark, schema.to_struct()).write.mode("errorifexists")
     writer.partitionBy(*partition_by).parquet(path)
     if catalog_name:
         clause = f" PARTITIONED BY ({', '.join(f'`{c}`' for c in partition_by)})" if partition_by else ""

@@ -316,4 +316,4 @@ def write_arrow(
     manifest = filesystem(f"{path.rstrip('/')}/_manifest-{job}.json")[1]
     with fs.open_input_stream(manifest) as source:
         rows = [json.loads(line) for line in source.read().splitlines()]
-    return spark.createDataFrame(rows, "path string, rows bigint, batches bigint, bytes bigint")
+    return spark.createDataFrame(pa.Table.from_pylist(rows))

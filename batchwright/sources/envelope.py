@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 from batchwright.errors import DatasetNotFound, InvalidData
 from batchwright.operators.binding import to_bigint
+from batchwright.schema import empty_frame
 
 MAX_DOCUMENT_BYTES = 512 * 1024 * 1024
 # A bare list is one VARIANT before it is taken apart, and those have a size limit.
@@ -69,7 +70,7 @@ def read_envelope(
         if mode == "failfast":
             raise DatasetNotFound(f"no envelope at '{path}'") from e
         columns = [f"ordinal {ORDINAL}", "record variant", *(f"`{k}` string" for k in keep)]
-        return spark.createDataFrame([], ", ".join(columns))
+        return empty_frame(spark, T.StructType.fromDDL(", ".join(columns)))
 
 
 def _ordinal(file: Column, block: Column, row: Column, piece: Column) -> Column:

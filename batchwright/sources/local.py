@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from batchwright.errors import EmptyInput, InvalidData
@@ -16,7 +17,15 @@ from batchwright.sources.arrow_ipc import plain_schema
 def from_local(
     spark: SparkSession, data: Sequence[dict] | pd.DataFrame | pa.Table, schema: StructType | str | None = None
 ) -> DataFrame:
-    """List of dicts, pandas frame or Arrow table to DataFrame."""
+    """List of dicts, pandas frame or Arrow table to DataFrame. Dicts go through Arrow:
+    types are inferred from the values, or taken from `schema`, and absent keys are null."""
+    if isinstance(schema, str):
+        schema = StructType.fromDDL(schema)
+    if isinstance(data, (list, tuple)):
+        try:
+            data = pa.Table.from_pylist(list(data), schema=to_arrow_schema(schema) if schema else None)
+        except (pa.ArrowInvalid, pa.ArrowTypeError) as e:
+            raise InvalidData(f"records do not form a table: {e}") from e
     return spark.createDataFrame(data, schema=schema)
 
 

@@ -161,3 +161,7 @@ def test_R13_local_inputs(spark):
     frame = pd.DataFrame({"col1": [1, 2, 3], "col2": ["A", "B", "C"]})
     for data in (frame.to_dict("records"), frame, pa.Table.from_pandas(frame)):
         assert rows(from_local(spark, data)) == want
+    typed = from_local(spark, [{"a": 1}, {"b": "x"}], "a bigint, b string")
+    assert rows(typed) == [(1, None), (None, "x")]
+    with pytest.raises(InvalidData):
+        from_local(spark, [{"a": 1}, {"a": "x"}])
