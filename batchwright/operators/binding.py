@@ -32,7 +32,7 @@ def checked_cast(name: str, value: Column, source: T.DataType, target: T.DataTyp
         return value
     cast = to_bigint(value, source) if isinstance(target, T.LongType) else value.try_cast(target)
     message = F.concat(F.lit(f"column '{name}': cannot convert to {target.simpleString()}: "), value.cast("string"))
-    return F.when(value.isNotNull() & cast.isNull(), F.raise_error(message)).otherwise(cast)
+    return F.coalesce(cast, F.when(value.isNotNull(), F.raise_error(message).cast(target)))
 
 
 def bind_positions(df: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -14,6 +14,18 @@ from batchwright.errors import DatasetNotFound, InvalidData, ReadFailed
 from batchwright.sources.arrow_ipc import read_arrow
 
 
+# File suffix by format of a named dataset.
+SUFFIXES = {"parquet": "parquet", "feather": "feather", "arrow_stream": "arrows"}
+
+
+def dataset_path(root: str, schema: str, tag: str, fmt: str = "parquet") -> str:
+    """Where the dataset of a schema lies: `<root>/<schema>_data_<tag>.<suffix>`, the tag
+    naming its size, as in 100K or 1M."""
+    if fmt not in SUFFIXES:
+        raise InvalidData(f"unknown dataset format '{fmt}'")
+    return f"{root.rstrip('/')}/{schema}_data_{tag}.{SUFFIXES[fmt]}"
+
+
 def bulk_read(
     spark: SparkSession,
     path: str,

@@ -2,6 +2,7 @@
 
 import os
 import sys
+from types import SimpleNamespace
 
 import pytest
 from conftest import plan
@@ -10,8 +11,12 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "scripts"))
 
 import __spark_entry__ as entry
+from batchwright import storage
+from batchwright.errors import BatchError
+from batchwright.operators import append as A
 from batchwright.operators import duplicates as D
 from batchwright.operators import query as Q
+from batchwright.sinks.files import clustered
 
 duckdb = pytest.importorskip("duckdb")
 from check_oracle import TABLES, canonical  # noqa: E402
@@ -72,3 +77,42 @@ def test_partition_filter(spark, table, tmp_path):
     table("orders").withColumn("y", F.year("o_orderdate")).write.partitionBy("y").parquet(str(tmp_path / "o"))
     text = plan(Q.where_all(spark.read.parquet(str(tmp_path / "o")), F.col("y") > 1998))
     assert "PartitionFilters: [isnotnull(y" in text
+
+
+def test_J2_large_batch_is_partitioned_once(table, setting):
+    setting("spark.sql.autoBroadcastJoinThreshold", "-1")
+    lineitem, keys = table("lineitem"), ["l_orderkey", "l_linenumber"]
+    text = plan(A.surviving_rows(lineitem, lineitem.filter("l_linestatus = 'F'"), keys, ["l_partkey"]))
+    assert text.count("Exchange hashpartitioning") == 2
+    assert "SortMergeJoin [l_orderkey" in text and text.count("Partial") == 1
+
+
+def test_J2_small_batch_leaves_the_table_where_it_is(table, setting):
+    setting("spark.sql.autoBroadcastJoinThreshold", "-1")
+    orders = table("orders")
+    text = plan(A.shared_keys(orders.limit(10), orders, ["o_orderkey"]))
+    scan = text.index("BroadcastHashJoin")
+    assert "Exchange" not in text[scan : text.index("BroadcastExchange")]
+
+
+def test_J1_both_sides_have_an_exchange_of_their_own(table, setting):
+    """Otherwise AQE would not split a hot key."""
+    setting("spark.sql.autoBroadcastJoinThreshold", "-1")
+    text = plan(D.duplicate_members(table("lineitem").na.fill(0), ["l_orderkey", "l_linenumber"]))
+    assert text.count("Exchange hashpartitioning(__key") == 2
+
+
+def test_partitioned_write_is_rebalanced(table):
+    text = plan(clustered(table("orders"), ["o_orderstatus"]))
+    assert "REBALANCE_PARTITIONS_BY_COL" in text
+
+
+def test_scratch_folder_is_the_shared_one(spark):
+    configured = spark.conf.get("spark.checkpoint.dir")
+    assert storage.scratch_path(spark, "x").startswith(configured)
+    cluster = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda *_: None),
+        sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="yarn"),
+    )
+    with pytest.raises(BatchError, match="spark.checkpoint.dir"):
+        storage.shared_folder(cluster)

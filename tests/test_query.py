@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from batchwright.errors import DatasetNotFound, InvalidData, RecordNotFound
 from batchwright.operators import query as Q
 from batchwright.operators.position import with_row_position
-from batchwright.sources.parquet import parquet_scan, read_partitioned, with_row_position as scan_position
+from batchwright.sources.parquet import bulk_read, dataset_path, parquet_scan, read_partitioned
+from batchwright.sources.parquet import with_row_position as scan_position
+from batchwright.sources.synth import synth
 
 ORDER = ["o_totalprice", "o_orderkey"]
 
@@ -139,6 +141,17 @@ def test_R14_directories(spark, tmp_path, layout):
         read_partitioned(spark, str(root), ["a", "b", "c"])
 
 
+def test_R1_named_dataset(spark, tmp_path):
+    path = dataset_path(str(tmp_path), "well_production", "1K")
+    assert path.endswith("/well_production_data_1K.parquet")
+    synth(spark, 1000).write.parquet(path)
+    assert bulk_read(spark, path, name="well_production").count() == 1000
+    with pytest.raises(DatasetNotFound, match="well_production"):
+        bulk_read(spark, dataset_path(str(tmp_path), "well_production", "1K", "feather"), "feather", name="well_production")
+    with pytest.raises(InvalidData):
+        dataset_path("x", "y", "1K", "csv")
+
+
 def test_scan_position(spark, sf):
     df = scan_position(spark.read.parquet(f"{sf}/lineitem.parquet"))
     assert sorted(r.row for r in df.select("ordinal.row").collect()) == list(range(6000))
