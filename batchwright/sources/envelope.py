@@ -1,7 +1,7 @@
 """JSON record envelopes: `{"...": ..., "value": [{...}, ...]}`.
 
 Records are read as VARIANT, because a typed read cannot tell an absent key from an
-explicit null. Three layouts:
+explicit null. Four layouts:
 
 document  any JSON document. One document is parsed by one task, so documents above
           `max_document_bytes` are refused; scale comes from many documents.
@@ -10,6 +10,9 @@ lines     one record per line: JSON Lines, or the documents written by
 indented  documents pretty-printed with two spaces, records being the only list of
           objects. The text between two closing braces of a record is one row, so a
           single huge document is split between tasks too.
+streamed  any JSON document of any size: one task per document, which holds one record at
+          a time. The way for huge documents in one line, which cannot be split. Only
+          failfast, as records are passed on before the rest of the document was seen.
 
 With key=None the document is the bare list of records.
 
@@ -20,8 +23,9 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,10 +34,13 @@ from pyspark.sql import types as T
 from batchwright.errors import DatasetNotFound, InvalidData
 from batchwright.operators.binding import to_bigint
 from batchwright.schema import empty_frame
+from batchwright.sources.json_stream import stream_records
+from batchwright.storage import filesystem
 
 MAX_DOCUMENT_BYTES = 512 * 1024 * 1024
 # A bare list is one VARIANT before it is taken apart, and those have a size limit.
 MAX_LIST_BYTES = 64 * 1024 * 1024
+STREAM_BATCH_CHARS = 4 * 1024 * 1024
 ORDINAL = "struct<file:string,block:bigint,row:bigint,piece:int>"
 
 
@@ -56,13 +63,17 @@ def read_envelope(
     """
     if mode not in ("permissive", "failfast"):
         raise InvalidData(f"unknown mode '{mode}'")
-    if layout not in ("document", "lines", "indented"):
+    if layout not in ("document", "lines", "indented", "streamed"):
         raise InvalidData(f"unknown envelope layout '{layout}'")
+    if layout == "streamed" and mode != "failfast":
+        raise InvalidData("the streamed layout needs mode='failfast'")
     if keep and (layout != "document" or key is None):
         raise InvalidData("envelope fields can only be kept from documents that have them")
     try:
         if layout == "document":
             return _documents(spark, path, key, mode, keep, glob or "*", max_document_bytes)
+        if layout == "streamed":
+            return _streamed(spark, path, key, glob or "*")
         return _text_records(spark, path, key, layout, mode, glob or "*")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
@@ -85,7 +96,7 @@ def _documents(spark, path, key, mode, keep, glob, max_document_bytes) -> DataFr
     large = sizes.filter(F.col("length") > max_document_bytes).select("path").first()
     if large:
         raise InvalidData(
-            f"'{large.path}' is larger than {max_document_bytes} bytes; read it with layout='indented' or 'lines'"
+            f"'{large.path}' is larger than {max_document_bytes} bytes; read it with layout='indented', 'lines' or 'streamed'"
         )
     if key is None:
         lists = spark.read.options(multiLine=True, mode=mode.upper(), pathGlobFilter=glob, singleVariantColumn="doc")
@@ -104,6 +115,34 @@ def _documents(spark, path, key, mode, keep, glob, max_document_bytes) -> DataFr
     return exploded.select(ordinal, "record", *[f"`{k}`" for k in keep])
 
 
+def _streamed(spark, path, key, glob) -> DataFrame:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                fs, inner = filesystem(uri)
+                with fs.open_input_stream(inner) as source:
+                    row, texts, held = 0, [], 0
+                    for text in stream_records(source.read, key):
+                        texts.append(text)
+                        held += len(text)
+                        if held >= STREAM_BATCH_CHARS:
+                            yield numbered(uri, row, texts)
+                            row, texts, held = row + len(texts), [], 0
+                    if texts:
+                        yield numbered(uri, row, texts)
+
+    def numbered(uri: str, row: int, texts: list[str]) -> pa.RecordBatch:
+        n = len(texts)
+        columns = [pa.array([uri] * n), pa.array(range(row, row + n), pa.int64()), pa.array(texts, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, ["file", "row", "text"])
+
+    records = files.mapInArrow(run, "file string, row bigint, text string")
+    ordinal = _ordinal(F.col("file"), F.lit(0), F.col("row"), F.lit(0))
+    return records.select(ordinal, F.parse_json("text").alias("record"))
+
+
 def _text_records(spark, path, key, layout, mode, glob) -> DataFrame:
     reader = spark.read.option("pathGlobFilter", glob)
     margin = "  " if key is None else "    "

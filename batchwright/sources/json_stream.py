@@ -1,0 +1,94 @@
+"""Records of a JSON document of any size and formatting, with bounded memory."""
+
+from __future__ import annotations
+
+import codecs
+import json
+from collections.abc import Callable, Iterator
+
+CHUNK_BYTES = 8 * 1024 * 1024
+BLANK = " \t\r\n"
+DELIMITERS = (*BLANK, ",", ":", "]", "}")
+
+
+class TextWindow:
+    """The part of a text that is being looked at; grows by reading, shrinks when used."""
+
+    def __init__(self, read: Callable[[int], bytes], chunk: int = CHUNK_BYTES):
+        self._read, self._chunk = read, chunk
+        self._decode = codecs.getincrementaldecoder("utf-8-sig")().decode
+        self._json = json.JSONDecoder()
+        self._text, self._at, self._ended = "", 0, False
+
+    def _more(self) -> bool:
+        """Read on. Reads at least as much as is waiting, so that a long value is tried
+        again only a logarithmic number of times."""
+        if self._ended:
+            return False
+        waiting = self._text[self._at :]
+        data = self._read(max(self._chunk, len(waiting)))
+        self._ended = not data
+        self._text, self._at = waiting + self._decode(data, final=self._ended), 0
+        return True
+
+    def peek(self) -> str:
+        """Next character that is not blank; empty at the end."""
+        while True:
+            while self._at < len(self._text) and self._text[self._at] in BLANK:
+                self._at += 1
+            if self._at < len(self._text):
+                return self._text[self._at]
+            if not self._more():
+                return ""
+
+    def take(self, expected: str) -> None:
+        if self.peek() != expected:
+            raise ValueError(f"malformed document: expected {expected!r}, found {self.peek()!r}")
+        self._at += 1
+
+    def value(self) -> tuple[object, str]:
+        """Next JSON value and its text."""
+        self.peek()
+        while True:
+            try:
+                parsed, end = self._json.raw_decode(self._text, self._at)
+                # Without a delimiter behind it a number could go on.
+                if self._text[end : end + 1] in DELIMITERS or not self._more():
+                    text = self._text[self._at : end]
+                    self._at = end
+                    return parsed, text
+            except json.JSONDecodeError as e:
+                if not self._more():
+                    raise ValueError(f"malformed document: {e}") from e
+
+
+def stream_records(read: Callable[[int], bytes], key: str | None, chunk: int = CHUNK_BYTES) -> Iterator[str]:
+    """Texts of the elements of the list below `key`, or of a bare list."""
+    window = TextWindow(read, chunk)
+
+    def sequence(opening: str, closing: str) -> Iterator[None]:
+        window.take(opening)
+        while window.peek() != closing:
+            yield
+            if window.peek() != closing:
+                window.take(",")
+                if window.peek() == closing:
+                    raise ValueError("malformed document: trailing comma")
+        window.take(closing)
+
+    def items() -> Iterator[str]:
+        for _ in sequence("[", "]"):
+            yield window.value()[1]
+
+    if key is None:
+        yield from items()
+    else:
+        for _ in sequence("{", "}"):
+            name = window.value()[0]
+            window.take(":")
+            if name == key and window.peek() == "[":
+                yield from items()
+            else:
+                window.value()
+    if window.peek():
+        raise ValueError("malformed document: text after the end")

@@ -1,0 +1,57 @@
+import io
+import json
+
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+
+from batchwright.errors import DatasetNotFound, InvalidData
+from batchwright.sources.envelope import read_envelope
+from batchwright.sources.json_stream import stream_records
+
+values = st.recursive(
+    st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False) | st.text(),
+    lambda inner: st.lists(inner, max_size=3) | st.dictionaries(st.text(), inner, max_size=3),
+    max_leaves=8,
+)
+
+
+def read(text, key="value", chunk=1):
+    return [json.loads(t) for t in stream_records(io.BytesIO(text.encode()).read, key, chunk)]
+
+
+@given(st.lists(values), values, st.sampled_from([None, 2]), st.booleans(), st.integers(1, 40))
+def test_any_document_in_any_chunks(items, other, indent, ascii_only, chunk):
+    for document in ({"a": other, "value": items, "z": other}, {"value": items}):
+        assert read(json.dumps(document, indent=indent, ensure_ascii=ascii_only), chunk=chunk) == items
+    assert read(json.dumps(items, indent=indent), None, chunk) == items
+
+
+@pytest.mark.parametrize(
+    "text", ["", "[1", "{", '{"value": [1,]}', '{"value": [1 2]}', '{"value": [1]', '{"value": [1]} x', '{"value" [1]}', "nope"]
+)
+def test_malformed(text):
+    with pytest.raises(ValueError):
+        read(text)
+
+
+def test_missing_or_other_value():
+    assert read('{"a": [1]}') == [] and read('{"value": null}') == [] and read("{}") == []
+
+
+def test_R8_streamed_layout(spark, tmp_path):
+    value = [{"i": i, "t": "Agência},{", "n": [{"k": i}]} for i in range(500)]
+    (tmp_path / "a.json").write_text(json.dumps({"@odata.context": "c", "value": value}, ensure_ascii=False), encoding="utf-8")
+    (tmp_path / "b.json").write_text(json.dumps({"value": [{}]}))
+    df = read_envelope(spark, str(tmp_path), layout="streamed", mode="failfast")
+    got = [json.loads(r[0]) for r in df.orderBy("ordinal").selectExpr("to_json(record)").collect()]
+    assert got == value + [{}]
+    with pytest.raises(InvalidData):
+        read_envelope(spark, str(tmp_path), layout="streamed")
+    with pytest.raises(DatasetNotFound):
+        read_envelope(spark, str(tmp_path / "none"), layout="streamed", mode="failfast")
+    (tmp_path / "c.json").write_text('{"value": [{}')
+    with pytest.raises((PySparkException, Py4JJavaError), match="malformed document"):
+        read_envelope(spark, str(tmp_path), layout="streamed", mode="failfast").collect()
