@@ -84,6 +84,14 @@ def envelope_indented(spark, sf_dir):
     return record_columns(read_envelope(spark, path, layout="indented"), source.schema)
 
 
+@registered("SELECT * FROM part")
+def envelope_streamed(spark, sf_dir):
+    source = table(spark, sf_dir, "part")
+    path = scratch_path(spark, "envelope")
+    write_envelope(source, path, ENVELOPE)
+    return record_columns(read_envelope(spark, path, layout="streamed", mode="failfast"), source.schema)
+
+
 @registered("SELECT * FROM events")
 def json_dir_read(spark, sf_dir):
     """A directory of documents, one of them malformed."""
