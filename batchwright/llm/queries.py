@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from batchwright.llm.decontamination import contamination_report
 from batchwright.llm.exact_dedup import exact_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,3 +39,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 """)
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+@registered()
+def op8_decontamination(spark, sf_dir):
+    return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -1,0 +1,91 @@
+import hashlib
+import random
+import re
+
+import pytest
+
+from batchwright.llm.decontamination import ItemAutomaton, contamination_report, words_of
+from batchwright.llm.queries import QUERIES
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def split(text):
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return WORD.findall(lower)
+
+
+def brute(docs, items, window=10):
+    """Every window of every item against every document position."""
+    windows = {}
+    for key, text in items:
+        words = split(text)
+        size = min(len(words), window)
+        for i in range(len(words) - size + 1) if size else ():
+            windows.setdefault(tuple(words[i : i + size]), set()).add(str(key))
+    sizes = {len(w) for w in windows}
+    out = []
+    for doc_id, text in docs:
+        words = split(text)
+        hit, found = set(), set()
+        for size in sizes:
+            for i in range(len(words) - size + 1):
+                names = windows.get(tuple(words[i : i + size]))
+                if names:
+                    hit.update(range(i, i + size))
+                    found |= names
+        digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+        out.append((doc_id, len(words), len(hit), len(found), digest, bool(hit)))
+    return sorted(out)
+
+
+def answer(df):
+    cols = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    return sorted((tuple(r) for r in df.select(*cols).collect()), key=lambda r: (r[0] is None, r))
+
+
+def test_automaton_equals_brute_force_on_small_alphabets():
+    rng = random.Random(5)
+    for _ in range(150):
+        letters = "abc"[: rng.randint(1, 3)]
+        items = [(i, " ".join(rng.choice(letters) for _ in range(rng.randint(0, 14)))) for i in range(rng.randint(0, 6))]
+        docs = [(i, " ".join(rng.choice(letters + "z") for _ in range(rng.randint(0, 60)))) for i in range(4)]
+        automaton = ItemAutomaton([(k, words_of(t)) for k, t in items], 5)
+        for (doc_id, text), want in zip(docs, brute(docs, items, 5)):
+            spans, found = automaton.spans(words_of(text))
+            hit = {p for a, b in spans for p in range(a, b)}
+            assert (len(hit), len(found)) == (want[2], want[3]), (items, text)
+
+
+def test_query_equals_brute_force(spark, sf):
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    got = answer(QUERIES["op8_decontamination"](spark, sf))
+    assert got == brute(docs, items)
+    assert any(r[5] for r in got)
+
+
+ITEM = "One two three four five six seven eight nine ten eleven"
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 40])
+def test_edge_rows(spark, block_bytes):
+    docs = [(1, None, "x"), (2, "", "x"), (3, f"say: {ITEM.upper()}!", "x"), (4, "Short ITEM here", "x"),
+            (5, "one two three four five six seven eight nine", None), (6, "w " * 30000 + ITEM, "x")]
+    items = [(1, ITEM, 0), (2, ITEM, 0), (3, "short item", 0), (4, None, 0), (5, "", 0), (None, "say", 0), (6, "!!", 0)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, n_words string")
+    b = spark.createDataFrame(items, "item_id long, text string, spans int")
+    assert answer(contamination_report(d, b)) == brute(
+        [r[:2] for r in docs], [r[:2] for r in items if r[0] is not None]
+    )
+    from batchwright.llm.decontamination import contamination
+
+    spans = {r.doc_id: [tuple(s) for s in r.spans] for r in contamination(d, b, block_bytes=block_bytes).collect()}
+    assert spans == {1: [], 2: [], 3: [(1, 12)], 4: [(0, 2)], 5: [], 6: [(30000, 30011)]}
+
+
+def test_empty_tables(spark):
+    d = spark.createDataFrame([(1, ITEM)], "doc_id long, text string")
+    b = spark.createDataFrame([], "item_id long, text string")
+    assert answer(contamination_report(d, b))[0][:4] == (1, 11, 0, 0)
+    assert answer(contamination_report(d.limit(0), b)) == []
