@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from batchwright.llm.bpe import token_report
 from batchwright.llm.decontamination import contamination_report
 from batchwright.llm.exact_dedup import exact_dedup
+from batchwright.llm.pii import pii_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,3 +47,14 @@ def op10_exact_dedup(spark, sf_dir):
 @registered()
 def op8_decontamination(spark, sf_dir):
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@registered()
+def op2_byte_bpe(spark, sf_dir):
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return token_report(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
+
+
+@registered()
+def op6_pii(spark, sf_dir):
+    return pii_report(table(spark, sf_dir, "documents"))
