@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Columns of the documents table, in order.
@@ -58,3 +61,20 @@ def slices(texts: list[str], budget: int) -> Iterator[tuple[int, int]]:
         size += len(text)
     if start < len(texts):
         yield start, len(texts)
+
+
+def send(spark: SparkSession, model):
+    """Broadcast a fitted model of bounded size; its classes travel with it."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(model))
+
+
+_received: dict[int, object] = {}
+
+
+def received(sent, build: Callable):
+    """`build(model)` for a broadcast model, made once for a task and kept between its batches."""
+    key = zlib.crc32(sent.value)
+    if key not in _received:
+        _received.clear()
+        _received[key] = build(pickle.loads(sent.value))
+    return _received[key]

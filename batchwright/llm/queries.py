@@ -11,6 +11,8 @@ from batchwright.llm.bpe import token_report
 from batchwright.llm.decontamination import contamination_report
 from batchwright.llm.exact_dedup import exact_dedup
 from batchwright.llm.pii import pii_report
+from batchwright.llm.quality import quality_report
+from batchwright.llm.toxicity import toxicity_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,3 +60,13 @@ def op2_byte_bpe(spark, sf_dir):
 @registered()
 def op6_pii(spark, sf_dir):
     return pii_report(table(spark, sf_dir, "documents"))
+
+
+@registered()
+def op4_toxicity(spark, sf_dir):
+    return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@registered()
+def op9_quality(spark, sf_dir):
+    return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
