@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from batchwright.llm.bpe import token_report
 from batchwright.llm.decontamination import contamination_report
 from batchwright.llm.exact_dedup import exact_dedup
+from batchwright.llm.minhash_dedup import near_duplicates
 from batchwright.llm.pii import pii_report
 from batchwright.llm.quality import quality_report
 from batchwright.llm.toxicity import toxicity_report
@@ -70,3 +71,8 @@ def op4_toxicity(spark, sf_dir):
 @registered()
 def op9_quality(spark, sf_dir):
     return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@registered()
+def op7_minhash_dedup(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
