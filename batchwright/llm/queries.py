@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from batchwright.llm.bpe import token_report
 from batchwright.llm.decontamination import contamination_report
 from batchwright.llm.exact_dedup import exact_dedup
+from batchwright.llm.html_extraction import extract_main_text
 from batchwright.llm.minhash_dedup import near_duplicates
 from batchwright.llm.pii import pii_report
 from batchwright.llm.quality import quality_report
@@ -76,3 +77,8 @@ def op9_quality(spark, sf_dir):
 @registered()
 def op7_minhash_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@registered()
+def op5_html_extraction(spark, sf_dir):
+    return extract_main_text(table(spark, sf_dir, "pages"))

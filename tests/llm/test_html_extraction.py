@@ -1,0 +1,100 @@
+import html
+import random
+import re
+
+from batchwright.llm.html_extraction import (
+    BODY, FURNITURE, common_lines, extract_main_text, main_text, shared_path, text_lines, url_key,
+)
+from batchwright.llm.queries import QUERIES
+
+
+def texts(page):
+    return [t for z, t in text_lines(page) if z != FURNITURE]
+
+
+def test_blocks_spaces_and_references():
+    page = "<body><article><h1>A &amp; B</h1><p>one <b>bo</b>ld\n\t two<br>three<p>&#233;t&eacute;&nbsp;x<ul><li>i<li>j</ul><p> </p></article>"
+    assert texts(page) == ["A & B", "one bold two three", "été x", "i", "j"]
+
+
+def test_furniture_is_recognised():
+    page = """<head><title>t</title><style>p{}</style></head><body><header>top</header><nav><p>menu</nav>
+      <div class="cookie-notice"><p>cookies</div><aside>side</aside><main><header><h1>Title</h1></header><p>Body
+      <script>var a = "<p>no</p>";</script> text</p><form><p>mail</form><section id=comments><p>nice!</section>
+      <div class="ad">buy</div><p hidden>hid</p><!-- c --></main><footer>foot</footer></body>"""
+    assert texts(page) == ["Title", "Body text"]
+
+
+def test_longest_common_lines():
+    rng = random.Random(1)
+    for _ in range(400):
+        a = [rng.randint(0, 6) for _ in range(rng.randint(0, 14))]
+        b = [rng.randint(0, 6) for _ in range(rng.randint(0, 14))]
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
+        in_a, in_b = common_lines(a, b)
+        assert [a[i] for i in sorted(in_a)] == [b[j] for j in sorted(in_b)]
+        assert len(in_a) == table[-1][-1]
+
+
+def brute(rows):
+    """Every page against its neighbours in one sorted list."""
+    pages = sorted(rows, key=lambda r: (url_key(r[1]), r[0]))
+    out = []
+    for k, (page_id, url, page) in enumerate(pages):
+        host, path = url_key(url)
+        near = [p for p in (pages[k - 1] if k else None, pages[k + 1] if k + 1 < len(pages) else None)
+                if p and url_key(p[1])[0] == host and host]
+        lines = text_lines(page or "")
+        other = None
+        if near:
+            best = max(near, key=lambda p: shared_path(url_key(p[1])[1], path))
+            found = text_lines(best[2] or "")
+            other = [z for z, _ in found], [t for _, t in found]
+        text = main_text([z for z, _ in lines], [t for _, t in lines], [t for _, t in lines], other)
+        out.append((page_id, url, text, len(text)))
+    return sorted(out)
+
+
+def test_query_equals_one_sorted_list(spark, sf):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()]
+    got = sorted(tuple(r) for r in QUERIES["op5_html_extraction"](spark, sf).collect())
+    assert got == brute(rows)
+    whole = 0
+    for page_id, _, text, _ in got:
+        page = next(h for i, _, h in rows if i == page_id)
+        blocks = re.split(r"</?(?:p|h1)>", re.search(r"<article>(.*?)</article>", page, re.S).group(1))
+        plain = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]+>", lambda m: " " * (m[0] == "<br>"), b))).strip() for b in blocks]
+        kept, plain = text.split("\n"), [b for b in plain if b]
+        whole += kept == plain
+        assert all(line in plain for line in kept) and len(plain) - len(kept) <= 1
+    assert whole >= 0.8 * len(got)
+
+
+def test_shared_lines_go_where_no_article_is_marked(spark):
+    def page(body):
+        return f"<body><p>Site name<p>Follow us<div>{body}</div><p>All rights reserved</body>"
+
+    rows = [(i, f"http://h.example/a/{i:03d}", page(f"<p>own {i}<p>more {i}")) for i in range(60)]
+    rows += [(100, "http://other.example/x", page("<p>alone")), (101, None, None), (102, "http://[bad", ""), (103, "", "<p>x")]
+    df = spark.createDataFrame([(*r, "t") for r in rows], "page_id long, url string, html string, text string")
+    got = {r.page_id: r.text for r in extract_main_text(df.repartition(7)).collect()}
+    assert all(got[i] == f"own {i}\nmore {i}" for i in range(60))
+    assert got[100] == "Site name\nFollow us\nalone\nAll rights reserved"
+    assert (got[101], got[102], got[103]) == ("", "", "x")
+    assert extract_main_text(df.limit(0)).collect() == []
+
+
+def test_copies_keep_their_articles(spark):
+    page = "<body><nav>menu</nav><article><p>same words</p><p>menu</p></article></body>"
+    rows = [(1, "http://h/a", page), (2, "http://h/a", page), (2, "http://h/a", page), (None, "http://h/b", page)]
+    got = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [r.text for r in got] == ["same words"] * 4
+
+
+def test_long_page():
+    page = "<article>" + "".join(f"<p>line {i}" for i in range(30000)) + "</article>"
+    lines = text_lines(page)
+    assert len(lines) == 30000 and {z for z, _ in lines} == {BODY}
