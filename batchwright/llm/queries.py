@@ -11,6 +11,7 @@ from batchwright.llm.bpe import token_report
 from batchwright.llm.decontamination import contamination_report
 from batchwright.llm.exact_dedup import exact_dedup
 from batchwright.llm.html_extraction import extract_main_text
+from batchwright.llm.line_dedup import line_report
 from batchwright.llm.minhash_dedup import near_duplicates
 from batchwright.llm.pii import pii_report
 from batchwright.llm.quality import quality_report
@@ -82,3 +83,53 @@ def op7_minhash_dedup(spark, sf_dir):
 @registered()
 def op5_html_extraction(spark, sf_dir):
     return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+@registered(r"""
+    WITH raw AS (SELECT row_number() OVER () AS row_id, doc_id, text, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+    masked AS (
+      SELECT row_id, doc_id, list_distinct(list_filter(list_transform(parts, lambda x:
+        regexp_replace(trim(x, ' '), '[^ 0-9]*[0-9][^ ]*', '<*>', 'g')), lambda x: x <> '')) AS lines FROM raw),
+    longest AS (
+      SELECT row_id, lines,
+        list_reverse_sort(list_transform(lines, lambda x: {'size': length(x), 'line': x}))[1].line AS top
+      FROM masked),
+    line AS (
+      SELECT row_id, line, string_split(line, ' ') AS tokens,
+        concat_ws(' ', len(string_split(top, ' '))::VARCHAR, array_to_string(string_split(top, ' ')[1:3], ' ')) AS print
+      FROM (SELECT row_id, top, unnest(lines) AS line FROM longest)),
+    keyed AS (
+      SELECT row_id, line, tokens, print, concat_ws(' ', len(tokens)::VARCHAR, array_to_string(tokens[1:3], ' ')) AS leaf FROM line),
+    same AS (
+      SELECT line FROM keyed GROUP BY line
+      HAVING count(*) >= 3 AND count(DISTINCT print) >= 3 AND 2 * count(DISTINCT print) >= count(*)),
+    once AS (SELECT DISTINCT line, leaf, tokens FROM keyed),
+    crowded AS (SELECT leaf FROM once GROUP BY leaf HAVING count(*) >= 3),
+    token AS (
+      SELECT line, leaf, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place
+      FROM once WHERE len(tokens) > 3 AND leaf IN (SELECT leaf FROM crowded)),
+    constant AS (SELECT leaf, place, token FROM token GROUP BY ALL HAVING count(*) >= 3),
+    template AS (
+      SELECT t.line, string_agg(CASE WHEN c.token IS NULL THEN '<*>' ELSE t.token END, ' ' ORDER BY t.place) AS template
+      FROM token t LEFT JOIN constant c ON t.leaf = c.leaf AND t.place = c.place AND t.token = c.token
+      GROUP BY t.line HAVING 100 * count(c.token) >= 60 * count(*)),
+    variant AS (
+      SELECT template FROM template JOIN keyed USING (line) GROUP BY template
+      HAVING count(*) >= 3 AND count(DISTINCT print) >= 3 AND 2 * count(DISTINCT print) >= count(*)),
+    recurring AS (
+      SELECT line FROM same UNION SELECT line FROM template JOIN variant USING (template)),
+    part AS (
+      SELECT row_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS place FROM raw),
+    judged AS (
+      SELECT row_id, part, place, r.line IS NULL AS stays
+      FROM part p LEFT JOIN recurring r
+        ON regexp_replace(trim(part, ' '), '[^ 0-9]*[0-9][^ ]*', '<*>', 'g') = r.line),
+    told AS (
+      SELECT row_id, count(*) FILTER (NOT stays) AS n_dropped,
+        coalesce(string_agg(part, chr(10) ORDER BY place) FILTER (stays), '') AS kept
+      FROM judged GROUP BY row_id)
+    SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(parts) END AS n_lines, n_dropped, sha256(kept) AS kept_sha256
+    FROM raw JOIN told USING (row_id)
+""")
+def op3_line_dedup(spark, sf_dir):
+    return line_report(table(spark, sf_dir, "documents"))
