@@ -15,6 +15,7 @@ from batchwright.llm.line_dedup import line_report
 from batchwright.llm.minhash_dedup import near_duplicates
 from batchwright.llm.pii import pii_report
 from batchwright.llm.quality import quality_report
+from batchwright.llm.suffix_dedup import suffix_report
 from batchwright.llm.toxicity import toxicity_report
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -133,3 +134,8 @@ def op5_html_extraction(spark, sf_dir):
 """)
 def op3_line_dedup(spark, sf_dir):
     return line_report(table(spark, sf_dir, "documents"))
+
+
+@registered()
+def op1_suffix_dedup(spark, sf_dir):
+    return suffix_report(table(spark, sf_dir, "documents"))
