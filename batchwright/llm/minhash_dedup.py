@@ -7,8 +7,8 @@
    a candidate with them.
 3. Candidates are verified on the full shingle sets; links give components.
 4. Members of one bucket that are still in different components were perhaps not compared:
-   those buckets are compared pair by pair on signatures, in blocks, and what looks alike is
-   verified on full sets too. Components of all links are the answer.
+   they are compared pair by pair on signatures, in blocks, and what looks alike is verified
+   on full sets in the same place. Components of all links are the answer.
 
 A bucket with a third of all classes is counted by partial aggregation, joined to its
 leaders by a join that can be split, and compared against salted copies of the leader's set.
@@ -36,8 +36,8 @@ BANDS, ROWS = 26, 4
 HASHES = BANDS * ROWS
 #: Signatures that agree in less than this share are not verified: six standard errors below the threshold.
 ALIKE = 0.64
-#: Members of a leader, or of a block, that meet in one task group.
-BLOCK = 512
+#: Members of a leader, or of a part of a family, that meet in one group, and bytes of sets of such a part.
+BLOCK, BLOCK_BYTES = 256, 1 << 23
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -204,68 +204,73 @@ def _unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
     return named.join(open_buckets, "bucket")
 
 
-def compare_blocks(open_members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Candidate (u, v) across components of one bucket, by agreement of whole signatures.
+def late_links(open_members: DataFrame, classes: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Links (u, v) across components within buckets that hold several, enough to join what is linked.
 
-    A bucket is cut into blocks of about BLOCK members and every two blocks meet in one task,
-    which compares their signatures as matrices. A pair is compared in the first band in
-    which it agrees and nowhere else, so no pair comes out twice; only pairs that look alike
-    come out at all.
+    Buckets that share members form a family. A family is cut into parts of about BLOCK
+    members and BLOCK_BYTES of sets, and every two parts meet in one task. There, pairs whose
+    whole signatures look alike are verified on full sets unless they are joined already: a
+    task gives a spanning forest of its links, never all pairs.
     """
-    salts = F.ceil(F.col("n") / BLOCK).cast("int")
-    salted = open_members.join(classes.select("id", "signature"), "id").select(
-        "bucket", "id", "root", "signature", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"), salts.alias("salts")
+    buckets = open_members.groupBy("bucket").agg(F.min("id").alias("low"))
+    families = connected_components(open_members.join(buckets, "bucket").select(F.col("id").alias("u"), F.col("low").alias("v")))
+    members = (
+        open_members.select("id", "root").distinct()
+        .join(families.select(F.col("node").alias("id"), F.col("root").alias("family")), "id")
+        .join(classes.select("id", "signature"), "id")
+        .join(sets, "id")
+    )
+    members = materialize(members, "families")
+    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("shingles")).alias("size"))
+    salts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_BYTES)).cast("int")
+    salted = members.join(sizes.select("family", salts.alias("salts")), "family").withColumn(
+        "salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")
     )
-    dealt = salted.select(
-        "bucket", "id", "root", "signature", "salt",
-        F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("other"),
-    ).select(
-        "bucket", "id", "root", "signature", "salt", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j")
+    columns = ("id", "root", "salt", "signature", "shingles")
+    dealt = salted.select("family", *columns, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("other")).select(
+        "family", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), *columns, F.lit(0).alias("last")
     )
+    ends = sizes.select(
+        "family", F.explode(F.sequence(F.lit(0), salts - 1)).alias("i"), salts.alias("salts")
+    ).select("family", "i", F.explode(F.sequence(F.col("i"), F.col("salts") - 1)).alias("j"))
+    for name in columns:
+        ends = ends.withColumn(name, F.lit(None).cast(dealt.schema[name].dataType))
 
     def start():
-        held: dict = {"key": None, "rows": []}
-
-        def pairs(out):
-            rows = held["rows"]
-            if len(rows) < 2:
-                return
-            signatures = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint32).reshape(-1, HASHES)
-            keys = band_keys(signatures)
-            ids, roots, salts_ = (np.array([r[k] for r in rows]) for k in (0, 1, 2))
-            bucket, i, j = held["key"]
-            for a in range(len(rows) - 1):
+        held: list[tuple] = []
+
+        def forest(out):
+            """Link what is similar and not joined yet; held rows are one part, or two of different salts."""
+            signatures = np.frombuffer(b"".join(r[3] for r in held), dtype=np.uint32).reshape(-1, HASHES)
+            ids, labels, parts = (np.array([r[k] for r in held]) for k in (0, 1, 2))
+            shingles = [np.frombuffer(r[4], dtype=np.uint64) for r in held]
+            one_part = len(set(parts.tolist())) == 1
+            for a in range(len(held) - 1):
                 rest = slice(a + 1, None)
-                same = (signatures[a] == signatures[rest]).sum(axis=1) >= ALIKE * HASHES
-                same &= roots[a] != roots[rest]
-                same &= (i == j) | (salts_[a] != salts_[rest])
-                for b in np.flatnonzero(same) + a + 1:
-                    first = np.argmax(keys[a] == keys[b])
-                    if keys[a][first] == bucket:
+                alike = (signatures[a] == signatures[rest]).sum(axis=1) >= ALIKE * HASHES
+                if not one_part:
+                    alike &= parts[a] != parts[rest]
+                for b in np.flatnonzero(alike) + a + 1:
+                    if labels[a] != labels[b] and _linked(shingles[a], shingles[b], similarity):
                         out["u"].append(int(min(ids[a], ids[b])))
                         out["v"].append(int(max(ids[a], ids[b])))
+                        labels[labels == labels[b]] = labels[a]
 
         def step(batch):
             out = {"u": [], "v": []}
-            columns = (batch[c] for c in ("bucket", "i", "j", "id", "root", "salt", "signature", "last"))
-            for bucket, i, j, node, root, salt, data, last in zip(*columns):
-                if (bucket, i, j) != held["key"]:
-                    held["key"], held["rows"] = (bucket, i, j), []
-                if last:
-                    pairs(out)
-                    held["rows"] = []
-                else:
-                    held["rows"].append((node, root, salt, data))
+            for *row, last in zip(*(batch[c] for c in (*columns, "last"))):
+                if not last:
+                    held.append(row)
+                    continue
+                if len(held) > 1:
+                    forest(out)
+                held.clear()
             return out
 
         return step
 
-    ends = dealt.select("bucket", "i", "j").distinct().select(
-        "bucket", F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("bigint").alias("root"),
-        F.lit(None).cast("binary").alias("signature"), F.lit(None).cast("int").alias("salt"), "i", "j", F.lit(1).alias("last"),
-    )
-    rows = dealt.withColumn("last", F.lit(0)).unionByName(ends)
-    return _in_order(rows, ["bucket", "i", "j"], ["last"], start, "u bigint, v bigint")
+    rows = dealt.unionByName(ends.withColumn("last", F.lit(1)))
+    return _in_order(rows, ["family", "i", "j"], ["last"], start, "u bigint, v bigint")
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -311,8 +316,7 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     roots = connected_components(links)
 
     open_members = materialize(_unsettled(crowded, roots), "unsettled")
-    more = materialize(compare_blocks(open_members, classes).join(candidates, ["u", "v"], "left_anti"), "compared")
-    late = materialize(verify(more, sets, similarity), "late-links")
+    late = materialize(late_links(open_members, classes, sets, similarity), "late-links")
     if not late.isEmpty():
         roots = connected_components(links.unionAll(late))
     component = classes.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select(
