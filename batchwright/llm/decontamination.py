@@ -15,6 +15,7 @@ unless there are several blocks, and then only their hits are.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 
 import numpy as np
@@ -26,12 +27,16 @@ from batchwright.llm.common import map_batches, whole_text
 #: Consecutive words of an item that make a leak.
 WINDOW = 10
 
+#: Share of hit words above which a document goes whole.
+MAX_COVERAGE = 0.5
+
 #: Text bytes of benchmark items that one broadcast may hold.
 BLOCK_BYTES = 1 << 20
 
 _WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
+_WORD_RUN = re.compile(rb"[^ ]+")
 
 
 def words_of(text: str) -> list[bytes]:
@@ -291,3 +296,48 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         (n_hit > 0).alias("contaminated"),
     )
 
+
+
+def _word_places(data: bytes) -> list[tuple[int, int]]:
+    """Byte range of each word, in the order of `words_of`."""
+    return [m.span() for m in _WORD_RUN.finditer(data.translate(_WORD_BYTES))]
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = MAX_COVERAGE) -> DataFrame:
+    """The documents without the words that benchmark windows hit, with all their columns.
+
+    Each hit range goes, from its first word to its last; what stays is joined by nothing
+    else, so the text around it is as it was. A document of which hits cover more than
+    `coverage` of the words goes whole. Clean documents, and null or empty texts, stay as
+    they are. Where the benchmark needs several blocks, each reads the text that the one
+    before has left; a passage of one block is not judged by the coverage of another.
+    """
+    names = docs.columns
+    for rows in item_blocks(benchmark):
+        docs = _cut_block(docs, rows, window, coverage)
+    return docs.select(*names)
+
+
+def _cut_block(docs: DataFrame, rows: list[tuple[str, str]], window: int, coverage: float) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast(rows)
+
+    def cut(batch):
+        automaton, _ = _automaton(sent, window)
+        out = {name: [] for name in batch}
+        for i, text in enumerate(batch["text"]):
+            words = words_of(text or "")
+            spans = merged(automaton.spans(words)[0])
+            if spans:
+                if sum(b - a for a, b in spans) > coverage * len(words):
+                    continue
+                data = text.encode("utf-8", "surrogatepass")
+                places, parts, done = _word_places(data), [], 0
+                for a, b in spans:
+                    parts.append(data[done : places[a][0]])
+                    done = places[b - 1][1]
+                text = (b"".join(parts) + data[done:]).decode("utf-8", "surrogatepass")
+            for name in batch:
+                out[name].append(text if name == "text" else batch[name][i])
+        return out
+
+    return map_batches(docs, cut, docs.schema)
