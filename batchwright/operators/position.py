@@ -1,33 +1,74 @@
-"""Numbering the rows of a distributed frame."""
+"""Numbering the rows of a distributed frame, and cutting pages out of it."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from batchwright.storage import checkpoint
 
 
-def with_row_position(df: DataFrame, order: Sequence[str], name: str = "position") -> DataFrame:
-    """Add the 0-based position of each row in `order`; rows that tie keep their input order.
+def _hashable(name: str, kind: T.DataType) -> Column:
+    column = F.col(f"`{name}`")
+    if isinstance(kind, T.MapType):
+        return F.sort_array(F.map_entries(column))
+    return column.cast("string") if isinstance(kind, T.VariantType) else column
+
+
+def content_hash(df: DataFrame) -> Column:
+    """Hash of all columns: orders rows that tie elsewhere, whatever task reads them."""
+    return F.xxhash64(*[_hashable(f.name, f.dataType) for f in df.schema])
+
+
+def _in_order(df: DataFrame, order: Sequence[str | Column], keep: Sequence[str], name: str) -> DataFrame:
+    """The columns of `keep` with the position of each row in (order, hash of all columns).
 
     A window over the whole frame would sort it in one task. Here the rows are sorted in
     range partitions and checkpointed, which fixes the partitions; a row's position is
     its rank in its partition plus the sizes of the partitions before. Only one count
     per partition is brought together.
     """
-    # The input position makes every sort key distinct, so that a value shared by many
-    # rows is spread over as many ranges as it needs.
-    columns = [*[F.col(f"`{o}`") for o in order], F.col("__input")]
-    tagged = df.withColumn("__input", F.monotonically_increasing_id())
-    ranged = checkpoint(tagged.repartitionByRange(*columns).sortWithinPartitions(*columns).drop("__input"))
-    numbered = ranged.withColumn("__id", F.monotonically_increasing_id())
+    columns = [*[F.col(f"`{o}`") if isinstance(o, str) else o for o in order], F.col("__hash")]
+    ranged = df.withColumn("__hash", content_hash(df)).repartitionByRange(*columns).sortWithinPartitions(*columns)
+    numbered = checkpoint(ranged.select(*[f"`{c}`" for c in keep])).withColumn("__id", F.monotonically_increasing_id())
     part = F.shiftright("__id", 33)
     sizes = numbered.groupBy(part.alias("__part")).agg(F.count("*").alias("__size"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"))
     placed = numbered.withColumn("__part", part).join(F.broadcast(starts), "__part")
     rank = F.col("__id") - F.shiftleft(F.col("__part"), 33)
-    return placed.select(*[f"`{c}`" for c in df.columns], (F.col("__start") + rank).alias(name))
+    return placed.select(*[f"`{c}`" for c in keep], (F.col("__start") + rank).alias(name))
+
+
+def with_row_position(df: DataFrame, order: Sequence[str | Column], name: str = "position") -> DataFrame:
+    """Add the 0-based position of each row in `order`; rows that tie are ordered by a hash of all columns.
+
+    The order does not depend on which task reads a row, so a repeated task cannot lose or
+    double rows; rows that are equal in all columns are interchangeable. A value shared by
+    many rows is spread over as many ranges as it needs.
+    """
+    return _in_order(df, order, df.columns, name)
+
+
+def rows_between(df: DataFrame, order: Sequence[str | Column], skip: int, limit: int) -> DataFrame:
+    """Rows skip .. skip+limit-1 in (order, hash of all columns), in that order.
+
+    Only the order columns and the hash are sorted and only the hash is stored, eight bytes a
+    row. The hashes of the page then pick its rows from a scan; rows that are equal in all
+    columns are taken as often as their hash is on the page.
+    """
+    places = _in_order(df, order, ["__hash"], "__position").where(
+        (F.col("__position") >= skip) & (F.col("__position") < skip + limit)
+    )
+    wanted = places.groupBy("__hash").agg(F.collect_list("__position").alias("__positions"))
+    found = (
+        df.withColumn("__hash", content_hash(df))
+        .join(wanted, "__hash")
+        .groupBy("__hash")
+        .agg(F.any_value(F.struct(*[f"`{c}`" for c in df.columns])).alias("__row"), F.any_value("__positions").alias("__positions"))
+    )
+    placed = found.select("__row.*", F.explode("__positions").alias("__position"))
+    return placed.orderBy("__position").drop("__position")

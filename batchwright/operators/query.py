@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from batchwright.errors import InvalidData, RecordNotFound
 from batchwright.functions.scalar import literal, ratio
-from batchwright.operators.position import with_row_position
+from batchwright.operators.position import content_hash, rows_between
 
-SHALLOW_ROWS = 10_000
+#: Rows that a page may carry to one task; a choice between plans with equal results.
+TOP_K_ROWS = 10_000
 
 
 def register(df: DataFrame, name: str) -> DataFrame:
@@ -80,7 +81,8 @@ def exact_sum(value: Column, scale: int, whole: Column | None = None) -> Column:
 
     The values (or `whole`, already multiplied by 10^scale) are added as integers, which
     costs no more than adding doubles. High and low bits are added apart and joined at
-    the end, so that the sums do not overflow however many rows there are.
+    the end: the low half holds 8.8e12 rows, the high half values that add up to 9.6e24.
+    Beyond that the sum stops with an overflow error.
     """
     whole = fixed_point(value, scale) if whole is None else whole
     high = F.sum(F.shiftright(whole, 20)).cast("decimal(28,0)")
@@ -145,19 +147,19 @@ def top_k(df: DataFrame, order: Sequence[str | Column], k: int) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
-def page(df: DataFrame, order: Sequence[str], skip: int, limit: int) -> DataFrame:
-    """Rows skip .. skip+limit-1 in `order` (L4).
+def page(df: DataFrame, order: Sequence[str | Column], skip: int, limit: int) -> DataFrame:
+    """Rows skip .. skip+limit-1 in `order`, names or columns in any direction (L4).
 
-    Near the start this is a top-k. Further in, a top-k would carry all skipped rows to
-    one task, so the rows are numbered in range partitions and the page is cut from them.
+    Rows that tie are ordered by a hash of all columns, so pages fit together at any depth.
+    Near the start this is a top-k. Further in, a top-k would carry all skipped rows to one
+    task, so the page is looked up in sorted ranges; the rows are the same either way.
     """
     if skip < 0 or limit < 0:
         raise InvalidData("skip and limit must not be negative")
-    if skip + limit <= SHALLOW_ROWS:
-        return df.orderBy(*order).offset(skip).limit(limit)
-    numbered = with_row_position(df, order, "__position")
-    chosen = (F.col("__position") >= skip) & (F.col("__position") < skip + limit)
-    return numbered.filter(chosen).orderBy("__position").drop("__position")
+    if skip + limit > TOP_K_ROWS:
+        return rows_between(df, order, skip, limit)
+    columns = [F.col(f"`{o}`") if isinstance(o, str) else o for o in order]
+    return df.orderBy(*columns, content_hash(df)).offset(skip).limit(limit)
 
 
 def page_after(df: DataFrame, key: str, last: object | None, limit: int) -> DataFrame:
@@ -180,8 +182,29 @@ def sample_by_hash(df: DataFrame, keys: Sequence[str], fraction: float, seed: in
 
 
 def sample_by_multiplier(df: DataFrame, key: str, multiplier: int, out_of: int, below: int) -> DataFrame:
-    """Sample of an integer key by a multiplicative hash that any SQL engine can repeat."""
-    return df.filter(F.pmod(F.col(f"`{key}`") * F.lit(multiplier), F.lit(out_of)) < below)
+    """Sample of an integer key by a multiplicative hash that any SQL engine can repeat.
+
+    The key is reduced before it is multiplied, which gives the same remainder and does not
+    overflow for any key, as long as out_of squared fits.
+    """
+    if out_of * max(1, multiplier % out_of) >= 2**63:
+        raise InvalidData("out_of is too large for its multiplier")
+    reduced = F.pmod(F.col(f"`{key}`"), F.lit(out_of))
+    return df.filter(F.pmod(reduced * F.lit(multiplier % out_of), F.lit(out_of)) < below)
+
+
+def sample_by_digest(df: DataFrame, keys: Sequence[str], fraction: float, seed: int) -> DataFrame:
+    """Seeded sample by the MD5 digest of "seed:key", which other engines can repeat.
+
+    A row is drawn if its digest, read as a fraction of all digests, is below `fraction`.
+    """
+    if not 0 <= fraction <= 1:
+        raise InvalidData("fraction must be between 0 and 1")
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.col(f"`{k}`").cast("string") for k in keys])
+    bound = round(fraction * 2**128)
+    if bound == 2**128:
+        return df
+    return df.filter(F.md5(text.cast("binary")) < F.lit(f"{bound:032x}"))
 
 
 def shuffle_rows(df: DataFrame, seed: int, keys: Sequence[str]) -> DataFrame:

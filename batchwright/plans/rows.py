@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from batchwright.operators import query as Q
-from batchwright.operators.position import with_row_position
+from batchwright.operators.position import rows_between, with_row_position
 from batchwright.operators.records import normalize, validate
 from batchwright.plans.registry import registered, table
 from batchwright.schema import Property, TableSchema
@@ -97,9 +97,31 @@ def page(spark, sf_dir):
     return Q.page(table(spark, sf_dir, "orders"), ["o_totalprice", "o_orderkey"], skip=40, limit=20)
 
 
-@registered("SELECT * FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 500 OFFSET 12000")
+@registered(
+    """
+    SELECT o.* FROM orders o, (SELECT count(*) * 4 // 5 AS skip, count(*) // 20 AS rows FROM orders) n
+    QUALIFY row_number() OVER (ORDER BY o_totalprice, o_orderkey) BETWEEN skip + 1 AND skip + rows
+    """
+)
 def page_deep(spark, sf_dir):
-    return Q.page(table(spark, sf_dir, "orders"), ["o_totalprice", "o_orderkey"], skip=12_000, limit=500)
+    orders = table(spark, sf_dir, "orders")
+    rows = orders.count()
+    return rows_between(orders, ["o_totalprice", "o_orderkey"], rows * 4 // 5, rows // 20)
+
+
+@registered(
+    """
+    SELECT l_orderkey, l_linenumber, l_extendedprice
+    FROM lineitem, (SELECT count(*) // 2 AS skip, count(*) // 50 AS rows FROM lineitem) n
+    QUALIFY row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber DESC, l_partkey)
+      BETWEEN skip + 1 AND skip + rows
+    """
+)
+def page_deep_desc(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    rows = lines.count()
+    order = [F.col("l_extendedprice").desc(), "l_orderkey", F.col("l_linenumber").desc(), "l_partkey"]
+    return rows_between(lines, order, rows // 2, rows // 50).select("l_orderkey", "l_linenumber", "l_extendedprice")
 
 
 @registered("SELECT * FROM orders WHERE o_orderkey > 1000 ORDER BY o_orderkey LIMIT 20")
@@ -118,6 +140,18 @@ def sample_by_hash(spark, sf_dir):
     return Q.sample_by_multiplier(table(spark, sf_dir, "orders"), "o_orderkey", 2654435761, 1000, 100)
 
 
+@registered(
+    """
+    SELECT c_custkey, c_name, md5('7:' || c_custkey::VARCHAR) AS drawn FROM customer
+    WHERE md5('7:' || c_custkey::VARCHAR) < '4'
+    """
+)
+def sample_by_seed(spark, sf_dir):
+    chosen = Q.sample_by_digest(table(spark, sf_dir, "customer"), ["c_custkey"], 0.25, seed=7)
+    drawn = F.md5(F.concat(F.lit("7:"), F.col("c_custkey").cast("string")).cast("binary"))
+    return chosen.select("c_custkey", "c_name", drawn.alias("drawn"))
+
+
 @registered("SELECT * FROM customer")
 def shuffle_rows(spark, sf_dir):
     return Q.shuffle_rows(table(spark, sf_dir, "customer"), seed=42, keys=["c_custkey"])

@@ -1,36 +1,24 @@
 """Where intermediate tables go, and file listings on whatever storage a path names.
 
 Anything written between two jobs must outlive the executor that wrote it, so it goes
-to the shared folder named by `spark.checkpoint.dir`. Only a local master, which has no
-other machine, falls back to a folder of its own.
+to the shared folder named by `spark.checkpoint.dir`; a session without one uses a folder
+below its warehouse, which all its executors reach as well.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyarrow.fs import FileSelector, FileSystem, FileType, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 
-from batchwright.errors import BatchError
-
-_local_base: dict[str, str] = {}
-
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = spark.sparkContext.getCheckpointDir()
+    """The cluster's shared checkpoint folder, or scratch space below the session's warehouse."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise BatchError("set spark.checkpoint.dir to a folder that every executor can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _local_base:
-        _local_base[app] = tempfile.mkdtemp(prefix="batchwright-")
-    return _local_base[app]
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/batchwright-scratch"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

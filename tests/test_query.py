@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 
 import pytest
 from conftest import rows
@@ -65,14 +66,26 @@ def test_A6_category(spark):
 
 def test_L4_deep_page_equals_shallow_page(table, monkeypatch):
     shallow = [tuple(r) for r in Q.page(table("orders"), ORDER, 700, 30).collect()]
-    monkeypatch.setattr(Q, "SHALLOW_ROWS", 10)
+    downward = [F.col(ORDER[0]).desc(), *ORDER[1:]]
+    shallow_down = [tuple(r) for r in Q.page(table("orders"), downward, 700, 30).collect()]
+    monkeypatch.setattr(Q, "TOP_K_ROWS", 10)
     deep = [tuple(r) for r in Q.page(table("orders"), ORDER, 700, 30).collect()]
     assert deep == shallow and len(deep) == 30
+    assert [tuple(r) for r in Q.page(table("orders"), downward, 700, 30).collect()] == shallow_down != shallow
     assert Q.page(table("orders"), ORDER, 10_000, 30).count() == 0
     with pytest.raises(InvalidData):
         Q.page(table("orders"), ORDER, -1, 30)
 
 
+def test_L4_pages_with_ties_equal_rows_and_maps_fit_together(spark, monkeypatch):
+    df = spark.createDataFrame([(i % 3 or None, i % 5, {"a": i % 5}) for i in range(90)], "k int, v int, m map<string,int>")
+    order = [F.col("k").desc_nulls_first()]
+    whole = [tuple(r) for r in Q.page(df, order, 0, 90).collect()]
+    monkeypatch.setattr(Q, "TOP_K_ROWS", 40)
+    paged = [tuple(r) for skip in range(0, 100, 17) for r in Q.page(df.repartition(4), order, skip, 17).collect()]
+    assert paged == whole and sorted(map(repr, whole)) == sorted(repr(tuple(r)) for r in df.collect())
+
+
 def test_L4_keyset(table):
     seen, last = [], None
     while got := [r.o_orderkey for r in Q.page_after(table("orders"), "o_orderkey", last, 400).collect()]:
@@ -86,8 +99,11 @@ def test_row_position_with_ties_and_few_partitions(spark, setting):
     df = spark.range(0, 5000, 1, 9).select((F.col("id") * 37 % 5000).alias("k"), F.lit("x").alias("v"))
     got = with_row_position(df, ["k"]).collect()
     assert all(r.position == r.k for r in got) and len(got) == 5000
-    tied = with_row_position(spark.range(0, 50_000, 1, 4).select(F.lit(1).alias("k"), "id"), ["k"])
-    assert all(r.position == r.id for r in tied.collect())
+    ids = spark.range(0, 50_000, 1, 4).select(F.lit(1).alias("k"), "id")
+    tied = with_row_position(ids, ["k"])
+    placed = {r.id: r.position for r in tied.collect()}
+    assert sorted(placed.values()) == list(range(50_000))
+    assert placed == {r.id: r.position for r in with_row_position(ids.repartition(9), ["k"]).collect()}
     sizes = tied.groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) == 4 and max(r["count"] for r in sizes) < 25_000
     assert with_row_position(spark.range(0), ["id"]).count() == 0
@@ -101,6 +117,22 @@ def test_L5_samples(spark):
     assert rows(Q.sample_fraction(df, 0.1, 3)) == rows(Q.sample_fraction(df, 0.1, 3))
 
 
+def test_L5_keys_near_the_end_of_bigint(spark):
+    keys = [0, 1, 3_470_000_000, 2**62, 2**63 - 1, -5, -(2**63)]
+    df = spark.createDataFrame([(k,) for k in keys], "k bigint")
+    got = {r.k for r in Q.sample_by_multiplier(df, "k", 2654435761, 1000, 400).collect()}
+    assert got == {k for k in keys if k * 2654435761 % 1000 < 400}
+    with pytest.raises(InvalidData):
+        Q.sample_by_multiplier(df, "k", 2**40 + 1, 2**40 + 5, 1)
+
+
+def test_L5_seeded_digest_sample(spark):
+    df = spark.range(4000)
+    want = {i for i in range(4000) if int(hashlib.md5(f"3:{i}".encode()).hexdigest(), 16) < 0.1 * 2**128}
+    assert {r.id for r in Q.sample_by_digest(df.repartition(5), ["id"], 0.1, 3).collect()} == want
+    assert Q.sample_by_digest(df, ["id"], 1.0, 3).count() == 4000 and Q.sample_by_digest(df, ["id"], 0.0, 3).count() == 0
+
+
 def test_L6_shuffle(spark):
     df = spark.range(1000)
     one = [r.id for r in Q.shuffle_rows(df, 1, ["id"]).collect()]

@@ -45,34 +45,62 @@ SCHEMA = TableSchema(
     ),
 )
 
-VALUES = ["x", 1, 1.0, 2.5, 1e3, True, None, [1], {"k": 1}, -(2**63), 12345678901]
-
-
-def expected(record):
-    """The rule by hand: absent required keys first, else the first field of a wrong type."""
-    absent = [p.name for p in SCHEMA.properties if p.required and p.name not in record]
-    if absent:
-        return "Missing required fields: " + ", ".join(absent)
-    python = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict}
-    for p in SCHEMA.properties:
-        if p.name in record and not isinstance(record[p.name], python[p.type]):
-            return f"Field '{p.name}' expected {p.type}, got {type(record[p.name]).__name__}"
-    return None
-
-
-def cases():
-    base = {"s": "x", "i": 1}
-    yield from ({}, {"s": 1}, {"i": "x"}, base)
-    for name in ("s", "i", "n", "b", "a", "o"):
-        for v in VALUES:
-            yield base | {name: v}
-            yield base | {name: v, "o": 3}
+# (field, value, message); None: the value is accepted. Messages name types as JSON readers do.
+TYPE_TABLE = [
+    ("s", "x", None),
+    ("s", 1, "Field 's' expected string, got int"),
+    ("s", 2.5, "Field 's' expected string, got float"),
+    ("s", True, "Field 's' expected string, got bool"),
+    ("s", None, "Field 's' expected string, got NoneType"),
+    ("s", [1], "Field 's' expected string, got list"),
+    ("s", {"k": 1}, "Field 's' expected string, got dict"),
+    ("i", 1, None),
+    ("i", -(2**63), None),
+    ("i", 12345678901, None),
+    ("i", True, None),
+    ("i", 1.0, "Field 'i' expected integer, got float"),
+    ("i", 1e3, "Field 'i' expected integer, got float"),
+    ("i", "1", "Field 'i' expected integer, got str"),
+    ("i", None, "Field 'i' expected integer, got NoneType"),
+    ("n", 1, None),
+    ("n", 2.5, None),
+    ("n", True, None),
+    ("n", "2.5", "Field 'n' expected number, got str"),
+    ("n", None, "Field 'n' expected number, got NoneType"),
+    ("n", [1], "Field 'n' expected number, got list"),
+    ("b", True, None),
+    ("b", 1, "Field 'b' expected boolean, got int"),
+    ("b", "true", "Field 'b' expected boolean, got str"),
+    ("b", None, "Field 'b' expected boolean, got NoneType"),
+    ("a", [1], None),
+    ("a", [], None),
+    ("a", {"k": 1}, "Field 'a' expected array, got dict"),
+    ("a", "x", "Field 'a' expected array, got str"),
+    ("a", None, "Field 'a' expected array, got NoneType"),
+    ("o", {"k": 1}, None),
+    ("o", [1], "Field 'o' expected object, got list"),
+    ("o", 3, "Field 'o' expected object, got int"),
+    ("o", None, "Field 'o' expected object, got NoneType"),
+]
+
+# Absent required fields are told first, and all of them; of wrong types only the first in schema order.
+RECORD_TABLE = [
+    ({}, "Missing required fields: s, i"),
+    ({"s": 1}, "Missing required fields: i"),
+    ({"i": "x"}, "Missing required fields: s"),
+    ({"o": 3, "i": 1}, "Missing required fields: s"),
+    ({"s": "x", "i": 1}, None),
+    ({"s": "x", "i": 1, "unknown": []}, None),
+    ({"s": "x", "i": 1, "o": 3, "b": 0}, "Field 'b' expected boolean, got int"),
+    ({"o": 3, "n": "x", "i": 1, "s": "x"}, "Field 'n' expected number, got str"),
+    ({"s": 5, "i": "x", "n": "x"}, "Field 's' expected string, got int"),
+]
 
 
 def test_V1_V2_every_type_pair(spark):
-    items = list(cases())
-    got = R.validate(parsed(spark, items), SCHEMA).orderBy("i").collect()
-    assert [r.error for r in got] == [expected(x) for x in items]
+    table = RECORD_TABLE + [({"s": "x", "i": 1} | {name: value}, message) for name, value, message in TYPE_TABLE]
+    got = R.validate(parsed(spark, [record for record, _ in table]), SCHEMA).orderBy("i").collect()
+    assert [r.error for r in got] == [message for _, message in table]
 
 
 def test_V2_modes(spark):
