@@ -421,7 +421,7 @@ def repeated_ranges(probed: DataFrame) -> DataFrame:
     whole = found.join(refined.where("n > 1").select("gram", "context"), ["gram", "context"]).select(
         "doc", "key", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("end")
     )
-    split = refined.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    split = materialize(refined.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "split-buckets")
     requests = refined.join(split, "gram").select("gram", "context", "n", "kinds", "one.*")
     texts = probed.where("place is not null").select("doc", "key", "packed")
     settled = materialize(settle(context_bytes(requests, texts)), "settled")
@@ -446,7 +446,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         "text",
     )
     found = materialize(anchors(base.select("doc", "key", "text")), "anchors")
-    common = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    # Written first: a join can only split a hot anchor if no aggregation stands between it and its exchange.
+    common = materialize(
+        found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "shared-anchors"
+    )
     shared = found.join(common, "gram").select("doc", "key", "place")
 
     def pack(batch):
