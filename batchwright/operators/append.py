@@ -39,12 +39,14 @@ BROADCAST_KEY_BYTES = 64 * 1024 * 1024
 
 @dataclass(frozen=True)
 class AppendResult:
-    """records_processed counts the rows sent; inserted + skipped is the same number."""
+    """records_processed counts the rows sent; inserted + skipped is the same number.
+    `rejected` counts input that could not be read as rows."""
 
     success: bool
     records_processed: int
     inserted: int
     skipped: int
+    rejected: int = 0
 
     def message(self) -> str:
         return f"{self.inserted} records inserted, {self.skipped} duplicates removed"

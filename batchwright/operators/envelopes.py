@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from batchwright.operators.duplicates import DEFAULT_KEYS, dedupe_first, dedupe_
 from batchwright.operators.records import WELL_RULES, Rule, normalize
 from batchwright.schema import get_schema
 from batchwright.sinks.files import write_envelope
-from batchwright.sources.envelope import envelope_fields, field, read_envelope
+from batchwright.sources.envelope import corrupt_documents, envelope_fields, field, read_envelope, rejected_lines
 
 
 def load_records(
@@ -32,9 +33,14 @@ def load_records(
 
     The payload is a bare list (key=None), or the list below `key`, such as `value` of an
     envelope or `data` of a request that names its schema. Nothing to load is EmptyInput.
+    A permissive read counts the lines or documents it left out as `rejected`.
     """
     rows = normalize(read_envelope(spark, path, key, layout, mode), rules)
-    return bulk_append(rows, table, get_schema(schema), "name", on_conflict, ordinal="ordinal")
+    result = bulk_append(rows, table, get_schema(schema), "name", on_conflict, ordinal="ordinal")
+    if mode == "failfast" or layout not in ("document", "lines"):
+        return result
+    rejects = rejected_lines(spark, path, key) if layout == "lines" else corrupt_documents(spark, path, key)
+    return replace(result, rejected=rejects.count())
 
 
 def load_request(spark: SparkSession, path: str, tables: str, **options) -> AppendResult:
@@ -74,11 +80,12 @@ def dedupe_envelope(
     """Write the envelope at `source` without its duplicate records to `target`, the
     other envelope fields unchanged, and return the report (D1-D3, W5).
 
-    The first record per key stays, in the order of the input, with all its fields. For
-    the layouts that are split between tasks, pass the `envelope` fields to write.
+    The first record per key stays, in the order of the input, with all its fields. The
+    documents at `source` are merged, so their other fields must agree, unless the
+    `envelope` fields to write are given.
     """
     if envelope is None:
-        envelope = envelope_fields(spark, source) if layout == "document" else {}
+        envelope = envelope_fields(spark, source, layout=layout)
     records = storage.materialize(read_envelope(spark, source, layout=layout, mode="failfast"), "records")
     keyed, columns = keyed_records(records, keys)
     if not columns:  # no record has any field

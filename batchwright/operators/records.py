@@ -55,7 +55,7 @@ def pick(fields: dict[str, Column], rule: Rule) -> Column:
     """First name that is present wins, with an explicit null staying null; the default
     applies only when every name is absent."""
     chosen = F.coalesce(*[fields[n] for n in rule.names])
-    return F.when(chosen.isNotNull(), typed(chosen, rule.type)).otherwise(F.lit(rule.default).cast(rule.type))
+    return F.when(chosen.isNotNull(), typed(chosen, rule.type, rule.column)).otherwise(F.lit(rule.default).cast(rule.type))
 
 
 def normalize(df: DataFrame, rules: tuple[Rule, ...] = WELL_RULES, record: str = "record") -> DataFrame:

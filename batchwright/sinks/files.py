@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -49,6 +50,24 @@ def _json_ready(field: T.StructField) -> Column:
     return column.alias(field.name)
 
 
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[][{},:]|[^][{},:"\s]+')
+
+
+def indented(text: str, margin: str) -> str:
+    """JSON text on lines of its own, two spaces a level; strings and numbers stay as written."""
+    out: list[str] = []
+    depth, before = 0, ""
+    for token in _TOKEN.findall(text):
+        if token in "]}" and before not in "[{":
+            out.append("\n" + margin + "  " * (depth - 1))
+        elif before and before in "[{," and token not in "]}":
+            out.append("\n" + margin + "  " * depth)
+        depth += (token in "[{") - (token in "]}")
+        out.append(": " if token == ":" else token)
+        before = token
+    return "".join(out)
+
+
 def write_envelope(
     df: DataFrame,
     path: str,
@@ -79,7 +98,7 @@ def write_envelope(
     def shown(text: str) -> str:
         if not indent:
             return text
-        return "    " + json.dumps(json.loads(text), ensure_ascii=False, indent=2).replace("\n", "\n    ")
+        return "    " + indented(text, "    ")
 
     def frame(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Add the head, the commas and the tail; holds back one record at a time."""

@@ -3,13 +3,14 @@
 Records are read as VARIANT, because a typed read cannot tell an absent key from an
 explicit null. Four layouts:
 
-document  any JSON document. One document is parsed by one task, so documents above
-          `max_document_bytes` are refused; scale comes from many documents.
-lines     one record per line: JSON Lines, or the documents written by
-          `write_envelope`. Lines are split between tasks at any file size.
-indented  documents pretty-printed with two spaces, records being the only list of
-          objects. The text between two closing braces of a record is one row, so a
-          single huge document is split between tasks too.
+document  any JSON document. One document is parsed by one task; scale comes from many
+          documents.
+lines     one record or one whole document per line, or the documents written by
+          `write_envelope`. Lines are split between tasks at any file size. Any other line
+          is a reject: it fails a failfast read and `rejected_lines` lists it.
+indented  documents pretty-printed with any indent, records being the only list of
+          objects at their depth. The text between two closing braces of a record is one
+          row, so a single huge document is split between tasks too.
 streamed  any JSON document of any size: one task per document, which holds one record at
           a time. The way for huge documents in one line, which cannot be split. Only
           failfast, as records are passed on before the rest of the document was seen.
@@ -37,9 +38,6 @@ from batchwright.schema import empty_frame
 from batchwright.sources.json_stream import stream_records
 from batchwright.storage import filesystem
 
-MAX_DOCUMENT_BYTES = 512 * 1024 * 1024
-# A bare list is one VARIANT before it is taken apart, and those have a size limit.
-MAX_LIST_BYTES = 64 * 1024 * 1024
 STREAM_BATCH_CHARS = 4 * 1024 * 1024
 ORDINAL = "struct<file:string,block:bigint,row:bigint,piece:int>"
 
@@ -52,7 +50,6 @@ def read_envelope(
     mode: str = "permissive",
     keep: Sequence[str] = (),
     glob: str | None = None,
-    max_document_bytes: int = MAX_DOCUMENT_BYTES,
 ) -> DataFrame:
     """Columns `ordinal`, `record` (variant) and, for documents, the envelope fields in
     `keep` as text.
@@ -71,10 +68,11 @@ def read_envelope(
         raise InvalidData("envelope fields can only be kept from documents that have them")
     try:
         if layout == "document":
-            return _documents(spark, path, key, mode, keep, glob or "*", max_document_bytes)
+            return _documents(spark, path, key, mode, keep, glob or "*")
         if layout == "streamed":
             return _streamed(spark, path, key, glob or "*")
-        return _text_records(spark, path, key, layout, mode, glob or "*")
+        read = _lines if layout == "lines" else _indented
+        return read(spark, path, key, mode, glob or "*")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -90,19 +88,14 @@ def _ordinal(file: Column, block: Column, row: Column, piece: Column) -> Column:
     ).alias("ordinal")
 
 
-def _documents(spark, path, key, mode, keep, glob, max_document_bytes) -> DataFrame:
-    max_document_bytes = min(max_document_bytes, MAX_LIST_BYTES) if key is None else max_document_bytes
-    sizes = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "length")
-    large = sizes.filter(F.col("length") > max_document_bytes).select("path").first()
-    if large:
-        raise InvalidData(
-            f"'{large.path}' is larger than {max_document_bytes} bytes; read it with layout='indented', 'lines' or 'streamed'"
-        )
+def _documents(spark, path, key, mode, keep, glob) -> DataFrame:
     if key is None:
-        lists = spark.read.options(multiLine=True, mode=mode.upper(), pathGlobFilter=glob, singleVariantColumn="doc")
-        docs = lists.json(path).select("doc", F.col("_metadata.file_path").alias("file"))
-        items = docs.lateralJoin(spark.tvf.variant_explode(F.col("doc").outer())).filter("key IS NULL")
-        return items.select(_ordinal(F.col("file"), F.lit(0), F.col("pos"), F.lit(0)), F.col("value").alias("record"))
+        # A list is parsed element by element: no VARIANT holds the whole document.
+        whole = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
+        lists = F.from_json("value", T.ArrayType(T.VariantType()), {"mode": mode.upper()})
+        docs = whole.select(F.col("_metadata.file_path").alias("file"), lists.alias("list"))
+        items = docs.select("file", F.posexplode("list").alias("row", "record"))
+        return items.select(_ordinal(F.col("file"), F.lit(0), F.col("row"), F.lit(0)), "record")
     columns = [f"`{k}` string" for k in keep] + [f"`{key}` array<variant>", "_corrupt_record string"]
     documents = (
         spark.read.schema(", ".join(columns))
@@ -143,46 +136,164 @@ def _streamed(spark, path, key, glob) -> DataFrame:
     return records.select(ordinal, F.parse_json("text").alias("record"))
 
 
-def _text_records(spark, path, key, layout, mode, glob) -> DataFrame:
+def _raw_lines(spark, path, glob, separator: str | None = None) -> DataFrame:
     reader = spark.read.option("pathGlobFilter", glob)
-    margin = "  " if key is None else "    "
-    if layout == "indented":
-        reader = reader.option("lineSep", f"\n{margin}}}")
-    raw = reader.text(path).select(
+    if separator:
+        reader = reader.option("lineSep", separator)
+    return reader.text(path).select(
         "value",
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
     )
-    if layout == "lines":
-        text = F.rtrim(F.trim("value"), F.lit(","))
-        kept = raw.filter(text.startswith("{") & ~text.endswith("["))
-        pieces = kept.select(_ordinal(F.col("file"), F.col("block"), F.col("row"), F.lit(0)), text.alias("text"))
+
+
+def _is_list(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value).startswith("ARRAY"), F.lit(False))
+
+
+def _classified_lines(raw: DataFrame, key: str | None) -> DataFrame:
+    """Each line's `kind`: blank, head, tail, record, document (all of it in one line) or reject."""
+    text = F.trim("value")
+    body = F.rtrim(text, F.lit(","))
+    parsed = raw.select("*", text.alias("text"), F.try_parse_json(body).alias("parsed"))
+    opened = F.try_parse_json(F.concat("text", F.lit("]}" if key else "]")))
+    closed = F.try_parse_json(F.concat(F.lit('{"list": [' if key else "["), "text"))
+    looks = F.col("parsed")
+    if key is None:
+        head, tail, document = F.col("text") == "[", F.col("text") == "]", _is_list(looks)
     else:
-        # A fragment ends where a record's closing brace was cut off. Its last piece is
-        # that record; pieces before it are empty records `{},` or the document's head.
-        opening = r"^\s*" if key is None else rf'"{re.escape(key)}"\s*:\s*'
-        compact = F.col("value").rlike(opening + r"\[[ \t]*\{")
-        refuse = F.raise_error(F.concat(F.lit("not an indented envelope: "), "file"))
-        parts = F.split(F.when(compact, refuse).otherwise(F.col("value")), f"\n{margin}(?=\\{{)")
-        exploded = raw.select("file", "block", "row", F.posexplode(parts).alias("piece", "text"))
-        closed = F.when(F.col("text").startswith("{}"), F.lit("{}")).otherwise(F.concat("text", F.lit("\n}")))
-        pieces = exploded.filter("piece > 0").select(
-            _ordinal(F.col("file"), F.col("block"), F.col("row"), F.col("piece")), closed.alias("text")
-        )
+        listed = _is_list(field(opened, key))
+        head = F.col("text").endswith("[") & F.coalesce(listed, F.lit(False))
+        tail = F.col("text").startswith("]") & closed.isNotNull()
+        document = _is_list(field(looks, key))
+    record = F.coalesce(F.schema_of_variant(looks).startswith("OBJECT"), F.lit(False))
+    kind = (
+        F.when(F.col("text") == "", "blank")
+        .when(looks.isNull() & head, "head")
+        .when(looks.isNull() & tail, "tail")
+        .when(document, "document")
+        .when(record, "record")
+        .otherwise("reject")
+    )
+    return parsed.select("*", kind.alias("kind"))
+
+
+def _lines(spark, path, key, mode, glob) -> DataFrame:
+    lines = _classified_lines(_raw_lines(spark, path, glob), key)
+    if mode == "failfast":
+        _require_tails(spark, path, key, glob)
+        message = F.concat(F.lit("[MALFORMED_RECORD] neither a record nor an envelope's head or tail: "), "file", F.lit(": "), "text")
+        refused = F.when(F.col("kind") == "reject", F.raise_error(message).cast("string")).otherwise(F.col("kind"))
+        lines = lines.withColumn("kind", refused)
+    inner = F.col("parsed") if key is None else field(F.col("parsed"), key)
+    members = (
+        F.when(F.col("kind") == "record", F.array("parsed"))
+        .when(F.col("kind") == "document", F.variant_get(inner, "$", "array<variant>"))
+        .otherwise(F.array().cast("array<variant>"))
+    )
+    exploded = lines.select("file", "block", "row", F.posexplode(members).alias("piece", "record"))
+    return exploded.select(_ordinal(F.col("file"), F.col("block"), F.col("row"), F.col("piece")), "record")
+
+
+def _require_tails(spark, path, key, glob) -> None:
+    """Every list that a head line opens is closed in the same file."""
+    text = F.trim("value")
+    opening = (text == "[") if key is None else text.startswith("{") & text.endswith("[")
+    balance = F.sum(opening.cast("int")) - F.sum(text.startswith("]").cast("int"))
+    open_ended = _raw_lines(spark, path, glob).groupBy("file").agg(balance.alias("open")).where("open <> 0").first()
+    if open_ended:
+        raise InvalidData(f"[MALFORMED_RECORD] '{open_ended.file}' ends before its list does, or closes one it has not opened")
+
+
+def rejected_lines(spark: SparkSession, path: str, key: str | None = "value", glob: str = "*") -> DataFrame:
+    """(file, row, text) of the lines that a permissive read of the lines layout leaves out."""
+    lines = _classified_lines(_raw_lines(spark, path, glob), key)
+    return lines.where("kind = 'reject'").select("file", F.col("row"), "text")
+
+
+def _margin(spark, path, key, glob) -> str:
+    """White space before the records of an indented document, from the lines after its list is opened.
+
+    The list is looked for line by line near the start of each file; all files must agree.
+    """
+    opening = r"^\s*\[\s*$" if key is None else rf'^\s*"{re.escape(key)}"\s*:\s*\[\s*$'
+    lines = spark.read.option("pathGlobFilter", glob).text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"), "value"
+    )
+    near = lines.where(F.col("value").rlike(opening) | F.col("value").rlike(r"^\s*\{"))
+    # Of each file only the line of the list and the first brace after it are compared.
+    heads = near.where(F.col("value").rlike(opening)).groupBy("file").agg(F.min("row").alias("head"))
+    braces = near.join(heads, "file").where("row > head").groupBy("file").agg(F.min_by("value", "row").alias("brace"))
+    margins = [r[0] for r in braces.select(F.regexp_extract("brace", r"^(\s*)", 1)).distinct().limit(2).collect()]
+    if len(margins) > 1:
+        raise InvalidData(f"the documents at '{path}' are indented differently; read them with layout='document'")
+    return margins[0] if margins else ""
+
+
+def _indented(spark, path, key, mode, glob) -> DataFrame:
+    margin = _margin(spark, path, key, glob)
+    raw = _raw_lines(spark, path, glob, f"\n{margin}}}")
+    # A fragment ends where a record's closing brace was cut off. Its last piece is
+    # that record; pieces before it are empty records `{},` or the document's head.
+    name = r"^\s*" if key is None else rf'"{re.escape(key)}"\s*:\s*'
+    compact = F.col("value").rlike(name + r"\[[ \t]*\{")
+    other = rf'\n[ \t]*"(?:[^"\\]|\\.)*"\s*:\s*\[\s*\n{margin}\{{'
+    foreign = F.regexp_replace("value", rf'\n[ \t]*{name.removeprefix("^")}\[\s*\n{margin}\{{', "\n").rlike(other)
+    refuse = F.raise_error(F.concat(F.lit("not an indented envelope: "), "file"))
+    parts = F.split(F.when(compact | (foreign & F.lit(key is not None)), refuse).otherwise(F.col("value")), f"\n{margin}(?=\\{{)")
+    exploded = raw.select("file", "block", "row", F.posexplode(parts).alias("piece", "text"))
+    closed = F.when(F.col("text").startswith("{}"), F.lit("{}")).otherwise(F.concat("text", F.lit("\n}")))
+    pieces = exploded.filter("piece > 0").select(
+        _ordinal(F.col("file"), F.col("block"), F.col("row"), F.col("piece")), closed.alias("text")
+    )
     parse = F.parse_json if mode == "failfast" else F.try_parse_json
     parsed = pieces.select("ordinal", parse("text").alias("record"))
-    return parsed if mode == "failfast" else parsed.filter(F.col("record").isNotNull())
+    if mode == "permissive":
+        return parsed.filter(F.col("record").isNotNull())
+    _require_lists(spark, path, key, glob, margin)
+    return parsed
 
 
-def envelope_fields(spark: SparkSession, path: str, key: str = "value", glob: str = "*") -> dict:
-    """The other fields of the first document's envelope (W5); only they reach the driver."""
-    lists = spark.read.options(multiLine=True, pathGlobFilter=glob).schema(f"`{key}` array<variant>").json(path)
-    first = lists.select(F.min("_metadata.file_path")).first()[0]
-    docs = spark.read.options(multiLine=True, singleVariantColumn="doc").json(first)
-    members = docs.lateralJoin(spark.tvf.variant_explode(F.col("doc").outer()))
-    others = members.filter(F.col("key") != key).select("pos", "key", F.to_json("value").alias("value")).collect()
-    return {r.key: json.loads(r.value) for r in sorted(others)}
+def _require_lists(spark, path, key, glob, margin) -> None:
+    """Every file that is not empty opens a list of records, or an empty list."""
+    opened = r"^\s*\[" if key is None else rf'"{re.escape(key)}"\s*:\s*\['
+    files = spark.read.option("pathGlobFilter", glob).text(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(
+        F.bool_or(F.col("value").rlike(opened)).alias("opened"), F.bool_or(F.trim("value") != "").alias("filled")
+    )
+    lacking = files.where("filled and not opened").first()
+    if lacking:
+        raise InvalidData(f"not an indented envelope: '{lacking.file}' has no list '{key}'")
+
+
+def envelope_fields(spark: SparkSession, path: str, key: str = "value", layout: str = "document", glob: str = "*") -> dict:
+    """The other fields of the envelopes at `path` (W5), which must be the same in all of them.
+
+    Field names come from the parser's own scan of each document's keys and their values from
+    a read of just these fields: `key`, of any size, is never a VARIANT. In the lines layout
+    the fields stand in the head lines.
+    """
+    if layout == "lines":
+        lines = _classified_lines(_raw_lines(spark, path, glob), key).where("kind = 'head'")
+        heads = lines.select(F.concat("text", F.lit("]}")).alias("document")).distinct()
+    else:
+        heads = None
+        whole = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
+    keys = (heads.select(F.json_object_keys("document")) if heads is not None else whole.select(F.json_object_keys("value")))
+    names = [r[0] for r in keys.select(F.explode(keys.columns[0])).distinct().collect() if r[0] != key]
+    if not names:
+        return {}
+    schema = T.StructType([T.StructField(n, T.VariantType()) for n in names])
+    if heads is not None:
+        read = heads.select(F.from_json("document", schema).alias("f")).select("f.*")
+    else:
+        read = spark.read.options(multiLine=True, pathGlobFilter=glob).schema(schema).json(path)
+    texts = read.select(*[F.to_json(F.col(f"`{n}`")).alias(f"f{i}") for i, n in enumerate(names)]).distinct().limit(2).collect()
+    if len(texts) > 1:
+        raise InvalidData(f"the envelopes at '{path}' differ; pass the fields to write")
+    order = keys.first()[0] if texts else []
+    found = {n: json.loads(t) for n, t in zip(names, texts[0]) if t is not None} if texts else {}
+    return {n: found[n] for n in [*[o for o in order if o in found], *sorted(set(found) - set(order))]}
 
 
 def corrupt_documents(spark: SparkSession, path: str, key: str = "value", glob: str = "*") -> DataFrame:
@@ -203,21 +314,32 @@ def field(record: Column, name: str) -> Column:
     return F.variant_get(record, f"$['{escaped}']", "variant")
 
 
-def typed(value: Column, target: T.DataType) -> Column:
-    """A VARIANT as a column of `target`, with the conversions of a typed insert."""
+def typed(value: Column, target: T.DataType, name: str = "value") -> Column:
+    """A VARIANT as a column of `target`, with the conversions of a typed insert.
+
+    JSON null is null; a value that cannot be converted fails the job and the error names the
+    field. Whole numbers keep all digits: decimals are rounded as decimals, not as doubles.
+    """
+    text = F.variant_get(value, "$", "string")
+    kind = F.regexp_extract(F.schema_of_variant(value), r"^[A-Z]+", 0)
+    if isinstance(target, T.StringType):
+        return text
     if isinstance(target, T.LongType):
-        kind = F.schema_of_variant(value)
-        text = F.variant_get(value, "$", "string")
-        return (
-            F.when(kind == "BIGINT", F.variant_get(value, "$", "bigint"))
+        converted = (
+            F.when(kind == "BIGINT", F.try_variant_get(value, "$", "bigint"))
             .when(kind == "STRING", to_bigint(text, T.StringType()))
-            .otherwise(to_bigint(F.variant_get(value, "$", "double"), T.DoubleType()))
+            .when(kind == "DECIMAL", to_bigint(F.try_variant_get(value, "$", "decimal(38,18)"), T.DecimalType(38, 18)))
+            .otherwise(to_bigint(F.try_variant_get(value, "$", "double"), T.DoubleType()))
         )
-    if isinstance(target, (T.TimestampNTZType, T.DateType)):
-        return F.variant_get(value, "$", "string").cast(target)
-    return F.variant_get(value, "$", target.simpleString())
+    elif isinstance(target, (T.TimestampNTZType, T.DateType)):
+        converted = text.try_cast(target)
+    else:
+        converted = F.try_variant_get(value, "$", target.simpleString())
+    message = F.concat(F.lit(f"column '{name}': cannot convert to {target.simpleString()}: "), F.to_json(value))
+    failed = value.isNotNull() & ~F.coalesce(F.is_variant_null(value), F.lit(True))
+    return F.coalesce(converted, F.when(failed, F.raise_error(message).cast(target)))
 
 
 def record_columns(df: DataFrame, schema: T.StructType, record: str = "record") -> DataFrame:
     """Spread the records into typed columns; absent and null both become null."""
-    return df.select(*[typed(field(F.col(record), f.name), f.dataType).alias(f.name) for f in schema])
+    return df.select(*[typed(field(F.col(record), f.name), f.dataType, f.name).alias(f.name) for f in schema])

@@ -1,4 +1,5 @@
 import json
+from decimal import Decimal
 
 import pytest
 from conftest import rows
@@ -114,10 +115,50 @@ def test_R11_directory(spark, tmp_path):
     assert records(E.read_envelope(spark, str(tmp_path), glob="*.json", mode="failfast")) == [{"a": 1}, {"a": 2}]
 
 
-def test_oversized_document_is_refused(spark, tmp_path):
-    path = save(tmp_path / "x.json", {"value": RECORDS})
-    with pytest.raises(InvalidData, match="layout='indented'"):
-        E.read_envelope(spark, path, max_document_bytes=10)
+def test_R8_lines_lose_nothing(spark, tmp_path):
+    path = tmp_path / "x.json"
+
+    def read(text, mode="failfast", key="value"):
+        path.write_text(text)
+        return records(E.read_envelope(spark, str(path), key, "lines", mode))
+
+    assert read('{"@odata.context": "c", "value": [{"a": 1}, {"a": 2}]}') == [{"a": 1}, {"a": 2}]
+    assert read('{"value": [\n{"a": 1},\n{"a": 2}\n], "next": "n"}') == [{"a": 1}, {"a": 2}]
+    assert read('[\n{"a": 1},\n{"a": 2}\n]', key=None) == [{"a": 1}, {"a": 2}]
+    for text in ('{"value": [\n{"a": 1},\n{"a": \n{"a": 3}\n]}', '{"value": [\n{"a": 1},\n{"a": 2}', '{"value": [{"a": 1},\n{"a": 2}\n]}'):
+        with pytest.raises((PySparkException, Py4JJavaError, InvalidData), match="MALFORMED_RECORD"):
+            read(text)
+    assert read('{"value": [{"a": 1},\n{"a": 2}\n]}', "permissive") == [{"a": 2}]
+    assert [r.text for r in E.rejected_lines(spark, str(path)).collect()] == ['{"value": [{"a": 1},']
+
+
+def test_R8_indents_of_any_kind(spark, tmp_path):
+    data = {"@odata.context": "c", "value": [{"a": 1, "n": {"b": [1]}}, {}, {"a": 2}]}
+    for indent in (1, 4, "\t"):
+        path = save(tmp_path / "x.json", data, indent)
+        assert records(E.read_envelope(spark, path, layout="indented", mode="failfast")) == data["value"]
+    path = save(tmp_path / "y.json", data | {"links": [{"h": 1}]})
+    with pytest.raises(PySparkException, match="not an indented envelope"):
+        E.read_envelope(spark, path, layout="indented", mode="failfast").collect()
+    path = save(tmp_path / "z.json", {"other": [{"a": 1}]})
+    with pytest.raises(InvalidData, match="no list 'value'"):
+        E.read_envelope(spark, path, layout="indented", mode="failfast").collect()
+
+
+def test_values_keep_their_digits_or_fail(spark, tmp_path):
+    text = '{"value": [{"i": 9007199254740993.0, "d": 1234567890123456789.123456789012345678, "t": null}]}'
+    (tmp_path / "x.json").write_text(text)
+    df = E.read_envelope(spark, str(tmp_path / "x.json"), mode="failfast")
+    schema = spark.createDataFrame([], "i bigint, d decimal(38,18), t date").schema
+    assert rows(E.record_columns(df, schema)) == [(9007199254740993, Decimal("1234567890123456789.123456789012345678"), None)]
+    write_envelope(df, str(tmp_path / "out"), record="record", indent=True)
+    back = E.read_envelope(spark, str(tmp_path / "out"), layout="indented", mode="failfast")
+    assert rows(E.record_columns(back, schema)) == rows(E.record_columns(df, schema))
+    for kind, value in (("bigint", '"thirty"'), ("bigint", "[1]"), ("double", '"abc"'), ("date", '"2024-13-01"')):
+        (tmp_path / "y.json").write_text(f'{{"value": [{{"x": {value}}}]}}')
+        bad = E.record_columns(E.read_envelope(spark, str(tmp_path / "y.json")), spark.createDataFrame([], f"x {kind}").schema)
+        with pytest.raises((PySparkException, Py4JJavaError), match="column 'x': cannot convert"):
+            bad.collect()
 
 
 def test_W1_W2_codecs(spark, table, tmp_path):

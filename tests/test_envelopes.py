@@ -3,7 +3,7 @@ import json
 import pytest
 from conftest import rows
 
-from batchwright.errors import EmptyInput, SchemaNotFound
+from batchwright.errors import EmptyInput, InvalidData, SchemaNotFound
 from batchwright.operators import envelopes as W
 from batchwright.schema import get_schema, read_table
 from batchwright.sources.envelope import envelope_fields, read_envelope
@@ -69,6 +69,30 @@ def test_D1_W5_envelope_to_envelope(spark, tmp_path):
     assert envelope_fields(spark, source) == {"@odata.context": "ç", "n": {"a": 1}}
 
 
+def test_W5_envelopes_are_kept_or_refused(spark, tmp_path):
+    for name, context in (("a", "A"), ("b", "A")):
+        save(tmp_path / f"{name}.json", {"@odata.context": context, "value": [record(1), record(2)]}, 2)
+    for layout in ("document", "indented"):
+        out = tmp_path / f"out-{layout}"
+        assert tuple(W.dedupe_envelope(spark, str(tmp_path / "?.json"), str(out), layout=layout).first())[:3] == (4, 2, 2)
+        kept = {k: v for part in out.glob("part-*") for k, v in json.loads(part.read_text()).items() if k != "value"}
+        assert kept == {"@odata.context": "A"}
+    assert envelope_fields(spark, str(tmp_path / "out-document"), layout="lines") == {"@odata.context": "A"}
+    save(tmp_path / "b.json", {"@odata.context": "B", "@odata.nextLink": "n", "value": [record(3)]})
+    with pytest.raises(InvalidData, match="envelopes .* differ"):
+        W.dedupe_envelope(spark, str(tmp_path / "?.json"), str(tmp_path / "out2"))
+
+
+def test_W9_rejects_are_counted_and_bad_values_fail(spark, tmp_path):
+    lines = [json.dumps(record(1)), '{"field_code": ', json.dumps(record(2)), "nonsense"]
+    (tmp_path / "x.jsonl").write_text("\n".join(lines))
+    result = W.load_records(spark, str(tmp_path / "x.jsonl"), str(tmp_path / "t"), layout="lines")
+    assert (result.inserted, result.rejected) == (2, 2)
+    path = save(tmp_path / "y.json", {"value": [record(1, days_on_production="thirty")]})
+    with pytest.raises(Exception, match="days_on_production"):
+        W.load_records(spark, path, str(tmp_path / "t2"))
+
+
 def test_D2_no_key_fields(spark, tmp_path):
     value = [{"a": 1, "b": 2}, {"b": 2, "a": 1}, {"a": 1, "b": 3}, {"a": 1}, {"a": 1, "b": None}]
     source = save(tmp_path / "x.json", {"value": value})
