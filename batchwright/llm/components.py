@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from batchwright.storage import materialize
@@ -25,26 +25,26 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of an edge table (u, v): root is the component's smallest node.
 
-    Each step aggregates by node before its exchange and joins the minima back, a join whose
-    large partitions can be split, so that a hub is never gathered in one task. Every step's
-    edges are written to the shared folder; the loop ends when a round changes nothing,
-    after a number of rounds that grows with the logarithm of the size squared at most.
-    Edges with a null end and loops are left out.
+    Each step aggregates by node before its exchange, and its edges are written to the shared
+    folder with their checksum. The loop ends when a large-star step changes nothing: then
+    every component is a star around its smallest node. Edges with a null end and loops are
+    left out.
     """
 
-    def settle(edges: DataFrame) -> tuple[DataFrame, tuple]:
-        kept = materialize(edges.where("u <> v").distinct(), "links")
-        sums = kept.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod("v", F.lit(1 << 20)))).first()
-        return kept, tuple(sums)
-
-    oriented = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    edges, before = settle(oriented)
-    while before[0]:
-        edges, _ = settle(_large_star(edges))
-        edges, after = settle(_small_star(edges))
-        if after == before:
+    def settle(edges: DataFrame) -> tuple[DataFrame, dict]:
+        seen = Observation()
+        kept = edges.where("u <> v").distinct().observe(
+            seen, F.count(F.lit(1)).alias("edges"), F.sum(F.shiftright(F.xxhash64("u", "v"), 24)).alias("mark")
+        )
+        return materialize(kept, "links"), seen.get
+
+    edges, mark = settle(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    while mark["edges"]:
+        before = mark
+        edges, mark = settle(_large_star(edges))
+        if mark == before:
             break
-        before = after
+        edges, mark = settle(_small_star(edges))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

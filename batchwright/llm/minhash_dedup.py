@@ -36,8 +36,8 @@ BANDS, ROWS = 26, 4
 HASHES = BANDS * ROWS
 #: Signatures that agree in less than this share are not verified: six standard errors below the threshold.
 ALIKE = 0.64
-#: Members of a leader, or of a part of a family, that meet in one group, and bytes of sets of such a part.
-BLOCK, BLOCK_BYTES = 256, 1 << 23
+#: Members of a leader, or of a part of a bucket, that meet in one group.
+BLOCK = 256
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -143,7 +143,7 @@ def verify(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     The set of v travels to its partner u. A u with many partners is salted: its own set is
     copied once for each BLOCK of them.
     """
-    counted = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+    counted = materialize(pairs.groupBy("u").agg(F.count(F.lit(1)).alias("n")), "centers")
     salts = F.ceil(F.col("n") / BLOCK).cast("int")
     own = counted.select(
         F.col("u").alias("id"), F.col("u").alias("center"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"),
@@ -183,7 +183,8 @@ def _with_leaders(members: DataFrame) -> DataFrame:
         F.max("id").alias("high"),
         F.min_by("id", F.xxhash64("id")).alias("mixed"),
     ).where("n > 1")
-    return members.join(buckets, "bucket")
+    # Written first: a join can only split a hot bucket if no aggregation stands between it and its exchange.
+    return members.join(materialize(buckets, "leaders"), "bucket")
 
 
 def _ordered(a: str | Column, b: str | Column) -> list[Column]:
@@ -197,53 +198,49 @@ def _unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
     )
     open_buckets = (
         named.groupBy("bucket")
-        .agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"))
+        .agg(F.min("root").alias("low"), F.max("root").alias("high"))
         .where("low <> high")
-        .select("bucket", "n")
+        .select("bucket")
     )
-    return named.join(open_buckets, "bucket")
+    return named.join(materialize(open_buckets, "open-buckets"), "bucket")
 
 
 def late_links(open_members: DataFrame, classes: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """Links (u, v) across components within buckets that hold several, enough to join what is linked.
 
-    Buckets that share members form a family. A family is cut into parts of about BLOCK
-    members and BLOCK_BYTES of sets, and every two parts meet in one task. There, pairs whose
-    whole signatures look alike are verified on full sets unless they are joined already: a
-    task gives a spanning forest of its links, never all pairs.
+    A bucket is cut into parts of about BLOCK members, and every two parts meet in one task.
+    There, pairs whose whole signatures look alike are verified on full sets, each in the
+    first band in which it agrees, and only if they are not joined already: a task gives a
+    spanning forest of its links, never all pairs.
     """
-    buckets = open_members.groupBy("bucket").agg(F.min("id").alias("low"))
-    families = connected_components(open_members.join(buckets, "bucket").select(F.col("id").alias("u"), F.col("low").alias("v")))
-    members = (
-        open_members.select("id", "root").distinct()
-        .join(families.select(F.col("node").alias("id"), F.col("root").alias("family")), "id")
+    sizes = materialize(open_members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "open-sizes")
+    salts = F.ceil(F.col("n") / BLOCK).cast("int")
+    columns = ("id", "root", "salt", "signature", "shingles")
+    salted = (
+        open_members.select("bucket", "id", "root")
         .join(classes.select("id", "signature"), "id")
         .join(sets, "id")
+        .join(sizes.select("bucket", salts.alias("salts")), "bucket")
+        .withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
     )
-    members = materialize(members, "families")
-    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("shingles")).alias("size"))
-    salts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_BYTES)).cast("int")
-    salted = members.join(sizes.select("family", salts.alias("salts")), "family").withColumn(
-        "salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")
-    )
-    columns = ("id", "root", "salt", "signature", "shingles")
-    dealt = salted.select("family", *columns, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("other")).select(
-        "family", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), *columns, F.lit(0).alias("last")
+    dealt = salted.select("bucket", *columns, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("other")).select(
+        "bucket", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), *columns, F.lit(0).alias("last")
     )
     ends = sizes.select(
-        "family", F.explode(F.sequence(F.lit(0), salts - 1)).alias("i"), salts.alias("salts")
-    ).select("family", "i", F.explode(F.sequence(F.col("i"), F.col("salts") - 1)).alias("j"))
+        "bucket", F.explode(F.sequence(F.lit(0), salts - 1)).alias("i"), salts.alias("salts")
+    ).select("bucket", "i", F.explode(F.sequence(F.col("i"), F.col("salts") - 1)).alias("j"))
     for name in columns:
         ends = ends.withColumn(name, F.lit(None).cast(dealt.schema[name].dataType))
 
     def start():
         held: list[tuple] = []
 
-        def forest(out):
+        def forest(out, bucket):
             """Link what is similar and not joined yet; held rows are one part, or two of different salts."""
             signatures = np.frombuffer(b"".join(r[3] for r in held), dtype=np.uint32).reshape(-1, HASHES)
             ids, labels, parts = (np.array([r[k] for r in held]) for k in (0, 1, 2))
             shingles = [np.frombuffer(r[4], dtype=np.uint64) for r in held]
+            keys = band_keys(signatures)
             one_part = len(set(parts.tolist())) == 1
             for a in range(len(held) - 1):
                 rest = slice(a + 1, None)
@@ -251,26 +248,27 @@ def late_links(open_members: DataFrame, classes: DataFrame, sets: DataFrame, sim
                 if not one_part:
                     alike &= parts[a] != parts[rest]
                 for b in np.flatnonzero(alike) + a + 1:
-                    if labels[a] != labels[b] and _linked(shingles[a], shingles[b], similarity):
+                    first = keys[a][np.argmax(keys[a] == keys[b])]
+                    if first == bucket and labels[a] != labels[b] and _linked(shingles[a], shingles[b], similarity):
                         out["u"].append(int(min(ids[a], ids[b])))
                         out["v"].append(int(max(ids[a], ids[b])))
                         labels[labels == labels[b]] = labels[a]
 
         def step(batch):
             out = {"u": [], "v": []}
-            for *row, last in zip(*(batch[c] for c in (*columns, "last"))):
+            for bucket, *row, last in zip(*(batch[c] for c in ("bucket", *columns, "last"))):
                 if not last:
                     held.append(row)
                     continue
                 if len(held) > 1:
-                    forest(out)
+                    forest(out, bucket)
                 held.clear()
             return out
 
         return step
 
     rows = dealt.unionByName(ends.withColumn("last", F.lit(1)))
-    return _in_order(rows, ["family", "i", "j"], ["last"], start, "u bigint, v bigint")
+    return _in_order(rows, ["bucket", "i", "j"], ["last"], start, "u bigint, v bigint")
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
