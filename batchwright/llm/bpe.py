@@ -194,23 +194,26 @@ def send_vocabulary(spark: SparkSession, path: str, pattern: str):
     return spark.sparkContext.broadcast((hashlib.sha256(data + pattern.encode()).hexdigest(), data, pattern))
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, pattern: str, verify: bool = False) -> DataFrame:
     """The rows of `docs` with token_ids (array<int>): the text's numbers, without special tokens.
 
-    A null or empty text has no tokens. All columns but one named token_ids are kept.
+    A null or empty text has no tokens. All columns but one named token_ids are kept. With
+    `verify` every text's numbers are decoded again, and one that differs stops the job.
     """
     sent = send_vocabulary(docs.sparkSession, path, pattern)
     base = docs.drop("token_ids")
 
     def run(batch):
         tokenizer = _tokenizer(sent)
-        names = list(batch)
-        for start, end in slices([t or "" for t in batch["text"]], SLICE_CHARS):
-            part = {n: batch[n][start:end] for n in names}
+        texts = [t or "" for t in batch["text"]]
+        for start, end in slices(texts, SLICE_CHARS):
             ids = []
-            for pieces in tokenizer.learn([t or "" for t in part["text"]]):
-                ids.append([int(i) for p in pieces for i in tokenizer.known[p][0].split(",")])
-            yield part | {"token_ids": ids}
+            for text, cut in zip(texts[start:end], tokenizer.learn(texts[start:end])):
+                joined = ",".join([tokenizer.known[p][0] for p in cut])
+                ids.append(np.array(joined.split(",") if joined else [], dtype=np.int32))
+                if verify and tokenizer.decode(ids[-1].tolist()) != text.encode("utf-8", "surrogatepass"):
+                    raise ValueError("decoded bytes differ from the text")
+            yield {n: batch[n][start:end] for n in batch} | {"token_ids": ids}
 
     return map_batches(base, run, StructType([*base.schema.fields, StructField("token_ids", ArrayType(IntegerType()))]))
 

@@ -25,12 +25,24 @@ def ids_and_text(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", whole_text().alias("text"))
 
 
+#: Bytes of a record batch that become Python values together.
+PIECE_BYTES = 1 << 23
+
+
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about PIECE_BYTES; nothing for an empty batch."""
+    parts = max(1, -(-batch.nbytes // PIECE_BYTES))
+    rows = max(1, -(-batch.num_rows // parts))
+    for start in range(0, batch.num_rows, rows):
+        yield batch.slice(start, rows)
+
+
 def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], Iterable[dict[str, list]] | dict[str, list]],
                 schema: str) -> DataFrame:
     """Run `fn` over Arrow batches as plain lists of Python values, one task per input partition.
 
-    `fn` gets {column: list} and returns {column: list}; its frame is never larger than one
-    batch, so a task's memory does not grow with its partition.
+    `fn` gets {column: list} and returns {column: list}, of about PIECE_BYTES or one row at a
+    time, so a task's memory grows neither with its partition nor with the rows of a batch.
     """
     from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -40,13 +52,12 @@ def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], Iterable[dict[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target = to_arrow_schema(spec)
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            got = fn(batch.to_pydict())
-            for out in [got] if isinstance(got, dict) else got:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[f.name], type=f.type) for f in target], schema=target
-                )
+            for piece in pieces(batch):
+                got = fn(piece.to_pydict())
+                for out in [got] if isinstance(got, dict) else got:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(out[f.name], type=f.type) for f in target], schema=target
+                    )
 
     return df.mapInArrow(run, spec)
 
