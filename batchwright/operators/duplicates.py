@@ -18,8 +18,6 @@ from batchwright.operators.joins import rows_with_keys
 # Key columns used when the caller names none.
 DEFAULT_KEYS = ("field_code", "well_code", "production_period")
 
-BROADCAST_EXAMPLES = 10_000
-
 
 def resolve_keys(df: DataFrame, keys: Sequence[str] | None = None) -> list[str]:
     """Those of the wanted keys that exist, or all columns when none does."""
@@ -125,7 +123,7 @@ def duplicate_examples(
     repeated = grouped.agg(F.count("*").alias("__n"), *start).filter("__n > 1")
     order = (["__start"] if ordinal else []) + [f"`{c}`" for c in names]
     first = repeated.orderBy(*order).limit(k).select(*[f"`{c}`" for c in names])
-    return rows_with_keys(df, F.broadcast(first) if k <= BROADCAST_EXAMPLES else first, names)
+    return rows_with_keys(df, first, names)
 
 
 def assert_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -51,23 +51,27 @@ def sum_product_filtered(spark, sf_dir):
     """
     SELECT l_linenumber, avg(CAST(floor(l_quantity) AS BIGINT)) AS quantity,
            avg(CAST(round(l_extendedprice * 100) AS BIGINT)) AS price_cents,
-           avg(CAST(floor(l_extendedprice / nullif(l_quantity, 0) * 1000000) AS BIGINT)) AS unit_price_micros
-    FROM lineitem WHERE year(l_shipdate) > 1995 AND l_quantity > 1 AND l_discount > 0 AND l_extendedprice > 0
+           avg(CAST(floor(l_extendedprice / nullif(l_quantity, 0) * 1000000) AS BIGINT)) AS unit_price_micros,
+           round(avg(l_extendedprice / nullif(l_quantity, 0)), 6) AS unit_price
+    FROM lineitem WHERE l_shipdate >= '1996-01-01' AND l_quantity > 1 AND l_discount > 0 AND l_extendedprice > 0
     GROUP BY l_linenumber ORDER BY l_linenumber
     """
 )
 def group_means(spark, sf_dir):
-    """Three means, one of them of a ratio. The measures are whole numbers here, so that
-    the means do not depend on the order of addition."""
+    """Means of whole numbers, which do not depend on the order of addition, and of a ratio
+    of doubles, rounded to what does not depend on it either."""
     where = (
-        (F.year("l_shipdate") > 1995) & (F.col("l_quantity") > 1) & (F.col("l_discount") > 0) & (F.col("l_extendedprice") > 0)
+        (F.col("l_shipdate") >= F.lit("1996-01-01").cast("timestamp_ntz")) & (F.col("l_quantity") > 1) & (F.col("l_discount") > 0) & (F.col("l_extendedprice") > 0)
     )
     means = {
         "quantity": F.floor("l_quantity"),
         "price_cents": Q.fixed_point(F.col("l_extendedprice"), 2),
         "unit_price_micros": F.floor(Q.mean_ratio("l_extendedprice", "l_quantity") * 1_000_000),
     }
-    return Q.group_means(table(spark, sf_dir, "lineitem"), "l_linenumber", means, where)
+    lines = table(spark, sf_dir, "lineitem")
+    doubles = {"unit_price": Q.mean_ratio("l_extendedprice", "l_quantity")}
+    found = Q.group_means(lines, "l_linenumber", means | doubles, where)
+    return found.withColumn("unit_price", F.round("unit_price", 6))
 
 
 @registered(

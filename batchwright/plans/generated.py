@@ -51,13 +51,16 @@ def synth_audit(spark, sf_dir):
 
 @registered(
     """
-    SELECT (3 * count(*) + 7)::BIGINT AS rows, (3 * count(*) + 7)::BIGINT AS distinct_keys, true AS in_range FROM part
+    SELECT p_partkey, p_name, p_brand, 3 + CASE WHEN row_number() OVER (ORDER BY p_partkey) <= 7 THEN 1 ELSE 0 END AS rows,
+           3 + CASE WHEN row_number() OVER (ORDER BY p_partkey) <= 7 THEN 1 ELSE 0 END AS keys_of_its_own, true AS in_range,
+           p_name AS data_source
+    FROM part
     """
 )
 def synth_variations(spark, sf_dir):
-    """Varied records with the parts as templates."""
-    part = table(spark, sf_dir, "part")
-    made = G.synth_variations(part, 3 * part.count() + 7, ["p_partkey"], seed=7)
+    """Varied records with the parts as templates, told per template."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
+    made = G.synth_variations(part, 3 * part.count() + 7, ["p_partkey"], seed=7, source="p_name")
     fits = (
         F.col("field_code").between(1, 10_000)
         & F.col("well_code").between(1_000, 99_999)
@@ -70,9 +73,13 @@ def synth_variations(spark, sf_dir):
         & F.col("liquids_production_kbd").between(0, 5)
         & F.col("water_production_kbd").between(0, 20)
     )
-    keyed = made.groupBy(*D.DEFAULT_KEYS).agg(F.count("*").alias("n"), F.bool_and(fits).alias("ok"))
-    return keyed.agg(
-        F.sum("n").alias("rows"), F.count("*").alias("distinct_keys"), F.bool_and("ok").alias("in_range")
+    # A key belongs to the template of its first row; a key made twice is counted for one template only.
+    keyed = made.groupBy(*D.DEFAULT_KEYS).agg(
+        F.count("*").alias("n"), F.bool_and(fits).alias("ok"),
+        *[F.min(c).alias(c) for c in ("p_partkey", "p_name", "p_brand", "data_source")],
+    )
+    return keyed.groupBy("p_partkey", "p_name", "p_brand", "data_source").agg(
+        F.sum("n").cast("int").alias("rows"), F.count("*").cast("int").alias("keys_of_its_own"), F.bool_and("ok").alias("in_range")
     )
 
 

@@ -62,10 +62,27 @@ def zstd_roundtrip(spark, sf_dir):
     return bulk_read(spark, path)
 
 
-@registered("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000")
+@registered(
+    """
+    SELECT o_orderkey, o_totalprice, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, o_totalprice > 250000 AS large
+    FROM orders WHERE o_totalprice > 100000
+    """
+)
 def scan_batches(spark, sf_dir):
-    orders = Q.where_all(table(spark, sf_dir, "orders"), F.col("o_totalprice") > 100000)
-    return map_batches(orders.select("o_orderkey", "o_totalprice"), rows=4096)
+    """A filtered scan whose record batches are worked on as Arrow columns."""
+
+    def priced(batch):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        price = batch.column("o_totalprice")
+        cents = pc.cast(pc.round(pc.multiply(price, 100.0)), pa.int64())
+        columns = [batch.column("o_orderkey"), price, cents, pc.greater(price, 250000.0)]
+        return pa.RecordBatch.from_arrays(columns, ["o_orderkey", "o_totalprice", "cents", "large"])
+
+    orders = Q.where_all(table(spark, sf_dir, "orders"), F.col("o_totalprice") > 100000).select("o_orderkey", "o_totalprice")
+    kind = orders.schema["o_orderkey"].dataType.simpleString()
+    return map_batches(orders, priced, f"o_orderkey {kind}, o_totalprice double, cents bigint, large boolean", rows=4096)
 
 
 @registered("SELECT * FROM supplier")

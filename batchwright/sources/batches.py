@@ -21,13 +21,16 @@ def map_batches(
     schema: StructType | str | None = None,
     rows: int = ROWS_PER_BATCH,
 ) -> DataFrame:
-    """Apply `fn` to every record batch of at most `rows` rows, one batch in memory."""
+    """Apply `fn` to every record batch of at most `rows` rows, one batch in memory. Without
+    `fn` the frame is returned as it is: nothing is sent to Python and back."""
+    if fn is None:
+        return df
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, rows):
                 piece = batch.slice(start, rows)
-                yield fn(piece) if fn else piece
+                yield fn(piece)
 
     return df.mapInArrow(run, schema or df.schema)
 

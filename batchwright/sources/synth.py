@@ -14,7 +14,8 @@ from batchwright.functions import scalar as S
 from batchwright.operators.position import with_row_position
 
 CHUNK = 1_000_000
-BROADCAST_TEMPLATES = 10_000
+# Templates up to this size, as measured, are broadcast.
+BROADCAST_TEMPLATE_BYTES = 64 * 1024 * 1024
 
 
 def _volume(i: Column, start: float, step: float) -> Column:
@@ -80,7 +81,8 @@ def expand_templates(templates: DataFrame, n: int, order: Sequence[str], name: s
     template, so a few templates with many copies each do not end up in a few tasks.
     """
     placed = with_row_position(templates, order, "__position")
-    m = placed.count()
+    width = F.octet_length(F.to_json(F.struct(*[f"`{c}`" for c in templates.columns])))
+    m, size = placed.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
     if m == 0:
         raise InvalidData("there are no templates to expand")
     base, extra = divmod(n, m)
@@ -90,7 +92,8 @@ def expand_templates(templates: DataFrame, n: int, order: Sequence[str], name: s
     if base:
         position = position.otherwise(extra + F.floor((number - longer) / base))
     numbered = templates.sparkSession.range(n).select(F.col("id").alias(name)).withColumn("__position", position)
-    placed = F.broadcast(placed) if m <= BROADCAST_TEMPLATES else placed
+    # Either way gives the same rows; above the bound the join is left to Spark.
+    placed = F.broadcast(placed) if size <= BROADCAST_TEMPLATE_BYTES else placed
     return numbered.join(placed, "__position").select(*[f"`{c}`" for c in templates.columns], number)
 
 
@@ -104,6 +107,10 @@ FIELDS = FIELD_CODES[1] - FIELD_CODES[0] + 1
 WELLS = WELL_CODES[1] - WELL_CODES[0] + 1
 MONTHS = (LAST_MONTH.year - FIRST_MONTH.year + 1) * 12
 KEY_SPACE = FIELDS * WELLS * MONTHS
+VARIED = (
+    "field_code", "_field_name", "well_code", "_well_reference", "well_name", "production_period", "days_on_production",
+    "oil_production_kbd", "gas_production_mmcfd", "liquids_production_kbd", "water_production_kbd", "data_source", "partition_0",
+)
 KEY_STRIDE = 7_368_787  # prime and not a factor of KEY_SPACE, so multiples do not repeat
 
 
@@ -114,7 +121,8 @@ def synth_variations(
 
     The key comes from the row number through a one-to-one map into the space of
     (field, well, month), so the closed-form duplicate counts always hold. `source` names
-    the template column with the data source; without it the default is used.
+    the template column with the data source, in which an explicit null stays null; without
+    it the default is used. Columns of the template that are not varied follow as they are.
     """
     if n > KEY_SPACE:
         raise InvalidData(f"there are only {KEY_SPACE} distinct keys")
@@ -128,8 +136,7 @@ def synth_variations(
     period = F.add_months(F.lit(FIRST_MONTH), month.cast("int"))
     digit = [S.hash_int(seed, number, f"ref{k}", 1, 9).cast("string") for k in (1, 2)]
     reference = F.concat_ws("-", digit[0], S.capital_letter(seed, number, "letter"), digit[1], F.lit("BA"))
-    given = F.col(f"`{source}`") if source else F.lit(None).cast("string")
-    return rows.select(
+    varied = [
         field.alias("field_code"),
         S.tagged("Field_number_", field).alias("_field_name"),
         well.alias("well_code"),
@@ -141,9 +148,10 @@ def synth_variations(
         S.hash_real(seed, number, "gas", 100, 7).alias("gas_production_mmcfd"),
         S.hash_real(seed, number, "liquids", 5, 8).alias("liquids_production_kbd"),
         S.hash_real(seed, number, "water", 20, 8).alias("water_production_kbd"),
-        F.coalesce(given, F.lit(DEFAULT_SOURCE)).alias("data_source"),
+        (F.col(f"`{source}`") if source else F.lit(DEFAULT_SOURCE)).alias("data_source"),
         F.lit("latest").alias("partition_0"),
-    )
+    ]
+    return rows.select(*varied, *[f"`{c}`" for c in templates.columns if c not in VARIED])
 
 
 def inject_duplicates(df: DataFrame, order: Sequence[str], extra: int = 1) -> DataFrame:

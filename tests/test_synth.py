@@ -70,8 +70,10 @@ def test_G1_G2_audit_columns(spark):
     assert G.synth(spark, 1, with_audit=True).columns[:3] == ["id", "created_at", "version"]
 
 
+@pytest.mark.parametrize("limit", [G.BROADCAST_TEMPLATE_BYTES, 0])
 @pytest.mark.parametrize("m,n", [(5, 17), (5, 20), (5, 3), (1, 9), (4, 0)])
-def test_J3_quota(spark, m, n):
+def test_J3_quota(spark, monkeypatch, m, n, limit):
+    monkeypatch.setattr(G, "BROADCAST_TEMPLATE_BYTES", limit)
     templates = spark.createDataFrame([(i * 10,) for i in range(m)], "t bigint")
     got = G.expand_templates(templates.repartition(3), n, ["t"])
     want = [t * 10 for t in range(m) for _ in range(n // m + (t < n % m))]
@@ -92,8 +94,11 @@ def test_G4_keys_never_repeat(spark):
     made = G.synth_variations(templates, 20_001, ["t"], seed=5, source="s")
     keys = made.select("field_code", "well_code", "production_period").distinct()
     assert keys.count() == 20_001 == made.count()
-    assert {r.data_source for r in made.select("data_source").distinct().collect()} == {"src", G.DEFAULT_SOURCE}
+    assert {r.data_source for r in made.select("data_source").distinct().collect()} == {"src", None}
     assert made.filter("_well_reference = well_name").count() == 20_001
+    assert {tuple(r) for r in made.select("t", "s", "data_source").distinct().collect()} == {(0, "src", "src"), (1, None, None)}
+    plain = G.synth_variations(templates, 10, ["t"])
+    assert {r.data_source for r in plain.collect()} == {G.DEFAULT_SOURCE}
     assert rows(made) == rows(G.synth_variations(templates.repartition(2), 20_001, ["t"], seed=5, source="s"))
     with pytest.raises(InvalidData):
         G.synth_variations(templates, G.KEY_SPACE + 1, ["t"])
