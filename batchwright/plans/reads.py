@@ -12,7 +12,7 @@ from batchwright.sources.batches import map_batches
 from batchwright.sources.envelope import read_envelope, record_columns
 from batchwright.sources.local import from_local
 from batchwright.sources.parquet import bulk_read, parquet_scan, read_partitioned
-from batchwright.storage import scratch_path
+from batchwright.storage import filesystem, scratch_path
 
 ENVELOPE = {"@odata.context": "production/$metadata#Agência"}
 
@@ -162,6 +162,60 @@ def partitioned_scan(spark, sf_dir):
     return wanted.select("l_orderkey", "l_extendedprice", "year", "month")
 
 
+@registered(
+    """
+    SELECT o_orderkey, o_totalprice, nullif(o_orderpriority, '5-LOW') AS priority FROM orders
+    WHERE nullif(o_orderpriority, '5-LOW') IS NULL OR o_orderpriority < '3'
+    """
+)
+def partitioned_text(spark, sf_dir):
+    """Partitions that are text, one of them null."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.nullif("o_orderpriority", F.lit("5-LOW")).alias("priority"))
+    path = scratch_path(spark, "partitioned-text")
+    write_parquet(orders, path, partition_by=["priority"])
+    return read_partitioned(spark, path, ["priority"], where="priority IS NULL OR priority < '3'")
+
+
+@registered(
+    """
+    SELECT l_orderkey, l_linenumber, CAST(l_partkey AS BIGINT) AS part, CAST(l_quantity AS REAL) AS half,
+           l_shipdate AS shipped, CAST(l_shipdate AS DATE) AS day
+    FROM lineitem
+    """
+)
+def feather_types(spark, sf_dir):
+    """Files with types that Spark lacks: unsigned and 16-bit numbers, nanoseconds, dates as milliseconds."""
+    path = scratch_path(spark, "feather-types")
+    source = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_shipdate")
+
+    def write(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        for i, batch in enumerate(batches):
+            key, line, part, quantity, shipped = batch.columns
+            columns = {
+                "l_orderkey": key.cast(pa.uint32()),
+                "l_linenumber": line.cast(pa.uint8()),
+                "part": part.cast(pa.uint64()),
+                "half": pa.array(np.asarray(quantity).astype(np.float16)),
+                "shipped": shipped.cast(pa.timestamp("ns")),
+                "day": shipped.cast(pa.date32()).cast(pa.date64()),
+            }
+            out = pa.record_batch(columns)
+            fs, folder = filesystem(path)
+            fs.create_dir(folder)
+            with fs.open_output_stream(f"{folder}/part-{TaskContext.get().partitionId()}-{i}.arrow") as sink:
+                with pa.ipc.new_file(sink, out.schema) as writer:
+                    writer.write_batch(out)
+            yield pa.record_batch({"rows": pa.array([batch.num_rows], pa.int64())})
+
+    source.mapInArrow(write, "rows bigint").agg(F.sum("rows")).collect()
+    found = bulk_read(spark, path, "feather")
+    return found.withColumns({c: F.col(c).cast("bigint") for c in ("l_orderkey", "l_linenumber", "part")})
+
+
 @registered("SELECT count(*) AS rows_written, count(*) AS rows_read, true AS matches FROM lineitem")
 def reconcile_counts(spark, sf_dir):
     source = table(spark, sf_dir, "lineitem")

@@ -40,8 +40,22 @@ TARGET_BYTES = 128 * 1024 * 1024
 ROWS_PER_BATCH = 65_536
 
 
+# Types that Spark lacks, and the narrowest it has that holds all their values.
+WIDER = {
+    pa.uint8(): pa.int16(),
+    pa.uint16(): pa.int32(),
+    pa.uint32(): pa.int64(),
+    pa.uint64(): pa.decimal128(20, 0),
+    pa.float16(): pa.float32(),
+    pa.date64(): pa.date32(),
+}
+
+
 def plain_type(t: pa.DataType) -> pa.DataType:
-    """The Arrow type Spark knows for encodings that differ only in layout."""
+    """The Arrow type Spark knows for encodings that differ only in layout, and the wider one
+    for types it lacks. Timestamps are cut to microseconds, towards zero."""
+    if t in WIDER:
+        return WIDER[t]
     if pa.types.is_dictionary(t):
         return plain_type(t.value_type)
     if pa.types.is_large_string(t) or pa.types.is_string_view(t):
@@ -162,7 +176,8 @@ class IpcReader(DataSourceReader):
             for batch in read_part(uri, k, n, self.layout, self.columns):
                 for start in range(0, batch.num_rows, ROWS_PER_BATCH):
                     piece = batch.slice(start, ROWS_PER_BATCH)
-                    arrays = [piece.column(f.name).cast(f.type) for f in self.target]
+                    # Only timestamps lose digits here; all other casts are to wider types.
+                    arrays = [piece.column(f.name).cast(f.type, safe=False) for f in self.target]
                     yield pa.RecordBatch.from_arrays(arrays, schema=self.target)
 
 

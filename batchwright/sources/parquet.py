@@ -9,6 +9,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from batchwright.errors import DatasetNotFound, InvalidData, ReadFailed
 from batchwright.sources.arrow_ipc import read_arrow
@@ -101,15 +102,35 @@ def partition_directories(spark: SparkSession, path: str, names: Sequence[str])
     return found.drop("path").distinct()
 
 
+def _native_partitions(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame | None:
+    """The dataset by Spark's own discovery of `name=value` directories; None for another layout."""
+    try:
+        scan = spark.read.option("basePath", path).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            raise DatasetNotFound(f"no data found for '{path}'") from e
+        if e.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        return None
+    if not set(names) <= set(scan.columns):
+        return None
+    whole = [F.col(f"`{n}`").cast("bigint").alias(n) if scan.schema[n].dataType == T.IntegerType() else F.col(f"`{n}`") for n in names]
+    return scan.select(*[f"`{c}`" for c in scan.columns if c not in names], *whole)
+
+
 def read_partitioned(
     spark: SparkSession, path: str, names: Sequence[str], where: str | None = None
 ) -> DataFrame:
     """Dataset laid out as one directory level per name.
 
-    `where` is a SQL predicate over the partition columns. It is evaluated on the list
-    of directories, so the files of the other directories are never opened. All
-    survivors are read in one scan, and the partition columns come from each file's path.
+    `name=value` directories are Spark's own: values are integers, dates or text, nulls are
+    kept, and `where` as well as later filters prune directories. Bare directories such as
+    `2015/01` hold integers; `where` is evaluated on their list, so the files of the others
+    are never opened, and the partition columns come from each file's path.
     """
+    scan = _native_partitions(spark, path, names)
+    if scan is not None:
+        return scan.filter(where) if where else scan
     directories = partition_directories(spark, path, names)
     kept = directories.filter(where) if where else directories
     paths = [r.directory for r in kept.select("directory").collect()]  # one row per directory

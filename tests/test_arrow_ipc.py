@@ -165,3 +165,27 @@ def test_R13_local_inputs(spark):
     assert rows(typed) == [(1, None), (None, "x")]
     with pytest.raises(InvalidData):
         from_local(spark, [{"a": 1}, {"a": "x"}])
+
+
+def test_R3_types_that_spark_lacks(spark, tmp_path):
+    ns = [1, -1_999, 1_700_000_000_123_456_789]
+    table = pa.table({
+        "u8": pa.array([0, 255, None], pa.uint8()),
+        "u16": pa.array([0, 65535, 1], pa.uint16()),
+        "u32": pa.array([0, 2**32 - 1, 1], pa.uint32()),
+        "u64": pa.array([0, 2**64 - 1, None], pa.uint64()),
+        "f16": pa.array([0.5, -2.0, None], pa.float32()).cast(pa.float16()),
+        "d64": pa.array([0, 86_400_000, None], pa.date64()),
+        "ns": pa.array(ns, pa.timestamp("ns")),
+        "list": pa.array([[1], [255], []], pa.list_(pa.uint8())),
+    })
+    with pa.ipc.new_file(str(tmp_path / "x.arrow"), table.schema) as writer:
+        writer.write_table(table)
+    df = A.read_arrow(spark, str(tmp_path))
+    kinds = dict(df.dtypes)
+    assert [kinds[c] for c in ("u8", "u16", "u32", "u64", "f16", "d64", "list")] == [
+        "smallint", "int", "bigint", "decimal(20,0)", "float", "date", "array<smallint>"]
+    got = df.collect()
+    assert {None if r.u64 is None else int(r.u64) for r in got} == {0, 2**64 - 1, None}
+    assert {r.u8 for r in got} == {0, 255, None} and {r.f16 for r in got} == {0.5, -2.0, None}
+    assert sorted(r.ns.microsecond for r in got) == [0, 123456, 999999]

@@ -187,3 +187,12 @@ def test_R1_named_dataset(spark, tmp_path):
 def test_scan_position(spark, sf):
     df = scan_position(spark.read.parquet(f"{sf}/lineitem.parquet"))
     assert sorted(r.row for r in df.select("ordinal.row").collect()) == list(range(6000))
+
+
+def test_R14_text_and_null_partitions(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a b", 7), (2, None, 8), (3, "c=d/e", None)], "v int, t string, n int")
+    df.write.partitionBy("t", "n").parquet(str(tmp_path / "d"))
+    got = read_partitioned(spark, str(tmp_path / "d"), ["t", "n"])
+    assert rows(got) == sorted([(1, "a b", 7), (2, None, 8), (3, "c=d/e", None)], key=repr)
+    assert rows(read_partitioned(spark, str(tmp_path / "d"), ["t", "n"], where="t IS NULL OR n = 7")) == [(1, "a b", 7), (2, None, 8)]
+    assert "PartitionFilters: [isnotnull(t" in got.filter("t = 'a b'")._jdf.queryExecution().executedPlan().toString()
