@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "scripts"))
 
 import __spark_entry__ as entry
-from batchwright import storage
-from batchwright.errors import BatchError
+from batchwright import plans, storage
 from batchwright.operators import append as A
 from batchwright.operators import duplicates as D
 from batchwright.operators import query as Q
@@ -30,7 +29,7 @@ def oracle():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(plans.QUERIES))
 def test_query_matches_its_sql(spark, sf, oracle, name):
     df = entry.queries()[name](spark, sf)
     text = plan(df)
@@ -42,7 +41,8 @@ def test_query_matches_its_sql(spark, sf, oracle, name):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(plans.QUERIES) == set(plans.ORACLES)
+    assert set(plans.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):
@@ -110,9 +110,8 @@ def test_partitioned_write_is_rebalanced(table):
 def test_scratch_folder_is_the_shared_one(spark):
     configured = spark.conf.get("spark.checkpoint.dir")
     assert storage.scratch_path(spark, "x").startswith(configured)
-    cluster = SimpleNamespace(
-        conf=SimpleNamespace(get=lambda *_: None),
-        sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="yarn"),
+    unset = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda name, *_: "hdfs://store/warehouse/" if name == "spark.sql.warehouse.dir" else None),
+        sparkContext=SimpleNamespace(getCheckpointDir=lambda: None),
     )
-    with pytest.raises(BatchError, match="spark.checkpoint.dir"):
-        storage.shared_folder(cluster)
+    assert storage.shared_folder(unset) == "hdfs://store/warehouse/batchwright-scratch"
