@@ -16,6 +16,7 @@ leaders by a join that can be split, and compared against salted copies of the l
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,11 +32,9 @@ from batchwright.storage import materialize
 SHINGLE_WORDS = 5
 #: Links have 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 85
-#: At similarity 0.85 all BANDS bands miss with probability 5e-9.
+#: All BANDS bands miss with probability 5e-9 at similarity 0.85, 1e-6 at 0.80.
 BANDS, ROWS = 26, 4
 HASHES = BANDS * ROWS
-#: Signatures that agree in less than this share are not verified: six standard errors below the threshold.
-ALIKE = 0.64
 #: Members of a leader, or of a part of a bucket, that meet in one group.
 BLOCK = 256
 
@@ -205,6 +204,12 @@ def _unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
     return named.join(materialize(open_buckets, "open-buckets"), "bucket")
 
 
+def alike(similarity: int) -> float:
+    """Share below which agreeing signatures are not verified: six standard errors below the threshold."""
+    share = similarity / 100
+    return share - 6 * math.sqrt(share * (1 - share) / HASHES)
+
+
 def late_links(open_members: DataFrame, classes: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """Links (u, v) across components within buckets that hold several, enough to join what is linked.
 
@@ -232,6 +237,8 @@ def late_links(open_members: DataFrame, classes: DataFrame, sets: DataFrame, sim
     for name in columns:
         ends = ends.withColumn(name, F.lit(None).cast(dealt.schema[name].dataType))
 
+    least = alike(similarity) * HASHES
+
     def start():
         held: list[tuple] = []
 
@@ -244,10 +251,10 @@ def late_links(open_members: DataFrame, classes: DataFrame, sets: DataFrame, sim
             one_part = len(set(parts.tolist())) == 1
             for a in range(len(held) - 1):
                 rest = slice(a + 1, None)
-                alike = (signatures[a] == signatures[rest]).sum(axis=1) >= ALIKE * HASHES
+                close = (signatures[a] == signatures[rest]).sum(axis=1) >= least
                 if not one_part:
-                    alike &= parts[a] != parts[rest]
-                for b in np.flatnonzero(alike) + a + 1:
+                    close &= parts[a] != parts[rest]
+                for b in np.flatnonzero(close) + a + 1:
                     first = keys[a][np.argmax(keys[a] == keys[b])]
                     if first == bucket and labels[a] != labels[b] and _linked(shingles[a], shingles[b], similarity):
                         out["u"].append(int(min(ids[a], ids[b])))

@@ -109,3 +109,15 @@ def test_components_of_random_graphs(spark):
     linked = {n for a, b in edges if a != b for n in (a, b)}
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {n: top(n) for n in linked}
+
+
+def test_similarity_given_sets_what_is_verified(spark):
+    """Six standard errors of 104 minima below the threshold, not below 0.85 whatever is asked for."""
+    from batchwright.llm.minhash_dedup import alike, drop_near_duplicates
+
+    assert 0.639 < alike(85) < 0.641 and 0.564 < alike(80) < 0.566
+    words = [f"w{i}" for i in range(101)]
+    other = words[:91] + [f"v{i}" for i in range(10)]  # 87 of 107 shingles in common: 0.81
+    docs = spark.createDataFrame([(0, " ".join(words)), (1, " ".join(other))], "doc_id long, text string")
+    assert [r.doc_id for r in drop_near_duplicates(docs, 80).collect()] == [0]
+    assert drop_near_duplicates(docs).count() == 2
