@@ -8,8 +8,9 @@ item), the window's words are hit.
 
 Benchmark items are a query set of bounded size per block: they are dealt into blocks by
 hash so that a block's text stays near BLOCK_BYTES, a block is read by its own small job and
-broadcast, and all documents are read once for each block. Documents are never shuffled
-unless there are several blocks, and then only their hits are.
+broadcast, and all documents are read once for each block. With one block nothing is
+shuffled. With several, rows are numbered and written once, the hits of all blocks on the
+unchanged text are gathered by row number, and the answer is the one a single block gives.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from batchwright.llm.common import map_batches, whole_text
+from batchwright.storage import materialize
 
 #: Consecutive words of an item that make a leak.
 WINDOW = 10
@@ -283,6 +285,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     return map_batches(together, join, together.schema)
 
 
+def _hits_of_blocks(numbered: DataFrame, blocks: list[list[tuple[str, str]]], window: int) -> DataFrame:
+    """row_number, n_words, spans, items of each row of (row_number, text): what all blocks together hit."""
+    found = block_hits(numbered, blocks[0], window).drop("text")
+    for rows in blocks[1:]:
+        found = found.unionByName(block_hits(numbered, rows, window).drop("text"))
+    together = found.groupBy("row_number").agg(
+        F.max("n_words").alias("n_words"),
+        F.flatten(F.collect_list("spans")).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    )
+
+    def join(batch):
+        joined = [merged([(s["start"], s["end"]) for s in spans]) for spans in batch["spans"]]
+        return batch | {"spans": [[{"start": a, "end": b} for a, b in spans] for spans in joined]}
+
+    return map_batches(together, join, together.schema)
+
+
 def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: the digest of `contamination`."""
     found = contamination(docs, benchmark)
@@ -309,13 +329,44 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     Each hit range goes, from its first word to its last; what stays is joined by nothing
     else, so the text around it is as it was. A document of which hits cover more than
     `coverage` of the words goes whole. Clean documents, and null or empty texts, stay as
-    they are. Where the benchmark needs several blocks, each reads the text that the one
-    before has left; a passage of one block is not judged by the coverage of another.
+    they are. Hits are those of the whole benchmark on the text as it is given, however many
+    blocks it needs.
     """
-    names = docs.columns
-    for rows in item_blocks(benchmark):
-        docs = _cut_block(docs, rows, window, coverage)
-    return docs.select(*names)
+    blocks = list(item_blocks(benchmark))
+    if len(blocks) == 1:
+        return _cut_block(docs, blocks[0], window, coverage)
+    # Two plain names that the table does not have itself.
+    number, spans = (next(n for n in (base + "_" * k for k in range(len(docs.columns) + 1)) if n not in docs.columns)
+                     for base in ("row_number", "spans"))
+    numbered = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "numbered-documents")
+    texts = numbered.select(F.col(number).alias("row_number"), whole_text().alias("text"))
+    found = _hits_of_blocks(texts, blocks, window).where(F.size("spans") > 0)
+    hits = found.select(F.col("row_number").alias(number), F.col("spans").alias(spans))
+
+    def cut(batch):
+        out = {name: [] for name in batch}
+        for i, text in enumerate(batch["text"]):
+            if batch[spans][i]:
+                text = _cut(text, [(s["start"], s["end"]) for s in batch[spans][i]], coverage)
+                if text is None:
+                    continue
+            for name in batch:
+                out[name].append(text if name == "text" else batch[name][i])
+        return out
+
+    return map_batches(numbered.join(hits, number, "left").drop(number), cut, docs.schema)
+
+
+def _cut(text: str, spans: list[tuple[int, int]], coverage: float) -> str | None:
+    """The text without the words of these ranges; None where they cover more than `coverage` of its words."""
+    data = text.encode("utf-8", "surrogatepass")
+    places, parts, done = _word_places(data), [], 0
+    if sum(b - a for a, b in spans) > coverage * len(places):
+        return None
+    for a, b in spans:
+        parts.append(data[done : places[a][0]])
+        done = places[b - 1][1]
+    return (b"".join(parts) + data[done:]).decode("utf-8", "surrogatepass")
 
 
 def _cut_block(docs: DataFrame, rows: list[tuple[str, str]], window: int, coverage: float) -> DataFrame:
@@ -325,17 +376,11 @@ def _cut_block(docs: DataFrame, rows: list[tuple[str, str]], window: int, covera
         automaton, _ = _automaton(sent, window)
         out = {name: [] for name in batch}
         for i, text in enumerate(batch["text"]):
-            words = words_of(text or "")
-            spans = merged(automaton.spans(words)[0])
+            spans = merged(automaton.spans(words_of(text or ""))[0])
             if spans:
-                if sum(b - a for a, b in spans) > coverage * len(words):
+                text = _cut(text, spans, coverage)
+                if text is None:
                     continue
-                data = text.encode("utf-8", "surrogatepass")
-                places, parts, done = _word_places(data), [], 0
-                for a, b in spans:
-                    parts.append(data[done : places[a][0]])
-                    done = places[b - 1][1]
-                text = (b"".join(parts) + data[done:]).decode("utf-8", "surrogatepass")
             for name in batch:
                 out[name].append(text if name == "text" else batch[name][i])
         return out

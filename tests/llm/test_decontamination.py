@@ -89,3 +89,28 @@ def test_empty_tables(spark):
     b = spark.createDataFrame([], "item_id long, text string")
     assert answer(contamination_report(d, b))[0][:4] == (1, 11, 0, 0)
     assert answer(contamination_report(d.limit(0), b)) == []
+
+
+def test_several_blocks_cut_as_one(spark, monkeypatch):
+    """Split coverage, overlapping items and words made neighbours by a cut, against the cut of one block."""
+    from batchwright.llm import decontamination
+
+    first, second = ([f"{c}{i}" for i in range(16)] for c in "pq")
+    overlap = first[8:] + [f"r{i}" for i in range(8)]
+    items = [("1", " ".join(first)), ("2", " ".join(second)), ("3", " ".join(overlap)), ("4", "l0 l1 l2 l3 l4 m0 m1 m2 m3 m4")]
+    pad = [f"w{i}" for i in range(50)]
+    docs = [
+        (1, " ".join(first + pad[:20] + second)),  # 32 of 52 words, 16 from each item
+        (2, " ".join(pad + first + overlap[8:] + ["end"])),  # items 1 and 3 share words here
+        (3, " ".join(pad + ["l0 l1 l2 l3 l4", *first, "m0 m1 m2 m3 m4"])),  # no window of item 4
+        (None, " ".join(pad + second)), (None, "clean"), (5, None), (5, ""), (5, ""),
+    ]
+    d = spark.createDataFrame([(*r, 0) for r in docs], "doc_id long, text string, spans int").repartition(3)
+    got = []
+    for blocks in ([items], [[i] for i in items]):
+        monkeypatch.setattr(decontamination, "item_blocks", lambda b, blocks=blocks: blocks)
+        got.append(sorted((tuple(r) for r in decontamination.decontaminate(d, None).collect()), key=repr))
+    assert got[1] == got[0]
+    texts = {r[0]: r[1] for r in got[0]}
+    assert 1 not in texts and texts[2].split() == pad + ["end"]
+    assert texts[3].split() == pad + "l0 l1 l2 l3 l4 m0 m1 m2 m3 m4".split()
