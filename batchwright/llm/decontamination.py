@@ -262,27 +262,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     A window is `window` consecutive item words; an item of fewer words, but not none, is one
     window. `spans` are word ranges (end exclusive) without overlap, `items` the ids, as text,
     of items with an occurring window. Null and empty texts have no words; an empty benchmark
-    hits nothing; rows that repeat a doc_id are answered one by one with one block and, as
-    they cannot be told apart, together with several.
+    hits nothing. Every row is answered by itself, also where a doc_id is null or repeated.
     """
     base = docs.select("doc_id", whole_text().alias("text"))
-    blocks = [block_hits(base, rows, window).drop("text") for rows in item_blocks(benchmark, block_bytes)]
+    blocks = list(item_blocks(benchmark, block_bytes))
     if len(blocks) == 1:
-        return blocks[0]
-    found = blocks[0]
-    for block in blocks[1:]:
-        found = found.unionByName(block)
-    together = found.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"),
-        F.flatten(F.collect_list("spans")).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
-
-    def join(batch):
-        joined = [merged([(s["start"], s["end"]) for s in spans]) for spans in batch["spans"]]
-        return batch | {"spans": [[{"start": a, "end": b} for a, b in spans] for spans in joined]}
-
-    return map_batches(together, join, together.schema)
+        return block_hits(base, blocks[0], window).drop("text")
+    numbered = materialize(base.withColumn("row_number", F.monotonically_increasing_id()), "numbered-documents")
+    found = _hits_of_blocks(numbered.select("row_number", "text"), blocks, window)
+    return numbered.select("row_number", "doc_id").join(found, "row_number").drop("row_number")
 
 
 def _hits_of_blocks(numbered: DataFrame, blocks: list[list[tuple[str, str]]], window: int) -> DataFrame:

@@ -91,6 +91,20 @@ def test_empty_tables(spark):
     assert answer(contamination_report(d.limit(0), b)) == []
 
 
+def test_several_blocks_answer_rows_one_by_one(spark):
+    """Rows with a null or repeated doc_id, against the answer of one block."""
+    from batchwright.llm.decontamination import contamination
+
+    other = " ".join(f"item{i}" for i in range(12))
+    docs = [(None, f"x {ITEM}"), (None, f"a b c {other} d"), (None, None), (7, ITEM), (7, f"{other} and {ITEM}"), (7, ITEM)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    b = spark.createDataFrame([(1, ITEM), (2, other)], "item_id long, text string")
+    one, several = (
+        sorted((tuple(r) for r in contamination(d, b, block_bytes=n).collect()), key=repr) for n in (1 << 20, 40)
+    )
+    assert several == one and len(one) == len(docs)
+
+
 def test_several_blocks_cut_as_one(spark, monkeypatch):
     """Split coverage, overlapping items and words made neighbours by a cut, against the cut of one block."""
     from batchwright.llm import decontamination
