@@ -11,10 +11,13 @@ from batchwright.llm.bpe import token_report
 from batchwright.llm.decontamination import contamination_report
 from batchwright.llm.exact_dedup import exact_dedup
 from batchwright.llm.html_extraction import extract_main_text
+from batchwright.llm.lexical_search import search
 from batchwright.llm.line_dedup import line_report
 from batchwright.llm.minhash_dedup import near_duplicates
 from batchwright.llm.pii import pii_report
 from batchwright.llm.quality import quality_report
+from batchwright.llm.secret_scan import secret_report
+from batchwright.llm.spelling_variants import spelling_variants
 from batchwright.llm.suffix_dedup import suffix_report
 from batchwright.llm.toxicity import toxicity_report
 
@@ -139,3 +142,50 @@ def op3_line_dedup(spark, sf_dir):
 @registered()
 def op1_suffix_dedup(spark, sf_dir):
     return suffix_report(table(spark, sf_dir, "documents"))
+
+
+@registered()
+def op11_secret_scan(spark, sf_dir):
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
+@registered()
+def op12_spelling_variants(spark, sf_dir):
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@registered(r"""
+    WITH d AS (
+      SELECT row_number() OVER () AS row_id, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+      FROM documents),
+    total AS (SELECT count(*) FILTER (len(terms) > 0) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d),
+    item AS (
+      SELECT number, item_id, term, count(*) AS times FROM (
+        SELECT number, item_id, unnest(regexp_extract_all(
+          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM (SELECT row_number() OVER () AS number, item_id, text FROM benchmark))
+      GROUP BY ALL),
+    asked AS (SELECT DISTINCT term FROM item),
+    tf AS (
+      SELECT row_id, doc_id, n, term, count(*) AS tf
+      FROM (SELECT row_id, doc_id, len(terms)::BIGINT AS n, unnest(terms) AS term FROM d) SEMI JOIN asked USING (term)
+      GROUP BY ALL),
+    weight AS (
+      SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+      FROM tf, total GROUP BY term),
+    entry AS (
+      SELECT row_id, doc_id, term,
+        w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms))) AS x
+      FROM tf JOIN weight USING (term), total),
+    scored AS (
+      SELECT number, item_id, row_id, doc_id, sum(times * x)::BIGINT AS score
+      FROM item JOIN entry USING (term) GROUP BY ALL HAVING sum(times * x) > 0),
+    ranked AS (
+      SELECT item_id, row_number() OVER (PARTITION BY number ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scored)
+    SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
+""")
+def op13_lexical_search(spark, sf_dir):
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

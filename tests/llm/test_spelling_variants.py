@@ -1,0 +1,113 @@
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+
+from batchwright.llm import spelling_variants as sv
+from batchwright.llm.queries import QUERIES
+
+
+def brute_counts(rows):
+    counts = Counter()
+    for doc_id, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = "".join(c.lower() if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            if h % 97 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[run] += 1
+    return {w: n for w, n in counts.items() if len(w) >= 5 and n >= 3}
+
+
+def distance_one(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def brute_forms(words):
+    """Every pair that shares a deletion is looked at."""
+    shares = defaultdict(set)
+    for w in words:
+        for key in {w} | {w[:i] + w[i + 1 :] for i in range(len(w))}:
+            shares[key].add(w)
+    near = defaultdict(set)
+    for group in shares.values():
+        for a in group:
+            near[a].update(b for b in group if a != b and distance_one(a, b))
+    form = {}
+    for w, n in words.items():
+        best = min(near[w], key=lambda x: (-words[x], x), default=None)
+        form[w] = best if best is not None and words[best] >= 2 * n else None
+    out = []
+    for w, n in words.items():
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out.append((w, form[w], root, n, len(near[w]), words[form[w]] if form[w] else None))
+    return sorted(out)
+
+
+COLUMNS = ("word", "form", "root", "n", "n_near", "form_n")
+
+
+def test_query_equals_brute_force(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = sorted(tuple(r) for r in QUERIES["op12_spelling_variants"](spark, sf).select(*COLUMNS).collect())
+    assert got == brute_forms(brute_counts(rows))
+    assert any(r[1] for r in got) and any(r[2] not in (r[0], r[1]) for r in got)
+
+
+def test_near_words_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(12)
+    words = {}
+    while len(words) < 3000:
+        word = "".join(rng.choice("abàÿé") for _ in range(rng.randint(5, 9)))
+        words[word] = rng.randint(3, 60)
+    words |= {"a" * 40: 9, "a" * 41: 3, "a" * 42: 4, "b" * 5: 9, "b" * 6: 9, "b" * 7: 30, "×÷aaa": 3, "×aaa÷": 3}
+    frame = spark.createDataFrame(list(words.items()), "word string, n long").repartition(7)
+    want = brute_forms(words)
+    assert sorted(tuple(r) for r in sv.group_variants(frame).collect()) == want
+    # Dense blocks are cut into tiles: the answer is the same.
+    monkeypatch.setattr(sv, "CHUNK_ROWS", 4)
+    monkeypatch.setattr(sv, "TILE_ROWS", 3)
+    seen = defaultdict(int)
+    dealt = [tuple(r) for r in sv.dealt(frame).collect()]
+    blocks = defaultdict(list)
+    for row in dealt:
+        blocks[row[0]].append(row)
+    for rows in blocks.values():
+        block, length, piece, word, n = (np.array(c) for c in zip(*rows))
+        for w, k, _, _ in zip(*sv.compare(block, length, piece, word, n)):
+            seen[w] += k
+    assert {w: k for w, _, _, _, k, _ in want if k} == dict(seen)
+
+
+def test_squared_distances_of_blocks():
+    words = ["abcde", "abcdf", "abcdee", "vwxyz", "aaaaa"]
+    codes = np.array(words).reshape(-1, 1).view(np.uint32).reshape(len(words), -1)
+    counts = sv.letter_counts(codes)
+    got = sv.squared_distances(counts, counts)
+    for i, a in enumerate(words):
+        for j, b in enumerate(words):
+            assert got[i, j] == sum((a.count(c) - b.count(c)) ** 2 for c in set(a + b))
+
+
+def test_noise_and_letters():
+    total = Counter()
+    sv.count_runs(7, "ÀB aB İstanbul x_y× ab", total)
+    assert +total == Counter({"Àb": 1, "ab": 2, "stanbul": 1, "x": 1, "y×": 1})
+    assert sv.noisy("abcde", 97 * 7) == "abcd" and sv.noisy("abcde", 98) == "abcde" and sv.noisy("a", 97) == ""
+
+
+def test_edge_rows(spark):
+    text = "River river rivers " * 2 + "x" * 100_000
+    rows = [(1, None), (2, ""), (None, text), (3, text), (3, text), (4, "1 2 3 _ 中文")]
+    df = spark.createDataFrame([(*r, "w", 0) for r in rows], "doc_id long, text string, word string, n int")
+    want = brute_forms(brute_counts(rows))
+    assert sorted(tuple(r) for r in sv.spelling_variants(df).collect()) == want and len(want) >= 3
+    assert sv.spelling_variants(df.limit(0)).collect() == []
