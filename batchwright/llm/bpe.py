@@ -22,6 +22,8 @@ from batchwright.llm.common import ids_and_text, map_batches, slices
 
 #: Cells of one padded matrix.
 MATRIX_CELLS = 1 << 20
+#: Pieces beyond it are merged by themselves, all places of a rank in one round.
+LONG_BYTES = 1024
 #: Characters of distinct pieces that a Python worker remembers before it starts afresh.
 REMEMBERED_CHARS = 2_000_000
 #: Characters of text that are cut and encoded together.
@@ -99,6 +101,8 @@ class Tokenizer:
             whole = self.ranks.get(piece)
             if whole is not None:
                 out[i] = [whole]
+            elif len(piece) > LONG_BYTES:
+                out[i] = self._merge_long(piece)
             elif piece:
                 by_size.setdefault((len(piece) - 1).bit_length(), []).append(i)
             else:
@@ -151,6 +155,40 @@ class Tokenizer:
             matrix, score = matrix[:, :most], score[:, : max(most - 1, 1)]
         return done
 
+    def _merge_long(self, piece: bytes) -> list[int]:
+        """Merge one long piece: a round takes all places of the smallest rank, from left to right.
+
+        That is what merging them one by one gives, unless a merge makes a pair of a smaller
+        rank still; a round in which that happens takes the leftmost place only.
+        """
+        tokens = self.of_byte[np.frombuffer(piece, dtype=np.uint8)]
+        score = self.table.ranks(tokens[:-1], tokens[1:])
+        while len(score) and (rank := score.min()) != _ABSENT:
+            at = np.flatnonzero(score == rank)
+            # Places that overlap, as in a run of one byte: every second one of a run is merged.
+            run_start = np.append(True, np.diff(at) > 1)
+            in_run = np.arange(len(at)) - np.maximum.accumulate(np.where(run_start, np.arange(len(at)), 0))
+            at = at[in_run % 2 == 0]
+            merged, rescored = self._merged_at(tokens, score, at, rank)
+            if len(at) > 1 and (rescored < rank).any():
+                merged, rescored = self._merged_at(tokens, score, at[:1], rank)
+            tokens, score = merged, rescored
+        return tokens.tolist()
+
+    def _merged_at(self, tokens: np.ndarray, score: np.ndarray, at: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens and scores after the pairs at these places have become `rank`."""
+        joined = tokens.copy()
+        joined[at] = rank
+        keep = np.ones(len(tokens), dtype=bool)
+        keep[at + 1] = False
+        joined = joined[keep]
+        after = score[np.flatnonzero(keep)[:-1]] if len(joined) > 1 else score[:0]
+        new = at - np.arange(len(at))  # places of the merged tokens
+        touched = np.union1d(new, new - 1)
+        touched = touched[(touched >= 0) & (touched < len(joined) - 1)]
+        after[touched] = self.table.ranks(joined[touched], joined[touched + 1])
+        return joined, after
+
     def _rescore(self, matrix, score, lengths, at) -> None:
         """Look up the pair that begins in column `at` of each row, where there is one."""
         rows = np.flatnonzero((at >= 0) & (at < lengths - 1))

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -75,3 +76,39 @@ def test_documents_round_trip(spark):
     got = decode_documents(encode_documents(df, PATH, PATTERN), PATH, PATTERN).collect()
     assert {r.doc_id: bytes(r.decoded).decode() for r in got} == {i: t or "" for i, t in rows}
     assert [len(r.token_ids) for r in sorted(got)][:2] == [0, 0]
+
+
+def test_long_pieces_by_rounds_of_one_rank(ours, theirs, monkeypatch):
+    """Short pieces through the long ones' way as well, so that every rank order occurs."""
+    rng = random.Random(6)
+    with monkeypatch.context() as m:
+        m.setattr(bpe, "LONG_BYTES", 1)
+        for _ in range(4000):
+            text = "".join(rng.choice("abcdeéstioningrñ") for _ in range(rng.randint(1, 60)))
+            assert ours.encode(text) == theirs.encode_ordinary(text), text
+        for text in ("a" * 999, "ab" * 333, "aab" * 200):
+            assert ours.encode(text) == theirs.encode_ordinary(text)
+
+
+def test_a_merge_that_opens_a_smaller_rank():
+    """A vocabulary in which a union is older than one of its parts, which training cannot give."""
+    own = {bytes([b]): b + 1000 for b in range(256)} | {b"ab": 2000, b"cab": 5, b"abab": 7, b"cabab": 3}
+    ranks = {token: rank for token, rank in own.items()}
+    mine = Tokenizer(ranks, r".+")
+    theirs = tiktoken.Encoding("odd", pat_str=r".+", mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(1)
+    for _ in range(500):
+        text = "".join(rng.choice("abc") for _ in range(rng.randint(2, 40)))
+        if text.encode() not in ranks:
+            assert mine._merge_long(text.encode()) == theirs.encode_ordinary(text), text
+
+
+def test_one_piece_of_a_megabyte(ours, theirs):
+    rng = random.Random(2)
+    for text in ("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000)), "x" * 1_000_000):
+        start = time.perf_counter()
+        ids = ours.encode(text)
+        assert time.perf_counter() - start < 20
+        assert ours.decode(ids) == text.encode()
+    short = text[:1] + "".join(rng.choice("etaoin") for _ in range(20_000))
+    assert ours.encode(short) == theirs.encode_ordinary(short)
