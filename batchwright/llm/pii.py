@@ -33,7 +33,7 @@ CUES = ("token", "secret", "password", "api_key", "apikey", "iban", "passport",
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(BASE_RULES["ip"])
+_IP = re.compile("(?<![0-9])" + BASE_RULES["ip"])  # what begins inside a run of digits has failed at its start
 _CARD = re.compile(BASE_RULES["card"])
 _PHONE = re.compile(BASE_RULES["phone"])
 _DOTTED = re.compile(r"[0-9.]+")
@@ -102,9 +102,9 @@ def _url(text: str, end: int, size: int) -> tuple[int, int] | None:
 
 
 def _secret(text: str, end: int) -> tuple[int, int] | None:
-    """The identifier after a cue: eight characters or more, a digit among them."""
+    """Eight or more characters of an identifier after a cue."""
     m = _CUED.match(text, end)
-    return m.span(1) if m and any(c.isdigit() for c in m.group(1)) else None
+    return m.span(1) if m else None
 
 
 def find(text: str) -> list[tuple[str, int, int]]:
@@ -114,7 +114,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
     if not _automaton:
         _automaton.append(_anchors())
     spans: dict[str, list[tuple[int, int]]] = {kind: [] for kind in KINDS}
-    dotted = spaced = mail_end = 0  # what has been parsed so far: anchors before it are done
+    dotted = spaced = mail_end = url_end = secret_end = 0  # what has been parsed so far: anchors before it are done
     for last, (kind, size) in _automaton[0].iter(text):
         if kind == "at":
             span = _email(text, last, mail_end)
@@ -133,13 +133,16 @@ def find(text: str) -> list[tuple[str, int, int]]:
             if span:
                 spans["phone"].append(span)
         elif kind == "scheme":
-            span = _url(text, last + 1, size)
+            span = _url(text, last + 1, size) if last >= url_end else None
             if span:
                 spans["url"].append(span)
+                url_end = span[1]
         else:
-            span = _secret(text, last + 1)
+            span = _secret(text, last + 1) if last + 1 >= secret_end else None
             if span:
-                spans["secret"].append(span)
+                secret_end = span[1]
+                if any(c.isdigit() for c in text[span[0] : span[1]]):
+                    spans["secret"].append(span)
     return [(kind, *span) for kind in KINDS for span in sorted(set(spans[kind]))]
 
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from batchwright.llm.pii import BASE_KINDS, BASE_RULES, find, pii_report, redact
 from batchwright.llm.queries import QUERIES
@@ -72,3 +73,10 @@ def test_edge_rows(spark):
     assert pii_report(df.limit(0)).collect() == []
     cleaned = {r.doc_id: r.text for r in redact(df.select("doc_id", "text")).collect()}
     assert cleaned[1] is None and cleaned[2] == "" and cleaned[3] == "[email]" and cleaned[4].endswith("é [ip]")
+
+
+def test_long_texts_take_linear_time():
+    for text in ("7" * 1_000_000, "1.2.3." * 160_000, "1." + "2" * 999_000, "http://" * 140_000, "token" * 200_000, "+1 " * 300_000, "a@" * 500_000, "a.b@" * 250_000):
+        start = time.perf_counter()
+        find(text)
+        assert time.perf_counter() - start < 10, text[:20]
