@@ -34,6 +34,7 @@ from batchwright.llm.common import map_batches
 
 # What HTML elements are.
 SILENT = frozenset("script style template noscript svg math iframe object canvas select option datalist head title".split())
+HEAD_ONLY = frozenset("base basefont bgsound link meta noframes noscript script style template title head html".split())
 CHROME = frozenset("nav header footer aside form menu dialog button".split())
 ARTICLE = frozenset("article main".split())
 BLOCKS = frozenset(
@@ -52,6 +53,9 @@ _CHROME_NAME = re.compile(
 _CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 _SPACE = re.compile(r"\s+")
 
+#: Html of a block, in bytes: blocks are as many as the input needs, and each is one task.
+BLOCK_BYTES = 64 * 1024 * 1024
+
 #: Zones of a line.
 FURNITURE, BODY, PLAIN = 0, 1, 2
 
@@ -75,6 +79,10 @@ class _Lines(HTMLParser):
             self.parts = []
 
     def handle_starttag(self, tag, attrs):
+        if self.silent == 1 and tag not in HEAD_ONLY and any(name == "head" for name, _ in self.open):
+            # The end tag of a head may be left out: what cannot stand there ends it.
+            self.open = [x for x in self.open if x[0] != "head"]
+            self.silent = 0
         if self.silent:
             if tag in SILENT and tag not in VOID:
                 self.open.append((tag, self.zone))
@@ -325,8 +333,8 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     not delete each other's text. A null page_id sorts before all others of its path.
     """
     configured = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = max(configured, -(-pages.rdd.getNumPartitions() // 2))
-    blocks = block_ends(pages, n)
+    size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    blocks = block_ends(pages, max(configured, -(-size // BLOCK_BYTES)))
     schema = pages.select("page_id", F.col("url").cast("string").alias("url")).schema
     spec = StructType([*schema.fields, *StructType.fromDDL("text string, n_chars bigint").fields])
 
@@ -373,5 +381,5 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
             answer(waiting, None)
             yield flush()
 
-    ordered = in_blocks(pages, blocks).repartition(max(1, len(blocks)), "block").sortWithinPartitions("block", *ORDER)
+    ordered = in_blocks(pages, blocks).repartitionById(max(1, len(blocks)), F.col("block")).sortWithinPartitions("block", *ORDER)
     return ordered.mapInArrow(run, spec)

@@ -98,3 +98,13 @@ def test_long_page():
     page = "<article>" + "".join(f"<p>line {i}" for i in range(30000)) + "</article>"
     lines = text_lines(page)
     assert len(lines) == 30000 and {z for z, _ in lines} == {BODY}
+
+
+def test_open_head_ends_where_the_body_begins():
+    for page in (
+        "<html><head><title>x</title><body><article><p>Hello world</p>",
+        "<html><head><meta charset=utf-8><title>x</title><article><p>Hello world</p></article>",
+        "<head><script>var a = '<p>';</script><style>p{}</style><p>Hello world</p>",
+        "<html><head><title>x <b> y</title></head><body><p>Hello world</p></body></html>",
+    ):
+        assert [line for _, line in text_lines(page)] == ["Hello world"], page
