@@ -206,16 +206,15 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[list[tuple[str, str]]]:
     """The items as (item_id text, text) in blocks of about `block_bytes`, one at a time.
 
-    Null texts and null ids are left out: the first has no words, the second no name.
+    Null and empty texts have no words and are left out. Items with a null id hit as all
+    others do, but have no name.
     """
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), whole_text().alias("text")).where(
-        F.col("item").isNotNull() & (F.col("text") != "")
-    )
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), whole_text().alias("text")).where("text <> ''")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(size / block_bytes))
     for b in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == b).collect()
-        yield sorted((r.item, r.text) for r in rows)
+        rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b).collect()
+        yield sorted(((r.item, r.text) for r in rows), key=lambda row: (row[0] is not None, row))
 
 
 _built: dict[int, tuple[ItemAutomaton, list[str]]] = {}
@@ -227,7 +226,7 @@ def _automaton(sent, window: int) -> tuple[ItemAutomaton, list[str]]:
     key = zlib.crc32(repr(rows).encode("utf-8", "surrogatepass")) * 1000 + window
     if key not in _built:
         _built.clear()
-        names = sorted({item for item, _ in rows})
+        names = sorted({item for item, _ in rows}, key=lambda item: (item is not None, item))
         place = {item: i for i, item in enumerate(names)}
         _built[key] = ItemAutomaton([(place[item], words_of(text)) for item, text in rows], window), names
     return _built[key]
@@ -246,7 +245,7 @@ def block_hits(docs: DataFrame, rows: list[tuple[str, str]], window: int = WINDO
             hits, items = automaton.spans(words)
             out["n_words"].append(len(words))
             out["spans"].append([{"start": a, "end": b} for a, b in merged(hits)])
-            out["items"].append(sorted(names[i] for i in items))
+            out["items"].append(sorted((names[i] for i in items), key=lambda item: (item is None, item)))
         return out
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
@@ -261,7 +260,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
     A window is `window` consecutive item words; an item of fewer words, but not none, is one
     window. `spans` are word ranges (end exclusive) without overlap, `items` the ids, as text,
-    of items with an occurring window. Null and empty texts have no words; an empty benchmark
+    of items with an occurring window; those without an id count as one, which is null and last. Null and empty texts have no words; an empty benchmark
     hits nothing. Every row is answered by itself, also where a doc_id is null or repeated.
     """
     base = docs.select("doc_id", whole_text().alias("text"))
@@ -292,7 +291,10 @@ def _hits_of_blocks(numbered: DataFrame, blocks: list[list[tuple[str, str]]], wi
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: the digest of `contamination`."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: the digest of `contamination`.
+
+    An item without an id is counted, but adds nothing to the hash.
+    """
     found = contamination(docs, benchmark)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select(
