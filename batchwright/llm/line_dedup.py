@@ -6,16 +6,15 @@ with digits are a wildcard from the start. Within a leaf, a token that few lines
 place becomes a wildcard, too, if most of the line is constant. Lines with one template are
 variants of one message.
 
-A template recurs when it stands in MIN_DOCS documents that are different documents. Copies
-of a document share all their lines, yet none of these is boilerplate: therefore documents
-are told apart by a fingerprint that survives small edits (the leaf of the longest line
-outside the leaf that is judged), and a template must have at least MIN_DOCS fingerprints and
-half as many as documents. Lines of recurring templates are dropped everywhere.
-
-`line_report` follows the rule of its SQL instead: the longest line is the fingerprint even
-for itself, and a template counts a document once for each of its variants there.
-
-Counts are aggregated before each exchange; no step gathers the lines of a leaf or template.
+A template recurs when it stands in documents that are different. Copies of a document share
+all their lines, near copies most of them, yet none of these is boilerplate. So a document has,
+for each leaf, a fingerprint that near copies share: the smallest hash of its other leaves.
+Exact copies (of one set of lines) count once. A template recurs if it has MIN_DOCS fingerprints
+or more, and at least one for every two different documents that hold it. Lines of recurring
+templates are dropped everywhere, by their place in the document.
+
+Lines are masked once. Counts are aggregated before each exchange; no step gathers the lines
+of a leaf or template, only those of one document.
 """
 
 from __future__ import annotations
@@ -24,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from batchwright.llm.common import whole_text
-from batchwright.storage import materialize
+from batchwright.storage import materialize, scratch_path
 
 #: Documents, and different documents, in which a template must stand.
 MIN_DOCS = 3
@@ -33,6 +32,8 @@ LEAD = 3
 #: Constant tokens per hundred that a generalised template must have.
 CONSTANT_SHARE = 60
 WILDCARD = "<*>"
+#: Column with the number of a row.
+ROW = "__line_row"
 
 
 def masked(line: Column) -> Column:
@@ -51,61 +52,68 @@ def leaf(line: Column) -> Column:
     return F.concat_ws(" ", n_tokens(line).cast("string"), F.substring_index(line, " ", LEAD))
 
 
-def _lines(text: str = "text") -> Column:
-    return F.split(F.col(text), "\n")
+def numbered(docs: DataFrame) -> DataFrame:
+    """The documents with a number for each row, written, so that every later step sees the same numbers."""
+    spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "numbered-lines")
+    rows = docs.withColumn(ROW, F.monotonically_increasing_id())
+    rows.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
-def line_table(docs: DataFrame, by_sql: bool = False) -> DataFrame:
-    """(doc_id, row, fingerprint, line_key, leaf_key) for each distinct masked line of each row; blank lines are left out."""
-    arrays = docs.select("doc_id", F.array_distinct(F.transform(_lines(), masked)).alias("lines"))
-    arrays = arrays.withColumn("lines", F.filter("lines", lambda x: x != ""))
-    line_leaf = F.xxhash64(leaf(F.col("line")))
-    if by_sql:
-        rows = arrays.select("doc_id", F.xxhash64(leaf(_longest("lines"))).alias("fingerprint"), F.explode("lines").alias("line"))
-        return rows.select("doc_id", "fingerprint", F.xxhash64("line").alias("line_key"), line_leaf.alias("leaf_key"))
-    tops = arrays.withColumn("row", F.monotonically_increasing_id()).withColumn("top", leaf(_longest("lines")))
-    # A document with nothing outside the leaf has the hash of null: all of these look the same.
-    tops = tops.withColumn("next", leaf(_longest(F.filter("lines", lambda x: leaf(x) != F.col("top")))))
-    rows = tops.select("doc_id", "row", F.xxhash64("top").alias("top"), F.xxhash64("next").alias("next"), F.explode("lines").alias("line"))
-    keyed = rows.select("doc_id", "row", "top", "next", F.xxhash64("line").alias("line_key"), line_leaf.alias("leaf_key"))
-    fingerprint = F.when(F.col("leaf_key") == F.col("top"), F.col("next")).otherwise(F.col("top"))
-    return keyed.select("doc_id", "row", fingerprint.alias("fingerprint"), "line_key", "leaf_key")
+def line_table(rows: DataFrame) -> DataFrame:
+    """(row, place, line_key, leaf_key) of the lines of each row that are not blank; the keys are hashes."""
+    split = rows.select(F.col(ROW).alias("row"), F.posexplode(F.split(whole_text(), "\n")).alias("place", "line"))
+    lines = split.select("row", "place", masked(F.col("line")).alias("line")).where(F.col("line") != "")
+    leaf_key = F.conv(F.substring(F.md5(leaf(F.col("line"))), 1, 15), 16, 10).cast("long")
+    return lines.select("row", "place", F.xxhash64("line").alias("line_key"), leaf_key.alias("leaf_key"))
 
 
-def _longest(lines: str | Column) -> Column:
-    return F.array_max(F.transform(lines, lambda x: F.named_struct(F.lit("size"), F.length(x), F.lit("line"), x)))["line"]
+def held_lines(lines: DataFrame) -> DataFrame:
+    """(line_key, fingerprint, document): the documents that hold a line.
 
+    `document` names the set of a document's lines, so exact copies share it; `fingerprint` is
+    its smallest leaf outside the line's own, -1 for a document with nothing else. The lines of
+    a document are brought together once for all of this.
+    """
+    once = lines.select("row", "line_key", "leaf_key").repartition("row").groupBy("row", "line_key").agg(F.any_value("leaf_key").alias("leaf_key"))
+    rows = once.groupBy("row").agg(
+        F.xxhash64(F.array_sort(F.collect_list("line_key"))).alias("document"),
+        F.slice(F.array_sort(F.collect_set("leaf_key")), 1, 2).alias("least"),
+    )
+    least, second = F.get("least", F.lit(0)), F.coalesce(F.get("least", F.lit(1)), F.lit(-1))
+    fingerprint = F.when(F.col("leaf_key") == least, second).otherwise(least)
+    return once.join(rows, "row").select("line_key", fingerprint.alias("fingerprint"), "document")
 
-def _recurring(counted: DataFrame, key: str) -> DataFrame:
-    """Keys of (key, fingerprint, n_docs) that recur across different documents."""
+
+def _recurring(held: DataFrame, key: str) -> DataFrame:
+    """Keys of (key, fingerprint, document) that recur across different documents."""
     return (
-        counted.groupBy(key)
-        .agg(F.sum("n_docs").alias("n_docs"), F.count_distinct("fingerprint").alias("n_prints"))
-        .where((F.col("n_docs") >= MIN_DOCS) & (F.col("n_prints") >= MIN_DOCS) & (2 * F.col("n_prints") >= F.col("n_docs")))
+        held.groupBy(key)
+        .agg(F.count_distinct("fingerprint").alias("n_prints"), F.count_distinct("document").alias("n_docs"))
+        .where((F.col("n_prints") >= MIN_DOCS) & (2 * F.col("n_prints") >= F.col("n_docs")))
         .select(key)
     )
 
 
-def generalised(docs: DataFrame, counted: DataFrame) -> DataFrame:
+def generalised(rows: DataFrame, lines: DataFrame) -> DataFrame:
     """(line_key, template) of lines in leaves with at least MIN_DOCS different lines, where enough is constant.
 
     Each different line counts once for the tokens at its places; a token that MIN_DOCS lines
-    of the leaf have at a place is constant there.
+    of the leaf have at a place is constant there. Only one line of each kind, in these
+    leaves, is looked up in the texts again.
     """
-    sizes = counted.select("leaf_key", "line_key").distinct().groupBy("leaf_key").agg(F.count(F.lit(1)).alias("n"))
-    crowded = materialize(sizes.where(F.col("n") >= MIN_DOCS).select("leaf_key"), "crowded-leaves")
-    text = docs.select(F.explode(F.array_distinct(F.transform(_lines(), masked))).alias("line"))
-    text = text.where((F.col("line") != "") & (n_tokens(F.col("line")) > LEAD)).select(
-        "line", F.xxhash64("line").alias("line_key"), F.xxhash64(leaf(F.col("line"))).alias("leaf_key")
-    )
-    lines = materialize(
-        # Grouped by line alone: the join's exchange by leaf is not reused, and a hot leaf can be split.
-        text.join(crowded, "leaf_key", "left_semi")
-        .groupBy("line_key")
-        .agg(F.any_value("leaf_key").alias("leaf_key"), F.any_value("line").alias("line")),
-        "crowded-lines",
+    kinds = lines.groupBy("line_key").agg(F.any_value("leaf_key").alias("leaf_key"), F.min(F.struct("row", "place")).alias("at"))
+    kinds = materialize(kinds, "line-kinds")
+    crowded = kinds.groupBy("leaf_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_DOCS).select("leaf_key")
+    wanted = kinds.join(crowded, "leaf_key", "left_semi").groupBy(F.col("at.row").alias(ROW)).agg(
+        F.collect_list(F.struct(F.col("at.place").alias("place"), "line_key", "leaf_key")).alias("wanted")
     )
-    tokens = lines.select("line_key", "leaf_key", F.posexplode(F.split("line", " ")).alias("place", "token"))
+    found = rows.select(ROW, F.split(whole_text(), "\n").alias("parts")).join(wanted, ROW)
+    found = found.select("parts", F.explode("wanted").alias("one"))
+    line = masked(F.get("parts", F.col("one.place")))
+    shown = found.select(line.alias("line"), "one.line_key", "one.leaf_key").where(n_tokens(F.col("line")) > LEAD)
+    crowded_lines = materialize(shown, "crowded-lines")
+    tokens = crowded_lines.select("line_key", "leaf_key", F.posexplode(F.split("line", " ")).alias("place", "token"))
     constant = (
         tokens.groupBy("leaf_key", "place", "token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_DOCS)
     ).select("leaf_key", "place", "token", F.lit(True).alias("constant"))
@@ -124,53 +132,44 @@ def generalised(docs: DataFrame, counted: DataFrame) -> DataFrame:
     )
 
 
-def recurring_lines(docs: DataFrame, by_sql: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, line_key) of all lines, and the line_key values whose templates recur across documents."""
-    rows = materialize(line_table(docs, by_sql), "lines")
-    counted = materialize(
-        rows.groupBy("line_key", "leaf_key", "fingerprint").agg(F.count(F.lit(1)).alias("n_docs")), "line-counts"
-    )
-    same = _recurring(counted, "line_key")
-    templates = materialize(generalised(docs, counted), "templates")
-    if by_sql:
-        by_template = templates.join(counted, "line_key").select("template", "fingerprint", "n_docs")
-    else:
-        # All variants of a template are in one leaf, so a row has one fingerprint for it.
-        once = templates.join(rows, "line_key").select("template", "fingerprint", "row").distinct()
-        by_template = once.groupBy("template", "fingerprint").agg(F.count(F.lit(1)).alias("n_docs"))
-    common = materialize(_recurring(by_template, "template"), "recurring-templates")
+def recurring_lines(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lines of numbered rows, and the line_key values whose templates recur across documents."""
+    lines = materialize(line_table(rows), "lines")
+    held = materialize(held_lines(lines), "held-lines")
+    templates = materialize(generalised(rows, lines), "templates")
+    # All variants of a template are in one leaf, so a document has one fingerprint for it.
+    common = materialize(_recurring(templates.join(held, "line_key"), "template"), "recurring-templates")
     variants = templates.join(common, "template").select("line_key")
-    return rows.select("doc_id", "line_key"), materialize(same.unionAll(variants).distinct(), "recurring")
+    return lines, materialize(_recurring(held, "line_key").unionAll(variants).distinct(), "recurring")
 
 
-def dedup_lines(docs: DataFrame, by_sql: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame) -> DataFrame:
     """The rows of `docs` with their text without the lines of recurring templates, n_lines and n_dropped.
 
     Null stays null and has no lines; a text of n line feeds has n + 1 lines; blank lines stay.
-    A document whose lines all recur has an empty text and stays. All rows of a repeated
-    doc_id, and rows with a null one, are treated alike: a template recurs in the whole table
-    or not. A row counts as a document. Columns named n_lines and n_dropped are replaced.
-    `by_sql` judges lines as the SQL of op3_line_dedup does.
+    A document whose lines all recur has an empty text and stays. Every row is a document,
+    also where a doc_id is null or repeated. Columns named n_lines and n_dropped are replaced.
     """
     base = docs.drop("n_lines", "n_dropped")
-    text = docs.select("doc_id", whole_text().alias("text"))
-    rows, recurring = recurring_lines(text, by_sql)
+    rows = numbered(base)
+    lines, recurring = recurring_lines(rows)
     drops = (
-        rows.join(recurring, "line_key")
-        .groupBy(F.col("doc_id").alias("drop_id"))
-        .agg(F.collect_set("line_key").alias("drop_keys"))
+        lines.select("row", "place", "line_key").join(recurring, "line_key")
+        .groupBy(F.col("row").alias(ROW)).agg(F.collect_list("place").alias("drop_places"))
     )
-    joined = base.join(drops, F.col("doc_id").eqNullSafe(F.col("drop_id")), "left")
-    kept = F.filter(_lines(), lambda x: ~F.array_contains("drop_keys", F.xxhash64(masked(x))))
-    with_kept = joined.withColumn("kept_lines", F.when(F.col("drop_keys").isNotNull(), kept))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines())).cast("long")
-    rewritten = F.coalesce(F.array_join("kept_lines", "\n"), F.col("text"))
-    n_dropped = F.coalesce(n_lines - F.size("kept_lines"), F.lit(0)).cast("long")
-    columns = [rewritten.alias("text") if c == "text" else F.col(c) for c in base.columns]
-    return with_kept.select(*columns, n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
+    joined = rows.join(drops, ROW, "left")
+    parts = F.split("text", "\n")
+    # Places of a document can be many: a map finds one at once, an array would be searched for each line.
+    dropped = F.map_from_arrays("drop_places", F.transform("drop_places", lambda p: F.lit(True)))
+    kept = F.filter(parts, lambda x, i: ~F.map_contains_key(dropped, i))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long")
+    n_dropped = F.coalesce(F.size("drop_places"), F.lit(0)).cast("long")
+    rewritten = F.when(F.col("drop_places").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    columns = [rewritten.alias("text") if c == "text" else F.col(f"`{c}`") for c in base.columns]
+    return joined.select(*columns, n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
 
 
 def line_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 (of the text that stays; null counts as empty)."""
-    done = dedup_lines(docs.select("doc_id", "text"), by_sql=True)
+    done = dedup_lines(docs.select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(whole_text(), 256).alias("kept_sha256"))

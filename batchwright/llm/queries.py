@@ -94,19 +94,19 @@ def op5_html_extraction(spark, sf_dir):
     masked AS (
       SELECT row_id, doc_id, list_distinct(list_filter(list_transform(parts, lambda x:
         regexp_replace(trim(x, ' '), '[^ 0-9]*[0-9][^ ]*', '<*>', 'g')), lambda x: x <> '')) AS lines FROM raw),
-    longest AS (
-      SELECT row_id, lines,
-        list_reverse_sort(list_transform(lines, lambda x: {'size': length(x), 'line': x}))[1].line AS top
-      FROM masked),
     line AS (
-      SELECT row_id, line, string_split(line, ' ') AS tokens,
-        concat_ws(' ', len(string_split(top, ' '))::VARCHAR, array_to_string(string_split(top, ' ')[1:3], ' ')) AS print
-      FROM (SELECT row_id, top, unnest(lines) AS line FROM longest)),
+      SELECT row_id, line, string_split(line, ' ') AS tokens, md5(array_to_string(list_sort(lines), chr(10))) AS document
+      FROM (SELECT row_id, lines, unnest(lines) AS line FROM masked)),
+    leafed AS (
+      SELECT row_id, line, tokens, document, concat_ws(' ', len(tokens)::VARCHAR, array_to_string(tokens[1:3], ' ')) AS leaf FROM line),
+    least AS (
+      SELECT row_id, list_sort(list_distinct(list(left(md5(leaf), 16)))) AS hashes FROM leafed GROUP BY row_id),
     keyed AS (
-      SELECT row_id, line, tokens, print, concat_ws(' ', len(tokens)::VARCHAR, array_to_string(tokens[1:3], ' ')) AS leaf FROM line),
+      SELECT l.*, CASE WHEN left(md5(leaf), 16) = hashes[1] THEN coalesce(hashes[2], '') ELSE hashes[1] END AS print
+      FROM leafed l JOIN least USING (row_id)),
     same AS (
       SELECT line FROM keyed GROUP BY line
-      HAVING count(*) >= 3 AND count(DISTINCT print) >= 3 AND 2 * count(DISTINCT print) >= count(*)),
+      HAVING count(DISTINCT print) >= 3 AND 2 * count(DISTINCT print) >= count(DISTINCT document)),
     once AS (SELECT DISTINCT line, leaf, tokens FROM keyed),
     crowded AS (SELECT leaf FROM once GROUP BY leaf HAVING count(*) >= 3),
     token AS (
@@ -119,7 +119,7 @@ def op5_html_extraction(spark, sf_dir):
       GROUP BY t.line HAVING 100 * count(c.token) >= 60 * count(*)),
     variant AS (
       SELECT template FROM template JOIN keyed USING (line) GROUP BY template
-      HAVING count(*) >= 3 AND count(DISTINCT print) >= 3 AND 2 * count(DISTINCT print) >= count(*)),
+      HAVING count(DISTINCT print) >= 3 AND 2 * count(DISTINCT print) >= count(DISTINCT document)),
     recurring AS (
       SELECT line FROM same UNION SELECT line FROM template JOIN variant USING (template)),
     part AS (

@@ -1,10 +1,11 @@
 import hashlib
+import random
 import re
 from collections import defaultdict
 
 import pytest
 
-from batchwright.llm.line_dedup import dedup_lines, line_report, recurring_lines
+from batchwright.llm.line_dedup import dedup_lines, generalised, held_lines, line_report, line_table, numbered, recurring_lines
 from batchwright.llm.queries import QUERIES
 
 
@@ -18,19 +19,18 @@ def leaf(line):
 
 
 def recurs(places):
-    """places: (document row, fingerprint) of each line or template."""
-    prints = {p for _, p in places}
-    return len(places) >= 3 and len(prints) >= 3 and 2 * len(prints) >= len(places)
+    """places: (document, fingerprint) of each line or template; copies of a document are one."""
+    prints, documents = {p for _, p in places}, {d for d, _ in places}
+    return len(prints) >= 3 and 2 * len(prints) >= len(documents)
 
 
 def brute(rows):
     where = defaultdict(list)
-    for k, (_, text) in enumerate(rows):
+    for _, text in rows:
         lines = {mask(x) for x in (text or "").split("\n")} - {""}
-        if lines:
-            top = max(lines, key=lambda x: (len(x), x.encode()))
-            for line in lines:
-                where[line].append((k, leaf(top)))
+        for line in lines:
+            others = {hashlib.md5(leaf(x).encode()).hexdigest()[:16] for x in lines if leaf(x) != leaf(line)}
+            where[line].append((frozenset(lines), min(others, default="")))
     dropped = {line for line, places in where.items() if recurs(places)}
     leaves = defaultdict(list)
     for line in where:
@@ -100,8 +100,9 @@ def test_empty_table(spark):
 
 def test_no_python_in_the_plan(spark, sf):
     df = QUERIES["op3_line_dedup"](spark, sf)
-    rows, recurring = recurring_lines(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
-    for frame in (df, rows, recurring):
+    rows = numbered(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    lines, recurring = recurring_lines(rows)
+    for frame in (df, line_table(rows), held_lines(lines), generalised(rows, lines), recurring):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan
 
@@ -131,3 +132,31 @@ def test_template_with_several_variants_in_each_document(spark):
              for i in range(100)]
     texts = [t.replace("alice", f"alice{word(i)}") for i, t in enumerate(texts)]
     assert set(dropped_by_stage(spark, texts)) == {5}
+
+
+def test_copies_do_not_outvote_a_line(spark):
+    line = "All rights reserved by the publisher of these pages"
+    texts = [f"{line}\n{word(i)} wrote this body" for i in range(300)]
+    assert set(dropped_by_stage(spark, texts + [texts[0]] * 2000)) == {1}
+
+
+def test_long_passage_in_many_documents(spark):
+    passage = " ".join(f"passage{word(i)}" for i in range(120))
+    texts = [f"short {word(i)} line\n{passage}\nand {word(i + 7)} a second short one" for i in range(200)]
+    assert set(dropped_by_stage(spark, texts)) == {1}
+
+
+@pytest.mark.parametrize("n_lines", [6, 20])
+def test_near_copies_keep_their_prose(spark, n_lines):
+    """Each copy has a word put into one of its lines."""
+    rng = random.Random(n_lines)
+    prose = [" ".join(f"{word(rng.randrange(10**6))}" for _ in range(12)) for _ in range(n_lines)]
+    texts = []
+    for i in range(120):
+        lines = list(prose)
+        at = rng.randrange(n_lines)
+        words = lines[at].split(" ")
+        words.insert(rng.randrange(len(words)), f"new{word(i)}")
+        lines[at] = " ".join(words)
+        texts.append("\n".join(lines))
+    assert set(dropped_by_stage(spark, texts)) == {0}
