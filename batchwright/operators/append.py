@@ -1,15 +1,15 @@
 """Appending batches to a primary-keyed table.
 
-The table is a Parquet directory; its key is enforced here. Checks run in the order a
-keyed insert applies them (binding, casts, NOT NULL, unique in the batch, unique against
-the table) and before any file is written, so a rejected batch leaves the table as it
-was. One writer per table at a time is assumed.
-
-Cost of an append to a table far larger than the batch: one aggregation over the batch
-finds its row count, null keys, key bytes and key ranges without an exchange; the ranges
-become filters on the table scan, so row groups and partitions outside them are skipped;
-of the rest only key columns are read; and when the keys of the batch, as just measured,
-fit a broadcast, the table is not shuffled.
+The batch is evaluated once: it is bound, cast and written to a scratch folder, and all that
+follows reads it there. Checks run in the order a keyed insert applies them (binding, casts,
+NOT NULL, unique in the batch, unique against the table). The rows then become a segment of
+the table, sorted by key, which is visible once the table's manifest names it (see
+`batchwright.segments`); a rejected batch leaves no file. One writer per table at a time is
+assumed, and a second one fails at its commit.
+
+Cost of an append to a table far larger than the batch: the batch, and those files of the
+table that can hold one of its keys. Of these only the key columns are read, in the batch's key
+ranges, and when the keys of the batch, as measured, fit a broadcast, the table is not shuffled.
 """
 
 from __future__ import annotations
@@ -18,9 +18,8 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import pyarrow as pa
 from py4j.protocol import Py4JJavaError
-from pyspark.errors import AnalysisException, PySparkException
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,13 +27,17 @@ from pyspark.sql import types as T
 from batchwright import storage
 from batchwright.errors import EmptyInput, InvalidData, KeyConflict
 from batchwright.functions.scalar import literal
-from batchwright.operators.binding import bind, converted_columns
+from batchwright.operators.binding import bind
 from batchwright.operators.duplicates import dedupe_first, duplicate_summary
-from batchwright.schema import TableSchema, empty_frame, get_schema, read_table
+from batchwright.operators.keyed_table import candidate_keys, merged_levels, write_segment
+from batchwright.schema import PLAIN_MARK, TableSchema, get_schema
+from batchwright.segments import Segment, commit, discard, segments, versions
 from batchwright.sinks.files import clustered
 
 # Keys of a batch up to this size, as measured, are broadcast; larger ones are shuffled.
 BROADCAST_KEY_BYTES = 64 * 1024 * 1024
+# Batches up to this many rows choose the files to open key by key, larger ones by their ranges.
+PROBE_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -86,23 +89,8 @@ def within_profile(target: DataFrame, keys: Sequence[str], profile: Row) -> Data
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
-    try:
-        return storage.exists(path)
-    except (OSError, pa.ArrowException):  # storage that only Spark can reach
-        pass
-    try:
-        spark.read.format("binaryFile").load(path)
-        return True
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return False
-        raise
-
-
-def _existing(spark: SparkSession, schema: TableSchema, path: str) -> DataFrame:
-    if table_exists(spark, path):
-        return read_table(spark, schema, path)
-    return empty_frame(spark, schema.to_struct())
+    """Whether there is a table at `path`, which Spark's own configuration resolves."""
+    return storage.path_exists(spark, path)
 
 
 def shared_keys(batch: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -166,33 +154,47 @@ def bulk_append(
     "First" is by `ordinal`, a column with the input position that is not itself data, or
     by the values of all columns when the batch has none.
 
-    The batch is read more than once. Pass deterministic=False when its rows would
-    differ between reads (uuid, now, rand, a changing source): it is then written to the
-    shared folder first and read from there.
+    The batch is evaluated once, so its rows may differ between reads (uuid, now, rand, a
+    changing source); `deterministic` is kept for callers that say so. A table declared in
+    the catalog takes its rows as plain files, without segments.
     """
     spark = df.sparkSession
     schema = get_schema(schema) if isinstance(schema, str) else schema
     if on_conflict not in ("error", "skip"):
         raise InvalidData(f"unknown conflict mode '{on_conflict}'")
-    keys = list(schema.primary_key)
     carried = [ordinal] if ordinal else []
-    batch = bind(df, schema, bind_by, carried)
-    converted = converted_columns(df, schema, bind_by, carried)
+    staging = storage.scratch_path(spark, "batch")
     try:
-        if not deterministic:
-            batch = storage.materialize(batch, "batch")
-        profile = key_profile(batch, keys, converted)
+        return _append_staged(bind(df, schema, bind_by, carried), staging, path, schema, on_conflict, carried, partition_by)
+    finally:
+        storage.delete(spark, staging)
+
+
+def _append_staged(
+    bound: DataFrame, staging: str, path: str, schema: TableSchema, on_conflict: str, carried: list[str], partition_by: Sequence[str]
+) -> AppendResult:
+    spark, keys = bound.sparkSession, list(schema.primary_key)
+    try:
+        bound.write.parquet(staging)
     except (PySparkException, Py4JJavaError) as e:
         raise _as_invalid(e) from e
+    batch = spark.read.schema(bound.schema).parquet(staging)
+    profile = key_profile(batch, keys)
     if profile["rows"] == 0:
         raise EmptyInput("batch holds no records")
     if profile["null_keys"]:
         raise KeyConflict(f"{profile['null_keys']} rows have a null in the key {keys}")
 
+    plain = storage.path_exists(spark, f"{path.rstrip('/')}/{PLAIN_MARK}")
+    known = versions(spark, path)
+    listed = segments(spark, path, known[-1]) if known else []
     rows = batch
     if keys:
-        target = within_profile(_existing(spark, schema, path), keys, profile)
         small = profile["key_bytes"] <= BROADCAST_KEY_BYTES
+        ranges = [(literal(profile[f"lo_{i}"]), literal(profile[f"hi_{i}"])) for i in range(len(keys))]
+        probed = batch if profile["rows"] <= PROBE_ROWS else None
+        target, _ = candidate_keys(spark, schema, path, listed, ranges, probed)
+        target = within_profile(target, keys, profile)
         if on_conflict == "error":
             offender = key_conflicts(batch, target, keys, small).first()
             if offender:
@@ -200,13 +202,37 @@ def bulk_append(
         else:
             rows = surviving_rows(batch, target, keys, [f"`{n}`" for n in carried + schema.names], small)
 
-    counted = Observation()
-    out = clustered(rows.select(*schema.names), partition_by).observe(counted, F.count("*").alias("rows"))
-    out.write.mode("append").partitionBy(*partition_by).parquet(path)
-    inserted = counted.get["rows"]
+    rows = rows.select(*schema.names)
+    if plain:
+        counted = Observation()
+        out = clustered(rows, partition_by).observe(counted, F.count("*").alias("rows"))
+        out.write.mode("append").partitionBy(*partition_by).parquet(path)
+        inserted = counted.get["rows"]
+    else:
+        inserted = _add_segment(rows, path, schema, listed, known[-1] if known else 0, storage.total_bytes(spark, staging), partition_by)
     return AppendResult(True, profile["rows"], inserted, profile["rows"] - inserted)
 
 
+def _add_segment(
+    rows: DataFrame, path: str, schema: TableSchema, listed: Sequence[Segment], version: int, size: int, partition_by: Sequence[str]
+) -> int:
+    """Write the rows as a segment, merge full levels and commit; nothing stays of a failed attempt."""
+    spark, keys = rows.sparkSession, list(schema.primary_key)
+    added = write_segment(rows, path, keys, size, 0, partition_by)
+    if added.rows == 0 and listed:
+        discard(spark, path, added.name)
+        return 0
+    merged = [added]
+    try:
+        merged = merged_levels(spark, schema.to_struct(), path, keys, [*listed, added], partition_by)
+        commit(spark, path, merged, version)
+    except BaseException:
+        for s in {added, *merged} - set(listed):
+            discard(spark, path, s.name)
+        raise
+    return added.rows
+
+
 def _as_invalid(e: Exception) -> Exception:
     """Conversion failures raised inside tasks are data errors; the rest stays as it is."""
     found = re.search(r"column '[^\n]*cannot convert to [^\n]*", str(e))

@@ -15,7 +15,7 @@ from batchwright.operators.duplicates import DEFAULT_KEYS, dedupe_first, dedupe_
 from batchwright.operators.records import WELL_RULES, Rule, normalize
 from batchwright.schema import get_schema
 from batchwright.sinks.files import write_envelope
-from batchwright.sources.envelope import corrupt_documents, envelope_fields, field, read_envelope, rejected_lines
+from batchwright.sources.envelope import corrupt_documents, envelope_fields, field, read_envelope, rejected_lines, rejected_pieces
 
 
 def load_records(
@@ -33,14 +33,14 @@ def load_records(
 
     The payload is a bare list (key=None), or the list below `key`, such as `value` of an
     envelope or `data` of a request that names its schema. Nothing to load is EmptyInput.
-    A permissive read counts the lines or documents it left out as `rejected`.
+    A permissive read counts the lines, records or documents it left out as `rejected`.
     """
     rows = normalize(read_envelope(spark, path, key, layout, mode), rules)
     result = bulk_append(rows, table, get_schema(schema), "name", on_conflict, ordinal="ordinal")
-    if mode == "failfast" or layout not in ("document", "lines"):
+    if mode == "failfast":
         return result
-    rejects = rejected_lines(spark, path, key) if layout == "lines" else corrupt_documents(spark, path, key)
-    return replace(result, rejected=rejects.count())
+    rejects = {"lines": rejected_lines, "indented": rejected_pieces, "document": corrupt_documents}[layout]
+    return replace(result, rejected=rejects(spark, path, key).count())
 
 
 def load_request(spark: SparkSession, path: str, tables: str, **options) -> AppendResult:

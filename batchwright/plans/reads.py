@@ -1,7 +1,9 @@
 """Sources, sinks and round trips."""
 
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from batchwright.errors import InvalidData
 from batchwright.operators import query as Q
 from batchwright.operators.append import reconcile
 from batchwright.plans.registry import registered, table
@@ -9,7 +11,7 @@ from batchwright.schema import spark_type
 from batchwright.sinks.files import write_envelope, write_parquet
 from batchwright.sources.arrow_ipc import read_arrow, write_arrow
 from batchwright.sources.batches import map_batches
-from batchwright.sources.envelope import read_envelope, record_columns
+from batchwright.sources.envelope import read_envelope, record_columns, rejected_pieces
 from batchwright.sources.local import from_local
 from batchwright.sources.parquet import bulk_read, parquet_scan, read_partitioned
 from batchwright.storage import filesystem, scratch_path
@@ -104,9 +106,56 @@ def envelope_indented(spark, sf_dir):
 @registered("SELECT * FROM part")
 def envelope_streamed(spark, sf_dir):
     source = table(spark, sf_dir, "part")
+    """Files of any size, read strictly: each is cut into splits, and proved to be closed."""
     path = scratch_path(spark, "envelope")
-    write_envelope(source, path, ENVELOPE)
-    return record_columns(read_envelope(spark, path, layout="streamed", mode="failfast"), source.schema)
+    write_envelope(source, path, ENVELOPE, indent=True)
+    return record_columns(read_envelope(spark, path, layout="indented", mode="failfast"), source.schema)
+
+
+def _damaged_parts(spark, sf_dir, label: str) -> str:
+    """Indented documents of all parts, and three damaged ones: cut in a record, cut after one, and with a broken record."""
+    path = scratch_path(spark, label)
+    write_envelope(table(spark, sf_dir, "part"), path, ENVELOPE, indent=True)
+    record = '    {\n      "p_partkey": -1\n    }'
+    damaged = [
+        f'{{\n  "value": [\n{record},\n    {{\n      "p_partkey": -7',
+        f'{{\n  "value": [\n{record}',
+        f'{{\n  "value": [\n{record},\n    {{\n      "p_partkey": oops\n    }}\n  ]\n}}',
+    ]
+    for text in damaged:
+        spark.range(1).select(F.lit(text).alias("value")).coalesce(1).write.mode("append").text(path)
+    return path
+
+
+@registered("SELECT p_partkey FROM part UNION ALL SELECT -1 FROM range(3)")
+def envelope_truncated(spark, sf_dir):
+    """Whole records stay, also of documents that are cut off; no record is made up of a rest."""
+    source = table(spark, sf_dir, "part").select("p_partkey")
+    return record_columns(read_envelope(spark, _damaged_parts(spark, sf_dir, "truncated"), layout="indented"), source.schema)
+
+
+@registered("SELECT CASE WHEN i < 2 THEN 'the document is not closed' ELSE 'a record' END AS reason, count(*) AS n FROM range(3) t(i) GROUP BY 1")
+def envelope_rejects(spark, sf_dir):
+    """What that read leaves out: two files that are cut off and a broken record."""
+    found = rejected_pieces(spark, _damaged_parts(spark, sf_dir, "rejects"))
+    reason = F.when(F.col("text") == "the document is not closed", F.col("text")).otherwise("a record")
+    return found.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+
+
+@registered("SELECT 3 AS refused, count(*) AS accepted FROM part")
+def envelope_strict(spark, sf_dir):
+    """Strict reads refuse each damaged document and accept the sound ones."""
+    sound = scratch_path(spark, "strict")
+    write_envelope(table(spark, sf_dir, "part"), sound, ENVELOPE, indent=True)
+    accepted = read_envelope(spark, sound, layout="indented", mode="failfast")
+    files = spark.read.format("binaryFile").load(_damaged_parts(spark, sf_dir, "refused")).where("length < 150").select("path").collect()
+    refused = 0
+    for file in files:
+        try:
+            read_envelope(spark, file.path, layout="indented", mode="failfast").write.format("noop").mode("overwrite").save()
+        except (InvalidData, PySparkException):
+            refused += 1
+    return accepted.agg(F.lit(refused).alias("refused"), F.count("*").alias("accepted"))
 
 
 @registered("SELECT * FROM events")
@@ -176,6 +225,16 @@ def partitioned_text(spark, sf_dir):
     return read_partitioned(spark, path, ["priority"], where="priority IS NULL OR priority < '3'")
 
 
+@registered("SELECT o_orderkey, o_orderdate, o_totalprice FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1997-04-01'")
+def feather_filtered(spark, sf_dir):
+    """A quarter out of files sorted by date: the filter reaches the scan, which skips the other batches."""
+    path = scratch_path(spark, "feather-sorted")
+    orders = table(spark, sf_dir, "orders")
+    write_arrow(orders.repartitionByRange("o_orderdate").sortWithinPartitions("o_orderdate"), path, "file", rows_per_batch=4096)
+    scan = bulk_read(spark, path, "feather", columns=["o_orderkey", "o_orderdate", "o_totalprice"])
+    return scan.where("o_orderdate >= timestamp_ntz'1997-01-01' AND o_orderdate < timestamp_ntz'1997-04-01'")
+
+
 @registered(
     """
     SELECT l_orderkey, l_linenumber, CAST(l_partkey AS BIGINT) AS part, CAST(l_quantity AS REAL) AS half,

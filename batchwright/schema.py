@@ -9,7 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from batchwright import storage
 from batchwright.errors import SchemaNotFound, SchemaValidation
+from batchwright.segments import read_segments, segments
+
+#: A table whose folder has this file takes appends as plain files, for readers that know no manifest.
+PLAIN_MARK = "_plain"
 
 # Column types by declared database type; any other name is text.
 DB_TYPES = {
@@ -153,13 +158,15 @@ def create_table(
 ) -> DataFrame:
     """Create an empty keyed table at `path` and return it.
 
-    With `catalog_name` the directory is also declared in the catalog. Spark has no
-    enforced PRIMARY KEY for Parquet; the key is recorded as a table property and
+    With `catalog_name` the directory is also declared in the catalog, and stays a plain
+    one that the catalog can read: appends add files to it, without segments. Spark has
+    no enforced PRIMARY KEY for Parquet; the key is recorded as a table property and
     enforced by `bulk_append`.
     """
     writer = empty_frame(spark, schema.to_struct()).write.mode("errorifexists")
     writer.partitionBy(*partition_by).parquet(path)
     if catalog_name:
+        storage.publish_text(spark, f"{path.rstrip('/')}/{PLAIN_MARK}", "")
         clause = f" PARTITIONED BY ({', '.join(f'`{c}`' for c in partition_by)})" if partition_by else ""
         spark.sql(
             f"CREATE TABLE {catalog_name} ({schema.ddl()}) USING parquet{clause} LOCATION '{path}' "
@@ -169,5 +176,8 @@ def create_table(
 
 
 def read_table(spark: SparkSession, schema: TableSchema, path: str) -> DataFrame:
-    """Scan a keyed table with its declared schema (no footer inference)."""
-    return spark.read.schema(schema.to_struct()).parquet(path).select(*schema.names)
+    """Scan a keyed table with its declared schema (no footer inference).
+
+    What is read is the last version that was committed before the call.
+    """
+    return read_segments(spark, schema.to_struct(), path, segments(spark, path))

@@ -6,38 +6,54 @@ plan needs one directory listing and no footers: a range is "part k of n" and th
 resolves it when it opens the file. An IPC stream has no index and is read by one task,
 batch by batch. Small files are packed together.
 
-Writing. Each task writes below a job folder of its own and the driver moves the files
-into place after all tasks have succeeded, so retried or speculative attempts leave
-nothing behind. Files are closed at about `target_bytes`, which keeps streams short.
+Filters. Beside each file that is written here lies a small hidden one with the smallest and
+largest value of every column in each record batch. Comparisons that Spark pushes down are
+held against these, and batches that cannot match are not read; Spark still filters the rest.
+
+Writing. Files get their final, unique names in a folder of the write at once. The manifest of the write is published last
+and decides which of them are there: files of a write without a manifest, and those of retried or
+speculative attempts that it does not list, are never read. Nothing is moved but the manifest.
+Files are closed at about `target_bytes`, which keeps streams short.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import re
 import uuid
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow.fs import FileSelector, FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
     DataSourceReader,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
     InputPartition,
+    LessThan,
+    LessThanOrEqual,
     WriterCommitMessage,
 )
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 from pyspark.sql.types import StructType
 
 from batchwright.errors import DatasetNotFound, EmptyInput, InvalidData
-from batchwright.storage import data_files, exists, filesystem
+from batchwright.storage import data_files, filesystem
 
 FORMAT = "arrow_ipc"
 TARGET_BYTES = 128 * 1024 * 1024
 ROWS_PER_BATCH = 65_536
+PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
 
 # Types that Spark lacks, and the narrowest it has that holds all their values.
@@ -86,10 +102,120 @@ def open_ipc(source, layout: str, columns: Sequence[str] | None = None):
     return opener(source, options=pa.ipc.IpcReadOptions(included_fields=fields))
 
 
+_OWN_FILE = re.compile(r"/write-([0-9a-f]{32})/([0-9a-f]{32}\.arrows?)$")
+
+
+def job_folder(path: str, job: str) -> str:
+    return f"{path.rstrip('/')}/write-{job}"
+
+
+def _hidden(path: str, prefix: str) -> list[str]:
+    """Hidden files of a kind, directly in a folder."""
+    fs, inner = filesystem(path)
+    if fs.get_file_info(inner).type != FileType.Directory:
+        return []
+    return [f.path for f in fs.get_file_info(FileSelector(inner)) if f.base_name.startswith(prefix)]
+
+
+def visible_files(path: str) -> list[tuple[str, int]]:
+    """(uri, bytes) of the files that make up a dataset: those that manifests list, and those written by others."""
+    files = data_files(path)
+    own = {uri: m.groups() for uri, _ in files if (m := _OWN_FILE.search(uri))}
+    if not own or (len(files) == 1 and files[0][0] == path):
+        return files
+    jobs = {job for job, _ in own.values()}
+    fs, _ = filesystem(path)
+    listed = set()
+    for manifest in _hidden(path, "_manifest-"):
+        if manifest.rsplit("_manifest-", 1)[1].removesuffix(".json") in jobs:
+            with fs.open_input_stream(manifest) as source:
+                listed.update(json.loads(line)["path"].rsplit("/", 1)[1] for line in source.read().splitlines())
+    return [f for f in files if f[0] not in own or own[f[0]][1] in listed]
+
+
+def stats_path(uri: str) -> str:
+    """Where the value ranges of a file's batches lie."""
+    folder, name = uri.rsplit("/", 1)
+    return f"{folder}/_ranges-{name}"
+
+
+def _ranged(t: pa.DataType) -> bool:
+    return (pa.types.is_integer(t) or pa.types.is_floating(t) or pa.types.is_date(t) or pa.types.is_timestamp(t)
+            or pa.types.is_string(t) or pa.types.is_decimal(t))
+
+
+def batch_ranges(batch: pa.RecordBatch) -> list[tuple]:
+    """Smallest and largest value of each column that has an order; None where there is no bound.
+
+    A column with NaN has none, as NaN is larger than all numbers in Spark; long texts have none either.
+    """
+    out = []
+    for column in batch.columns:
+        low = high = None
+        if _ranged(column.type) and column.null_count < len(column):
+            found = pc.min_max(column)
+            low, high = found["min"], found["max"]
+            nan = pa.types.is_floating(column.type) and pc.any(pc.is_nan(column)).as_py()
+            if nan or (pa.types.is_string(column.type) and max(len(low.as_py()), len(high.as_py())) > 64):
+                low = high = None
+        out.append((low, high))
+    return out
+
+
+def ranges_table(schema: pa.Schema, ranges: list[list[tuple]]) -> pa.Table:
+    """One row per batch: lo_i and hi_i of each column that can have them."""
+    columns = {}
+    for i, field in enumerate(schema):
+        if _ranged(field.type):
+            for k, side in enumerate(("lo", "hi")):
+                columns[f"{side}_{i}"] = pa.array([r[i][k].as_py() if r[i][k] is not None else None for r in ranges], field.type)
+    return pa.table({"batch": pa.array(range(len(ranges)), pa.int32()), **columns})
+
+
+def batches_to_read(uri: str, schema: pa.Schema, filters: Sequence[Filter]) -> set[int] | None:
+    """Numbers of the batches that can hold a row for all filters; None if nothing is known of the file."""
+    if not filters:
+        return None
+    fs, inner = filesystem(stats_path(uri))
+    if fs.get_file_info(inner).type != FileType.File:
+        return None
+    with fs.open_input_file(inner) as source:
+        ranges = pa.ipc.open_file(source).read_all()
+    kept = pa.chunked_array([pa.repeat(True, ranges.num_rows)])
+    for f in filters:
+        i = schema.get_field_index(f.attribute[0])
+        if f"lo_{i}" not in ranges.column_names:
+            continue
+        low, high = ranges[f"lo_{i}"], ranges[f"hi_{i}"]
+
+        def value(v, t=low.type):
+            return pa.scalar(v, t)
+
+        try:
+            if isinstance(f, EqualTo):
+                can = pc.and_(pc.less_equal(low, value(f.value)), pc.greater_equal(high, value(f.value)))
+            elif isinstance(f, GreaterThan):
+                can = pc.greater(high, value(f.value))
+            elif isinstance(f, GreaterThanOrEqual):
+                can = pc.greater_equal(high, value(f.value))
+            elif isinstance(f, LessThan):
+                can = pc.less(low, value(f.value))
+            elif isinstance(f, LessThanOrEqual):
+                can = pc.less_equal(low, value(f.value))
+            else:
+                wanted = [value(v) for v in f.value if v is not None]
+                can = pa.chunked_array([pa.array([lo is None or any(lo <= w.as_py() <= hi for w in wanted)
+                                                  for lo, hi in zip(low.to_pylist(), high.to_pylist())], pa.bool_())])
+        except (pa.ArrowException, TypeError, ValueError, OverflowError):
+            continue  # a value that the column's type cannot hold decides nothing here
+        kept = pc.and_(kept, pc.fill_null(can, True))
+    return {b for b, k in zip(ranges["batch"].to_pylist(), kept.to_pylist()) if k}
+
+
 def ipc_schema(path: str, layout: str, name: str | None = None) -> StructType:
     """Spark schema of the first file at `path`."""
     label = name or path
-    files = data_files(path)
+    files = visible_files(path)
     if not files:
         raise DatasetNotFound(f"no data found for '{label}'")
     uri, size = next(((u, s) for u, s in files if s), files[0])
@@ -144,7 +270,12 @@ def row_range(batch: int, rows: int, batches: int, k: int, n: int) -> tuple[int,
     return rows * low // n, rows * high // n
 
 
-def read_part(uri: str, k: int, n: int, layout: str, columns: Sequence[str]) -> Iterator[pa.RecordBatch]:
+def read_part(
+    uri: str, k: int, n: int, layout: str, columns: Sequence[str], wanted: set[int] | None = None
+) -> Iterator[pa.RecordBatch]:
+    """Part k of n of a file; only the `wanted` batches, if these are known."""
+    if wanted is not None and not wanted:
+        return
     fs, inner = filesystem(uri)
     with fs.open_input_file(inner) as source:
         reader = open_ipc(source, layout, columns)
@@ -153,6 +284,8 @@ def read_part(uri: str, k: int, n: int, layout: str, columns: Sequence[str]) ->
             return
         total = reader.num_record_batches
         for b in range(k * total // n, min(math.ceil((k + 1) * total / n), total)):
+            if wanted is not None and b not in wanted:
+                continue
             batch = reader.get_batch(b)
             low, high = row_range(b, batch.num_rows, total, k, n)
             if high > low:
@@ -166,14 +299,29 @@ class IpcReader(DataSourceReader):
         self.path = options["path"]
         self.layout = options.get("layout", "file")
         self.target_bytes = int(options.get("targetbytes", TARGET_BYTES))
+        self.filters: list[Filter] = []
+
+    def pushFilters(self, filters):
+        """Comparisons with a column narrow down the batches; Spark evaluates all filters on the rest."""
+        kinds = (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual, In)
+        self.filters = [f for f in filters if isinstance(f, kinds) and len(f.attribute) == 1]
+        return filters
 
     def partitions(self):
-        tasks = plan_slices(data_files(self.path), self.layout, self.target_bytes)
+        tasks = plan_slices(visible_files(self.path), self.layout, self.target_bytes)
         return tasks or [Slices([])]
 
+    def _wanted(self, uri: str) -> set[int] | None:
+        """Batches to read of a file; its own schema numbers the ranges."""
+        if not self.filters or self.layout != "file":
+            return None
+        fs, inner = filesystem(uri)
+        with fs.open_input_file(inner) as source:
+            return batches_to_read(uri, open_ipc(source, self.layout).schema, self.filters)
+
     def read(self, partition: Slices):
         for uri, k, n in partition.parts:
-            for batch in read_part(uri, k, n, self.layout, self.columns):
+            for batch in read_part(uri, k, n, self.layout, self.columns, self._wanted(uri)):
                 for start in range(0, batch.num_rows, ROWS_PER_BATCH):
                     piece = batch.slice(start, ROWS_PER_BATCH)
                     # Only timestamps lose digits here; all other casts are to wider types.
@@ -181,15 +329,11 @@ class IpcReader(DataSourceReader):
                     yield pa.RecordBatch.from_arrays(arrays, schema=self.target)
 
 
-def staging_folder(path: str, job: str) -> str:
-    return f"{path.rstrip('/')}/_temporary-{job}"
-
-
 @dataclass
 class Written(WriterCommitMessage):
-    """Files of one task: (temporary path, final path, rows, batches, bytes)."""
+    """Files of one task: (path, rows, batches, bytes)."""
 
-    files: list[tuple[str, str, int, int, int]]
+    files: list[tuple[str, int, int, int]]
 
 
 class IpcWriter(DataSourceArrowWriter):
@@ -201,7 +345,6 @@ class IpcWriter(DataSourceArrowWriter):
         self.rows_per_batch = int(options.get("rowsperbatch", ROWS_PER_BATCH))
         self.overwrite = overwrite
         self.job = options["job"]
-        self.staging = staging_folder(self.path, self.job)
 
     def _chunks(self, iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Regroup Spark's batches into batches of `rows_per_batch`."""
@@ -220,60 +363,74 @@ class IpcWriter(DataSourceArrowWriter):
             yield pa.concat_batches(pending)
 
     def _new_file(self):
-        name = f"part-{uuid.uuid4().hex}.{'arrow' if self.layout == 'file' else 'arrows'}"
-        fs, staging = filesystem(f"{self.staging}/{name}")
-        return f"{self.staging}/{name}", f"{self.path}/{name}", fs.open_output_stream(staging)
+        path = f"{job_folder(self.path, self.job)}/{uuid.uuid4().hex}.{'arrow' if self.layout == 'file' else 'arrows'}"
+        fs, inner = filesystem(path)
+        return path, fs.open_output_stream(inner)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         files = []
-        sink = writer = None
+        writer = None
         new_writer = pa.ipc.new_file if self.layout == "file" else pa.ipc.new_stream
         for batch in self._chunks(iterator):
             if writer is None:
-                temporary, final, sink = self._new_file()
-                writer = new_writer(sink, self.schema)
-                rows = batches = 0
-            writer.write_batch(batch.cast(self.schema))
+                path, sink = self._new_file()
+                writer, rows, ranges = new_writer(sink, self.schema), 0, []
+            batch = batch.cast(self.schema)
+            writer.write_batch(batch)
             rows += batch.num_rows
-            batches += 1
+            ranges.append(batch_ranges(batch))
             if sink.tell() >= self.target_bytes:
-                files.append((temporary, final, rows, batches, self._close(writer, sink)))
+                files.append((path, rows, len(ranges), self._close(writer, sink, path, ranges)))
                 writer = None
         if writer is not None:
-            files.append((temporary, final, rows, batches, self._close(writer, sink)))
+            files.append((path, rows, len(ranges), self._close(writer, sink, path, ranges)))
         return Written(files)
 
-    @staticmethod
-    def _close(writer, sink) -> int:
+    def _close(self, writer, sink, path: str, ranges: list[list[tuple]]) -> int:
         writer.close()
         size = sink.tell()
         sink.close()
+        if self.layout == "file":
+            fs, inner = filesystem(stats_path(path))
+            table = ranges_table(self.schema, ranges)
+            with fs.open_output_stream(inner) as out, pa.ipc.new_file(out, table.schema) as ranged:
+                ranged.write_table(table)
         return size
 
     def commit(self, messages):
         fs, base = filesystem(self.path)
-        old = data_files(self.path) if self.overwrite else []
+        old = visible_files(self.path) if self.overwrite else []
         files = [f for m in messages if m is not None for f in m.files]
         if not files:
-            temporary, final, sink = self._new_file()
+            path, sink = self._new_file()
             writer = (pa.ipc.new_file if self.layout == "file" else pa.ipc.new_stream)(sink, self.schema)
-            files = [(temporary, final, 0, 0, self._close(writer, sink))]
-        with ThreadPoolExecutor(32) as pool:
-            moves = [(filesystem(t)[1], filesystem(f)[1]) for t, f, *_ in files]
-            list(pool.map(lambda m: fs.move(*m), moves))
-            list(pool.map(lambda f: fs.delete_file(filesystem(f[0])[1]), old))
-        with fs.open_output_stream(f"{base}/_manifest-{self.job}.json") as out:
-            for _, final, rows, batches, size in files:
-                line = {"path": final, "rows": rows, "batches": batches, "bytes": size}
-                out.write(json.dumps(line).encode() + b"\n")
-        self._drop_staging(fs)
+            files = [(path, 0, 0, self._close(writer, sink, path, []))]
+        with fs.open_output_stream(f"{base}/_unpublished-{self.job}.json") as out:
+            for path, rows, batches, size in files:
+                out.write(json.dumps({"path": path, "rows": rows, "batches": batches, "bytes": size}).encode() + b"\n")
+        fs.move(f"{base}/_unpublished-{self.job}.json", f"{base}/_manifest-{self.job}.json")
+        listed = {path.rsplit("/", 1)[1] for path, *_ in files}
+        self._delete([uri for uri, _ in old] + [uri for uri in self._own_files() if uri.rsplit("/", 1)[1] not in listed])
 
     def abort(self, messages):
-        self._drop_staging(filesystem(self.path)[0])
+        fs, folder = filesystem(job_folder(self.path, self.job))
+        if fs.get_file_info(folder).type == FileType.Directory:
+            fs.delete_dir(folder)
+
+    def _own_files(self) -> list[str]:
+        return [uri for uri, _ in data_files(job_folder(self.path, self.job))]
 
-    def _drop_staging(self, fs):
-        if exists(self.staging):
-            fs.delete_dir(filesystem(self.staging)[1])
+    def _delete(self, uris: Sequence[str]) -> None:
+        """Files and their ranges."""
+
+        def one(uri):
+            for path in (uri, stats_path(uri)):
+                fs, inner = filesystem(path)
+                if fs.get_file_info(inner).type == FileType.File:
+                    fs.delete_file(inner)
+
+        with ThreadPoolExecutor(32) as pool:
+            list(pool.map(one, uris))
 
 
 class ArrowIpcSource(DataSource):
@@ -299,8 +456,10 @@ def read_arrow(
     target_bytes: int = TARGET_BYTES,
     name: str | None = None,
 ) -> DataFrame:
-    """Scan the IPC files or streams at `path`. Catalyst does not prune this scan, so
-    name the wanted `columns` here and only their buffers are read."""
+    """Scan the IPC files or streams at `path`. Catalyst does not prune the columns of this
+    scan, so name the wanted `columns` here and only their buffers are read. Filters are
+    pushed down to it, for which the session's switch for Python sources is turned on."""
+    spark.conf.set(PUSHDOWN, "true")
     schema = ipc_schema(path, layout, name)
     if columns:
         schema = StructType([schema[c] for c in columns])
@@ -324,8 +483,8 @@ def write_arrow(
     job = uuid.uuid4().hex
     # Made here and not by the tasks, so that a task which outlives a failed job cannot
     # bring the folder back.
-    fs, staging = filesystem(staging_folder(path, job))
-    fs.create_dir(staging, recursive=True)
+    fs, folder = filesystem(job_folder(path, job))
+    fs.create_dir(folder, recursive=True)
     writer = df.write.format(FORMAT).mode(mode).option("layout", layout).option("job", job)
     writer.option("targetBytes", target_bytes).option("rowsPerBatch", rows_per_batch).save(path)
     manifest = filesystem(f"{path.rstrip('/')}/_manifest-{job}.json")[1]

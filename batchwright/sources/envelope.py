@@ -24,9 +24,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,10 +34,7 @@ from pyspark.sql import types as T
 from batchwright.errors import DatasetNotFound, InvalidData
 from batchwright.operators.binding import to_bigint
 from batchwright.schema import empty_frame
-from batchwright.sources.json_stream import stream_records
-from batchwright.storage import filesystem
 
-STREAM_BATCH_CHARS = 4 * 1024 * 1024
 ORDINAL = "struct<file:string,block:bigint,row:bigint,piece:int>"
 
 
@@ -60,17 +56,13 @@ def read_envelope(
     """
     if mode not in ("permissive", "failfast"):
         raise InvalidData(f"unknown mode '{mode}'")
-    if layout not in ("document", "lines", "indented", "streamed"):
+    if layout not in ("document", "lines", "indented"):
         raise InvalidData(f"unknown envelope layout '{layout}'")
-    if layout == "streamed" and mode != "failfast":
-        raise InvalidData("the streamed layout needs mode='failfast'")
     if keep and (layout != "document" or key is None):
         raise InvalidData("envelope fields can only be kept from documents that have them")
     try:
         if layout == "document":
             return _documents(spark, path, key, mode, keep, glob or "*")
-        if layout == "streamed":
-            return _streamed(spark, path, key, glob or "*")
         read = _lines if layout == "lines" else _indented
         return read(spark, path, key, mode, glob or "*")
     except AnalysisException as e:
@@ -108,34 +100,6 @@ def _documents(spark, path, key, mode, keep, glob) -> DataFrame:
     return exploded.select(ordinal, "record", *[f"`{k}`" for k in keep])
 
 
-def _streamed(spark, path, key, glob) -> DataFrame:
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for uri in batch.column(0).to_pylist():
-                fs, inner = filesystem(uri)
-                with fs.open_input_stream(inner) as source:
-                    row, texts, held = 0, [], 0
-                    for text in stream_records(source.read, key):
-                        texts.append(text)
-                        held += len(text)
-                        if held >= STREAM_BATCH_CHARS:
-                            yield numbered(uri, row, texts)
-                            row, texts, held = row + len(texts), [], 0
-                    if texts:
-                        yield numbered(uri, row, texts)
-
-    def numbered(uri: str, row: int, texts: list[str]) -> pa.RecordBatch:
-        n = len(texts)
-        columns = [pa.array([uri] * n), pa.array(range(row, row + n), pa.int64()), pa.array(texts, pa.string())]
-        return pa.RecordBatch.from_arrays(columns, ["file", "row", "text"])
-
-    records = files.mapInArrow(run, "file string, row bigint, text string")
-    ordinal = _ordinal(F.col("file"), F.lit(0), F.col("row"), F.lit(0))
-    return records.select(ordinal, F.parse_json("text").alias("record"))
-
-
 def _raw_lines(spark, path, glob, separator: str | None = None) -> DataFrame:
     reader = spark.read.option("pathGlobFilter", glob)
     if separator:
@@ -231,7 +195,8 @@ def _margin(spark, path, key, glob) -> str:
     return margins[0] if margins else ""
 
 
-def _indented(spark, path, key, mode, glob) -> DataFrame:
+def _indented_pieces(spark, path, key, glob) -> DataFrame:
+    """(ordinal, text) of each record as it stands between its braces."""
     margin = _margin(spark, path, key, glob)
     raw = _raw_lines(spark, path, glob, f"\n{margin}}}")
     # A fragment ends where a record's closing brace was cut off. Its last piece is
@@ -244,19 +209,68 @@ def _indented(spark, path, key, mode, glob) -> DataFrame:
     parts = F.split(F.when(compact | (foreign & F.lit(key is not None)), refuse).otherwise(F.col("value")), f"\n{margin}(?=\\{{)")
     exploded = raw.select("file", "block", "row", F.posexplode(parts).alias("piece", "text"))
     closed = F.when(F.col("text").startswith("{}"), F.lit("{}")).otherwise(F.concat("text", F.lit("\n}")))
-    pieces = exploded.filter("piece > 0").select(
+    return exploded.filter("piece > 0").select(
         _ordinal(F.col("file"), F.col("block"), F.col("row"), F.col("piece")), closed.alias("text")
     )
-    parse = F.parse_json if mode == "failfast" else F.try_parse_json
-    parsed = pieces.select("ordinal", parse("text").alias("record"))
-    if mode == "permissive":
-        return parsed.filter(F.col("record").isNotNull())
-    _require_lists(spark, path, key, glob, margin)
-    return parsed
 
 
-def _require_lists(spark, path, key, glob, margin) -> None:
-    """Every file that is not empty opens a list of records, or an empty list."""
+def _indented(spark, path, key, mode, glob) -> DataFrame:
+    pieces = _indented_pieces(spark, path, key, glob)
+    if mode == "failfast":
+        _require_lists(spark, path, key, glob)
+        return pieces.select("ordinal", F.parse_json("text").alias("record"))
+    read = _without_cut_piece(spark, path, glob, pieces).select("ordinal", F.try_parse_json("text").alias("record"))
+    return read.filter(F.col("record").isNotNull())
+
+
+def open_ended(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(file) of the files whose JSON is not closed: more or fewer brackets than are opened, or a string without an end.
+
+    Strings end on the line they begin on, so every line is judged by itself and the counts
+    are added up: a file of any size is split, and one row per file and task is exchanged.
+    """
+    bare = F.regexp_replace("value", r'"(?:[^"\\]++|\\.)*+"', "")
+
+    def difference(opening: str, closing: str) -> Column:
+        def count(c):
+            return F.length(bare) - F.length(F.replace(bare, F.lit(c), F.lit("")))
+
+        return F.sum(count(opening) - count(closing))
+
+    lines = spark.read.option("pathGlobFilter", glob).text(path)
+    depth = lines.groupBy(F.col("_metadata.file_path").alias("file")).agg(
+        difference("{", "}").alias("braces"), difference("[", "]").alias("brackets"), F.bool_or(bare.contains('"')).alias("string")
+    )
+    return depth.where("braces <> 0 OR brackets <> 0 OR string").select("file")
+
+
+def _without_cut_piece(spark, path, glob, pieces: DataFrame) -> DataFrame:
+    """Pieces without the last one of a file that is cut off: a closing brace would make a record of it that never was."""
+    cut = open_ended(spark, path, glob)
+    if cut.first() is None:
+        return pieces
+    place = F.struct("ordinal.block", "ordinal.row", "ordinal.piece")
+    fragments = pieces.join(cut.select(F.col("file").alias("cut_file")), F.col("ordinal.file") == F.col("cut_file"), "left_semi")
+    last = fragments.groupBy(F.col("ordinal.file").alias("cut_file")).agg(F.max(place).alias("last"))
+    marked = pieces.join(last, F.col("ordinal.file") == F.col("cut_file"), "left")
+    # Text that its own brackets close is a whole record, after which the file was cut.
+    whole = F.try_parse_json(F.regexp_replace("text", r"\n\}$", "")).isNotNull()
+    return marked.where(F.col("last").isNull() | (place != F.col("last")) | whole).select("ordinal", "text")
+
+
+def rejected_pieces(spark: SparkSession, path: str, key: str | None = "value", glob: str = "*") -> DataFrame:
+    """(file, text) of what a permissive read of the indented layout leaves out: broken records, and one row for each file that is cut off."""
+    pieces = _indented_pieces(spark, path, key, glob)
+    broken = _without_cut_piece(spark, path, glob, pieces).where(F.try_parse_json("text").isNull())
+    ended = open_ended(spark, path, glob)
+    return broken.select("ordinal.file", "text").unionAll(ended.select("file", F.lit("the document is not closed").alias("text")))
+
+
+def _require_lists(spark, path, key, glob) -> None:
+    """Every file that is not empty opens a list of records, or an empty list, and is closed."""
+    cut = open_ended(spark, path, glob).first()
+    if cut:
+        raise InvalidData(f"[MALFORMED_RECORD] '{cut.file}' ends before it is closed, or closes what it has not opened")
     opened = r"^\s*\[" if key is None else rf'"{re.escape(key)}"\s*:\s*\['
     files = spark.read.option("pathGlobFilter", glob).text(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(
         F.bool_or(F.col("value").rlike(opened)).alias("opened"), F.bool_or(F.trim("value") != "").alias("filled")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Sequence
 
 from py4j.protocol import Py4JJavaError
@@ -15,6 +16,9 @@ from batchwright.errors import DatasetNotFound, InvalidData, ReadFailed
 from batchwright.sources.arrow_ipc import read_arrow
 
 
+#: Partitions that one statement registers.
+STATEMENT_PARTITIONS = 500
+
 # File suffix by format of a named dataset.
 SUFFIXES = {"parquet": "parquet", "feather": "feather", "arrow_stream": "arrows"}
 
@@ -76,14 +80,8 @@ def _without_scheme(uri: str) -> str:
     return re.sub(r"^[A-Za-z0-9+.-]+:(//[^/]*)?", "", uri).rstrip("/")
 
 
-def _path_values(file: Column, path: str, names: Sequence[str]) -> list[Column]:
-    """Partition values out of a file's uri, from `2015/01` as well as `year=2015/month=01`."""
-    below = re.escape(_without_scheme(path)) + r"/(?:[^/=]+=)?(-?\d+)" * len(names) + "/[^/]"
-    return [F.nullif(F.regexp_extract(file, below, i + 1), F.lit("")).cast("bigint").alias(n) for i, n in enumerate(names)]
-
-
-def partition_directories(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
-    """One row per directory of the lowest level: its uri and a bigint column per level.
+def partition_directories(spark: SparkSession, path: str, names: Sequence[str], types: dict[str, str]) -> DataFrame:
+    """One row per directory of the lowest level: its uri and the value of each level, as text of its type.
 
     The listing is Spark's own and the paths stay distributed; no file is opened.
     """
@@ -95,13 +93,57 @@ def partition_directories(spark: SparkSession, path: str, names: Sequence[str])
         raise
     base = re.escape(_without_scheme(path))
     directory = F.regexp_extract("path", f"^(.*?{base}{'/[^/]+' * len(names)})/[^/]", 1)
-    found = files.select("path", directory.alias("directory"), *_path_values(F.col("path"), path, names))
-    odd = found.filter(F.col(f"`{names[0]}`").isNull()).first()
+    below = f"{base}{'/([^/]+)' * len(names)}/[^/]"
+    values = [F.regexp_extract("path", below, i + 1).try_cast(types[n]).cast("string").alias(n) for i, n in enumerate(names)]
+    found = files.select("path", F.nullif(directory, F.lit("")).alias("directory"), *values)
+    odd = found.filter(" OR ".join(f"`{n}` IS NULL" for n in ["directory", *names])).first()
     if odd:
-        raise InvalidData(f"'{odd.path}' is not below {len(names)} directories with integer values")
+        raise InvalidData(f"'{odd.path}' is not below {len(names)} directories with values of the types {[types[n] for n in names]}")
     return found.drop("path").distinct()
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def register_partitions(
+    spark: SparkSession, path: str, names: Sequence[str], types: dict[str, str] | None = None, table: str | None = None
+) -> DataFrame:
+    """Declare a partitioned directory as a catalog table and return it.
+
+    Each directory becomes a partition with its own location, `2015/01` as well as
+    `year=2015/month=01`. Any later filter or join on the partition columns then prunes
+    directories, whose files are not even listed. `types` declares columns; those of
+    `name=value` directories are inferred without it, those of bare ones are bigint. Bare
+    directories with other values are InvalidData. The table is called `table`, or gets a new
+    name; directories that come later are not seen.
+    """
+    native = _native_partitions(spark, path, names)
+    if native is not None:
+        kinds = {n: native.schema[n].dataType.simpleString() for n in names} | (types or {})
+        data = [f for f in native.schema if f.name not in names]
+        found = []
+    else:
+        kinds = dict.fromkeys(names, "bigint") | (types or {})
+        found = partition_directories(spark, path, names, kinds).collect()  # one row per directory
+        if not found:
+            raise DatasetNotFound(f"no data found for '{path}'")
+        data = spark.read.parquet(found[0].directory).schema
+    table = table or f"batchwright_{uuid.uuid4().hex}"
+    columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in data] + [f"`{n}` {kinds[n]}" for n in names]
+    parts = ", ".join(f"`{n}`" for n in names)
+    spark.sql(f"CREATE TABLE {table} ({', '.join(columns)}) USING parquet PARTITIONED BY ({parts}) LOCATION {_quoted(path)}")
+    if native is not None:
+        spark.sql(f"ALTER TABLE {table} RECOVER PARTITIONS")
+    for start in range(0, len(found), STATEMENT_PARTITIONS):
+        added = [
+            f"PARTITION ({', '.join(f'`{n}` = {_quoted(r[n])}' for n in names)}) LOCATION {_quoted(r.directory)}"
+            for r in found[start : start + STATEMENT_PARTITIONS]
+        ]
+        spark.sql(f"ALTER TABLE {table} ADD {' '.join(added)}")
+    return spark.table(table)
+
+
 def _native_partitions(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame | None:
     """The dataset by Spark's own discovery of `name=value` directories; None for another layout."""
     try:
@@ -119,25 +161,18 @@ def _native_partitions(spark: SparkSession, path: str, names: Sequence[str]) ->
 
 
 def read_partitioned(
-    spark: SparkSession, path: str, names: Sequence[str], where: str | None = None
+    spark: SparkSession, path: str, names: Sequence[str], where: str | None = None, types: dict[str, str] | None = None
 ) -> DataFrame:
     """Dataset laid out as one directory level per name.
 
-    `name=value` directories are Spark's own: values are integers, dates or text, nulls are
-    kept, and `where` as well as later filters prune directories. Bare directories such as
-    `2015/01` hold integers; `where` is evaluated on their list, so the files of the others
-    are never opened, and the partition columns come from each file's path.
+    `name=value` directories are found by Spark itself: values are integers, dates or text,
+    and nulls are kept. Bare directories such as `2015/01` hold integers. `types` declares
+    partition columns as something else, for instance text whose zeros are to stay. `where`
+    and later filters prune directories; see `register_partitions`.
     """
-    scan = _native_partitions(spark, path, names)
-    if scan is not None:
-        return scan.filter(where) if where else scan
-    directories = partition_directories(spark, path, names)
-    kept = directories.filter(where) if where else directories
-    paths = [r.directory for r in kept.select("directory").collect()]  # one row per directory
-    if not paths:
-        sample = directories.first()
-        if sample is None:
-            raise DatasetNotFound(f"no data found for '{path}'")
-        empty = spark.read.parquet(sample.directory).limit(0)
-        return empty.select("*", *[F.lit(None).cast("bigint").alias(n) for n in names])
-    return spark.read.parquet(*paths).select("*", *_path_values(F.col("_metadata.file_path"), path, names))
+    if where is None and types is None:
+        scan = _native_partitions(spark, path, names)
+        if scan is not None:
+            return scan
+    scan = register_partitions(spark, path, names, types)
+    return scan.filter(where) if where else scan

@@ -12,6 +12,8 @@ import uuid
 from pyarrow.fs import FileSelector, FileSystem, FileType, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 
+from batchwright.errors import InvalidData
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder, or scratch space below the session's warehouse."""
@@ -45,6 +47,61 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """Spark's own file system for a path, and the path in it; one without a scheme is on the default file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether anything is at `path`, as Spark resolves it."""
+    fs, place = _hadoop(spark, path)
+    return fs.exists(place)
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies directly in a folder, hidden ones as well; none if there is no such folder."""
+    fs, place = _hadoop(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(place)] if fs.exists(place) else []
+
+
+def total_bytes(spark: SparkSession, path: str) -> int:
+    fs, place = _hadoop(spark, path)
+    return fs.getContentSummary(place).getLength()
+
+
+def count_files(spark: SparkSession, path: str) -> int:
+    """Files below a folder that Spark has written, its success mark left out."""
+    fs, place = _hadoop(spark, path)
+    return max(0, fs.getContentSummary(place).getFileCount() - 1)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, place = _hadoop(spark, path)
+    fs.delete(place, True)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, place = _hadoop(spark, path)
+    stream = fs.open(place)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def publish_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file that is there as a whole or not at all; InvalidData if the name is taken."""
+    fs, place = _hadoop(spark, path)
+    hidden = spark._jvm.org.apache.hadoop.fs.Path(place.getParent(), f".{uuid.uuid4().hex}")
+    stream = fs.create(hidden)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    if fs.exists(place) or not fs.rename(hidden, place):
+        fs.delete(hidden, False)
+        raise InvalidData(f"'{path}' has been written by someone else")
+
+
 def filesystem(path: str) -> tuple[FileSystem, str]:
     """Arrow file system and the path inside it; works on the driver and in tasks."""
     if "://" not in path:

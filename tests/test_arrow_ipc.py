@@ -189,3 +189,89 @@ def test_R3_types_that_spark_lacks(spark, tmp_path):
     assert {None if r.u64 is None else int(r.u64) for r in got} == {0, 2**64 - 1, None}
     assert {r.u8 for r in got} == {0, 255, None} and {r.f16 for r in got} == {0.5, -2.0, None}
     assert sorted(r.ns.microsecond for r in got) == [0, 123456, 999999]
+
+
+def test_R3_filters_skip_batches(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "out")
+    made = spark.range(0, 10_000, 1, 1).selectExpr("id", "double(id) / 7 AS x", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id) AS ts",
+                                                   "format_string('k%05d', id) AS t", "date_add(date'2024-01-01', int(id / 100)) AS d", "if(id < 5000, null, id) AS n")
+    A.write_arrow(made, path, rows_per_batch=500)
+    cases = {
+        "id = 777": 1, "id > 8999": 2, "id >= 9500": 1, "id < 1": 1, "id <= 500": 2, "id IN (3, 4, 9999)": 2, "x BETWEEN 10 AND 20": 1,
+        "ts = timestamp_ntz'2024-01-01 00:10:00'": 1, "t > 'k09600'": 1, "d = date'2024-01-02'": 1, "n = 6000": 11, "id > 100000": 0,
+        "id > 600 AND t < 'k00700'": 1, "id % 2 = 0": 20, "id = 3 OR x = 4": 20,
+    }
+    file = next(u for u, _ in A.visible_files(path))
+    with pa.OSFile(file) as source:
+        schema = pa.ipc.open_file(source).schema
+    for text, most in cases.items():
+        df = A.read_arrow(spark, path).where(text)
+        assert rows(df) == rows(made.where(text)), text
+        # The same filters as the plan hands to the reader.
+        reader = A.IpcReader(A.ipc_schema(path, "file"), {"path": path})
+        simple = {"id = 777": [A.EqualTo(("id",), 777)], "id > 8999": [A.GreaterThan(("id",), 8999)], "id IN (3, 4, 9999)": [A.In(("id",), (3, 4, 9999))],
+                  "id > 100000": [A.GreaterThan(("id",), 100000)]}.get(text)
+        if simple:
+            assert reader.pushFilters(simple) == simple
+            assert len(A.batches_to_read(file, schema, reader.filters)) == most
+
+
+def test_R3_filter_reaches_the_reader(spark, tmp_path):
+    """Damaged batches outside the filter are never touched."""
+    path = str(tmp_path / "out")
+    A.write_arrow(spark.range(0, 4000, 1, 1), path, rows_per_batch=1000)
+    file = next(u for u, _ in A.visible_files(path))
+    with pa.OSFile(file) as source:
+        reader = pa.ipc.open_file(source)
+        batches = [reader.get_batch(i) for i in range(4)]
+    batches[0] = pa.record_batch([pa.array([-5] * 1000, pa.int64())], schema=batches[0].schema)
+    with pa.OSFile(file, "wb") as sink, pa.ipc.new_file(sink, batches[0].schema) as writer:
+        for batch in batches:
+            writer.write_batch(batch)
+    assert A.read_arrow(spark, path).where("id < 0").count() == 0  # by the ranges, no batch has such a row
+    assert A.read_arrow(spark, path).where("id % 2 <> 0 AND id < 0 OR id < -1").count() == 1000
+
+
+def test_W3_only_what_a_manifest_lists_is_read(spark, tmp_path):
+    path = str(tmp_path / "out")
+    A.write_arrow(spark.range(5).coalesce(1), path)
+    stray = next(u for u, _ in A.visible_files(path))
+    other = f"{path}/write-{'0' * 32}/{'1' * 32}.arrow"  # a write that was never published
+    again = f"{os.path.dirname(stray)}/{'2' * 32}.arrow"  # an attempt whose twin was committed
+    os.makedirs(os.path.dirname(other))
+    for name in (other, again):
+        with open(stray, "rb") as a, open(name, "wb") as b:
+            b.write(a.read())
+    assert bulk_read(spark, path, "feather").count() == 5
+    with open(stray, "rb") as a, open(f"{path}/foreign.feather", "wb") as b:
+        b.write(a.read())
+    assert bulk_read(spark, path, "feather").count() == 10
+    assert bulk_read(spark, f"{path}/foreign.feather", "feather").count() == 5
+
+
+def test_W3_no_file_is_moved_but_the_manifest(spark, tmp_path, monkeypatch):
+    moved = []
+
+    class Counting:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+        def move(self, a, b):
+            moved.append(b)
+            self.fs.move(a, b)
+
+    real = A.filesystem
+    path = str(tmp_path / "out")
+    schema = spark.range(1).schema
+    os.makedirs(A.job_folder(path, "a" * 32))
+    writer = A.IpcWriter(schema, {"path": path, "job": "a" * 32, "targetbytes": 1, "rowsperbatch": 1}, False)
+    messages = [writer.write(iter([pa.record_batch([pa.array(range(100), pa.int64())], schema=writer.schema)])) for _ in range(10)]
+    assert A.visible_files(path) == []
+    monkeypatch.setattr(A, "filesystem", lambda p: (Counting(real(p)[0]), real(p)[1]))
+    writer.commit(messages)
+    assert moved == [f"{path}/_manifest-{'a' * 32}.json"]
+    monkeypatch.undo()
+    assert len(A.visible_files(path)) == 1000
