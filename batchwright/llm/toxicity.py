@@ -1,10 +1,11 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words become classes (insult, threat, target, intent, negation, report, quote, other). A
-cascade of small transducers reads the classes of a clause: the first marks what is
-negated, the second what is reported speech, the third composes insults and threats with
-their targets and adds up weights. A document is judged by its matched clauses, not by
-isolated words: a negated or reported insult weighs little, an aimed one more than a bare one.
+Words become classes (insult, threat, target, intent, negation, report, other, each with or
+without a quote mark). Three weighted transducers, each a table of states and arcs, are composed
+into one: the first marks reported speech, the second what is negated, the third joins insults
+and threats with their targets. Weights multiply along the composition, so each clause is read
+once. A document is judged by its matched clauses, not by isolated words: a negated or reported
+insult weighs little, an aimed one more than a bare one.
 
 The insult lexicon is a short fixed list plus stems learned from labelled texts: words and
 word beginnings that toxic texts have and clean ones lack. A logistic calibrator turns clause
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 from batchwright.llm.calibration import Logistic, fold, labelled_sample
 from batchwright.llm.common import ids_and_text, map_batches, received, send
+from batchwright.llm.transducer import build, compose
 from batchwright.storage import materialize
 
 #: Labelled rows of each class that a model is fitted on, at most.
@@ -65,13 +67,11 @@ def core(token: str) -> str:
     return token.strip(_EDGE).lower()
 
 
-# Transducers. Each maps (state, class) to (state, factor or role); what is not listed keeps the state.
-# Negation: a negation word covers the next NEGATED_WORDS words.
+# A negation word covers the next NEGATED_WORDS words.
 NEGATED_WORDS = 3
 NEGATED_FACTOR, REPORTED_FACTOR, AIMED_FACTOR = 0.25, 0.3, 1.5
-# Reported speech: a report verb or an opening quote covers the rest of its clause or quote.
-# Composition: state remembers whether a target or an intent came before.
-COMPOSITION = {
+# What came before in a clause, and a class, to what has come now; other classes change nothing.
+JOINED = {
     ("start", TARGET): "target",
     ("start", INTENT): "intent",
     ("target", INTENT): "intent",
@@ -83,6 +83,41 @@ COMPOSITION = {
     ("intent", THREAT): "threat",
     ("threat", TARGET): "aimed",
 }
+CLASSES = (OTHER, INSULT, THREAT, TARGET, INTENT, NEGATION, REPORT)
+NOTHING, BARE, AIMED_BEFORE, AIMED_AFTER = range(4)
+
+
+def _reported(state, symbol):
+    """(report verb read, inside quotes): a verb covers the rest of its clause, quotes what they hold."""
+    (verb, inside), (kind, quote) = state, symbol
+    covered = verb or kind == REPORT or inside or quote
+    hit = kind in (INSULT, THREAT)
+    return (verb or kind == REPORT, inside != quote), (kind, covered and hit), REPORTED_FACTOR if covered and hit else 1.0
+
+
+def _negated(left, symbol):
+    """Words that the last negation still covers."""
+    kind, reported = symbol
+    hit = kind in (INSULT, THREAT) and left > 0
+    after = NEGATED_WORDS if kind == NEGATION else max(left - 1, 0)
+    return after, (kind, reported, hit), NEGATED_FACTOR if hit else 1.0
+
+
+def _joined(before, symbol):
+    """Insults count, threats where an intent stands before them; a target before an insult makes it aimed."""
+    kind, reported, negated = symbol
+    after = JOINED.get((before, kind), before)
+    if kind == INSULT or kind == THREAT and before == "intent":
+        aimed = before in ("target", "aimed")
+        return after, (AIMED_BEFORE if aimed else BARE, reported, negated), AIMED_FACTOR if aimed else 1.0
+    role = AIMED_AFTER if kind == TARGET and before in ("insult", "threat") else NOTHING
+    return after, (role, False, False), 0.0
+
+
+REPORTS = build((False, False), [(kind, quote) for kind in CLASSES for quote in (False, True)], _reported)
+NEGATIONS = build(0, [(kind, reported) for kind in CLASSES for reported in (False, True)], _negated)
+CLAUSES = build("start", [(kind, r, n) for kind in CLASSES for r in (False, True) for n in (False, True)], _joined)
+GRAMMAR = compose(compose(REPORTS, NEGATIONS), CLAUSES)
 
 
 @dataclass
@@ -96,36 +131,18 @@ class Match:
 
 
 def read_clause(tokens: list[tuple[int, float, bool]]) -> Match | None:
-    """Run the cascade over a clause of (class, weight, has a quote mark)."""
-    negated_left = 0
-    reported = quoted = False
-    state, weight = "start", 0.0
-    any_negated = any_reported = aimed = False
+    """Run the composed grammar over a clause of (class, weight, has a quote mark)."""
+    arcs, state = GRAMMAR.arcs, GRAMMAR.start
+    total = 0.0
+    any_negated = any_reported = any_aimed = False
     for kind, value, quote in tokens:
-        if kind == NEGATION:
-            negated_left = NEGATED_WORDS + 1
-        elif kind == REPORT:
-            reported = True
-        opened = quote and not quoted
-        if opened:
-            quoted = True
-        before = state
-        state = COMPOSITION.get((state, kind), state)
-        if kind == INSULT or kind == THREAT and before == "intent":
-            factor = value
-            if negated_left > 0:
-                factor, any_negated = factor * NEGATED_FACTOR, True
-            if reported or quoted:
-                factor, any_reported = factor * REPORTED_FACTOR, True
-            if before in ("target", "aimed"):
-                factor, aimed = factor * AIMED_FACTOR, True
-            weight += factor
-        elif kind == TARGET and before in ("insult", "threat"):
-            aimed = True
-        if quote and quoted and not opened:
-            quoted = False
-        negated_left -= negated_left > 0
-    return Match(weight, any_negated, any_reported, aimed) if weight > 0 else None
+        state, (role, reported, negated), weight = arcs[state, (kind, quote)]
+        if role:
+            total += weight * value
+            any_negated |= negated
+            any_reported |= reported
+            any_aimed |= role != BARE
+    return Match(total, any_negated, any_reported, any_aimed) if total > 0 else None
 
 
 @dataclass

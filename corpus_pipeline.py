@@ -22,6 +22,9 @@ from batchwright.storage import materialize
 #: Vocabulary of the last stage.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
+#: Percent of five-word shingles that near-duplicates share at least.
+SIMILARITY = 80
+
 #: The stages fit models and encode by a tokenizer's rules, which SQL cannot express.
 ORACLE_SQL = None
 
@@ -45,7 +48,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
-    return documents(drop_near_duplicates(docs.select(*DOCUMENT_COLUMNS)))
+    return documents(drop_near_duplicates(docs.select(*DOCUMENT_COLUMNS), SIMILARITY))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ def shingles(text):
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
 
 
-def brute(rows):
+def brute(rows, similarity=85):
     """All pairs, then union-find."""
     sets = {i: shingles(t) for i, t in rows}
     root = {i: i for i in sets}
@@ -29,9 +29,9 @@ def brute(rows):
 
     for a, b in itertools.combinations(sorted(sets), 2):
         x, y = sets[a], sets[b]
-        if x and y and 100 * min(len(x), len(y)) >= 85 * max(len(x), len(y)):
+        if x and y and 100 * min(len(x), len(y)) >= similarity * max(len(x), len(y)):
             both = len(x & y)
-            if 100 * both >= 85 * (len(x) + len(y) - both):
+            if 100 * both >= similarity * (len(x) + len(y) - both):
                 low, high = sorted((top(a), top(b)))
                 root[high] = low
     return sorted((i, len(sets[i]), top(i), top(i) == i) for i in sets)
