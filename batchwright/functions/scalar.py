@@ -17,6 +17,9 @@ __all__ = [
     "iso_text",
     "parse_iso",
     "month_start",
+    "plus_days",
+    "days_between",
+    "round_exact",
     "round_cents",
     "json_payload",
     "hash_int",
@@ -81,27 +84,43 @@ def month_start(day: Column) -> Column:
     return F.trunc(day, "MM")
 
 
-def round_cents(x: Column) -> Column:
-    """Round a non-negative double to 2 digits as exact arithmetic on its binary value
-    would, ties to even (F10).
+def plus_days(day: Column, n: Column) -> Column:
+    """A date so many days later."""
+    return F.date_add(day, n.cast("int"))
+
+
+def days_between(start: Column, end: Column) -> Column:
+    """Days from `start` to `end`."""
+    return F.date_diff(end, start).cast("bigint")
+
+
+def round_exact(x: Column, digits: int) -> Column:
+    """Round a non-negative double to at most 8 digits as exact arithmetic on its binary
+    value would, ties to even (F10).
 
     Neither `round` nor `bround` does that: both go through the shortest decimal text.
-    Here x is split into two halves of 26 bits. Their products with 100 are exact, and so
-    are the whole and fractional parts of those. The fractions are never added as such:
-    only signs of sums are taken, and a floating-point sum has the right sign. Holds for
-    0 <= x < 2**43.
+    Here x is split into two halves of 26 bits. Their products with a power of ten, whose
+    own digits are 19 bits at most, are exact, and so are the whole and fractional parts of
+    those. The fractions are never added as such: only signs of sums are taken, and a
+    floating-point sum has the right sign. Holds as long as the result has 53 bits.
     """
+    scale = float(10**digits)
     scaled = x * F.lit(134217729.0)
     high = scaled - (scaled - x)
-    low = (x - high) * 100.0
-    high = high * 100.0
+    low = (x - high) * scale
+    high = high * scale
     whole_high, whole_low = F.floor(high), F.floor(low)
     part_high, part_low = high - whole_high.cast("double"), low - whole_low.cast("double")
     carry = ((part_high - 1.0) + part_low >= 0).cast("int")
     floor = whole_high + whole_low + carry
     beyond = (part_high - 0.5 - carry.cast("double")) + part_low
-    cents = F.when(beyond > 0, floor + 1).when(beyond < 0, floor).otherwise(floor + F.pmod(floor, F.lit(2)))
-    return cents.cast("double") / 100.0
+    units = F.when(beyond > 0, floor + 1).when(beyond < 0, floor).otherwise(floor + F.pmod(floor, F.lit(2)))
+    return units.cast("double") / scale
+
+
+def round_cents(x: Column) -> Column:
+    """`round_exact` to 2 digits."""
+    return round_exact(x, 2)
 
 
 def json_payload(value: Column) -> Column:
@@ -118,7 +137,7 @@ def hash_int(seed: int, key: Column, stream: str, low: int, high: int) -> Column
 def hash_real(seed: int, key: Column, stream: str, high: float, digits: int) -> Column:
     """Double in [0, high], rounded to `digits`."""
     unit = F.pmod(F.xxhash64(F.lit(seed), key, F.lit(stream)), F.lit(1 << 53)).cast("double") / float(1 << 53)
-    return F.round(unit * high, digits)
+    return round_exact(unit * high, digits)
 
 
 def capital_letter(seed: int, key: Column, stream: str) -> Column:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from batchwright.functions.scalar import literal
 from batchwright.storage import checkpoint
 
 
@@ -53,9 +55,73 @@ def with_row_position(df: DataFrame, order: Sequence[str | Column], name: str =
     return _in_order(df, order, df.columns, name)
 
 
+#: Cuts of the first order column that a page is looked for between; a thousandth of the rows lie between two.
+CUTS = 1024
+_PLAIN_ORDER = re.compile(r"^Column<'`?([^`'()]+?)`? (ASC|DESC) NULLS (FIRST|LAST)'>$")
+
+
+def _first_column(df: DataFrame, order: Sequence[str | Column]) -> tuple[str, bool, bool] | None:
+    """(name, ascending, nulls first) of the first order column; None if it is no plain column that has quantiles."""
+    first = order[0] if order else None
+    if isinstance(first, Column):
+        found = _PLAIN_ORDER.match(str(first))
+        name, ascending, nulls_first = (found.group(1), found.group(2) == "ASC", found.group(3) == "FIRST") if found else (None, True, True)
+    else:
+        name, ascending, nulls_first = first, True, True
+    kinds = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    if name not in df.columns or not isinstance(df.schema[name].dataType, kinds):
+        return None
+    return name, ascending, nulls_first
+
+
+def _near_page(df: DataFrame, order: Sequence[str | Column], skip: int, limit: int) -> tuple[DataFrame, int] | None:
+    """The rows whose first order column is near the page's, and how many rows come before these.
+
+    Cuts come from a sketch of that column; how many rows lie before and between two of them is
+    then counted exactly. None where the page cannot be found that way: among nulls, or if
+    the sketch has missed it.
+    """
+    found = _first_column(df, order)
+    if found is None:
+        return None
+    name, ascending, nulls_first = found
+    column = F.col(f"`{name}`")
+    cuts = F.percentile_approx(column, [i / CUTS for i in range(CUTS + 1)], 10 * CUTS)
+    known = df.agg(F.count(column).alias("values"), F.count_if(column.isNull()).alias("nulls"), cuts.alias("cuts")).first()
+    before = known["nulls"] if nulls_first else 0
+    low, high = skip - before, min(skip + limit - before, known["values"])  # places among the values
+    if low < 0 or low >= known["values"] or (not nulls_first and known["nulls"] and skip + limit > known["values"]):
+        return None
+    if not ascending:
+        low, high = known["values"] - high, known["values"] - low
+    edges = known["cuts"]
+    least = edges[max(0, low * CUTS // known["values"] - 1)]
+    most = edges[min(CUTS, -(-high * CUTS // known["values"]) + 1)]
+    inside = (column >= literal(least)) & (column <= literal(most))
+    counts = df.agg(F.count_if(column < literal(least)).alias("below"), F.count_if(inside).alias("inside")).first()
+    if counts["below"] > low or counts["below"] + counts["inside"] < high:
+        return None
+    passed = counts["below"] if ascending else known["values"] - counts["below"] - counts["inside"]
+    return df.where(inside), before + passed
+
+
 def rows_between(df: DataFrame, order: Sequence[str | Column], skip: int, limit: int) -> DataFrame:
     """Rows skip .. skip+limit-1 in (order, hash of all columns), in that order.
 
+    Where the first order column has quantiles, the page is found by rank: only rows whose value
+    is near the page's are sorted, and the filter for these reaches the scan. Otherwise the
+    order columns of the whole table are.
+    """
+    near = _near_page(df, order, skip, limit)
+    if near is None:
+        return _sorted_between(df, order, skip, limit)
+    rows, passed = near
+    return _sorted_between(rows, order, skip - passed, limit)
+
+
+def _sorted_between(df: DataFrame, order: Sequence[str | Column], skip: int, limit: int) -> DataFrame:
+    """Rows skip .. skip+limit-1 in (order, hash of all columns), in that order.
+
     Only the order columns and the hash are sorted and only the hash is stored, eight bytes a
     row. The hashes of the page then pick its rows from a scan; rows that are equal in all
     columns are taken as often as their hash is on the page.

@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from batchwright.errors import InvalidData, RecordNotFound
@@ -207,6 +207,19 @@ def sample_by_digest(df: DataFrame, keys: Sequence[str], fraction: float, seed:
     return df.filter(F.md5(text.cast("binary")) < F.lit(f"{bound:032x}"))
 
 
+def sample_exact(df: DataFrame, by: Sequence[str], keys: Sequence[str], k: int, seed: int) -> DataFrame:
+    """`k` rows of each stratum, all of a smaller one, drawn by a seeded digest of the keys.
+
+    The rows with the smallest digests stay, so the sample is the same whatever the layout,
+    and any other engine can repeat it. Each task keeps its own k rows of a stratum before
+    anything is exchanged; a stratum with most of the rows therefore sends k rows a task.
+    """
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(f"`{c}`").cast("string") for c in keys]).cast("binary"))
+    order = Window.partitionBy(*[f"`{c}`" for c in by]).orderBy("__digest", *[f"`{c}`" for c in keys])
+    ranked = df.withColumn("__digest", digest).withColumn("__rank", F.row_number().over(order))
+    return ranked.where(F.col("__rank") <= k).drop("__digest", "__rank")
+
+
 def shuffle_rows(df: DataFrame, seed: int, keys: Sequence[str]) -> DataFrame:
     """Rows in a random order that `seed` and the keys determine."""
     return df.orderBy(F.xxhash64(F.lit(seed), *[f"`{k}`" for k in keys]), *[f"`{k}`" for k in keys])

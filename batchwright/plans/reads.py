@@ -3,18 +3,19 @@
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from batchwright.errors import InvalidData
+from batchwright.errors import EmptyInput, InvalidData
 from batchwright.operators import query as Q
 from batchwright.operators.append import reconcile
+from batchwright.operators.records import require_rows
 from batchwright.plans.registry import registered, table
 from batchwright.schema import spark_type
 from batchwright.sinks.files import write_envelope, write_parquet
 from batchwright.sources.arrow_ipc import read_arrow, write_arrow
 from batchwright.sources.batches import map_batches
 from batchwright.sources.envelope import read_envelope, record_columns, rejected_pieces
-from batchwright.sources.local import from_local
+from batchwright.sources.local import decode_payloads, from_local
 from batchwright.sources.parquet import bulk_read, parquet_scan, read_partitioned
-from batchwright.storage import filesystem, scratch_path
+from batchwright.storage import filesystem, list_names, rename, scratch_path
 
 ENVELOPE = {"@odata.context": "production/$metadata#Agência"}
 
@@ -302,3 +303,72 @@ def time_text(spark, sf_dir):
         month_start(F.col("o_orderdate")).alias("month"),
         F.col("iso").cast(spark_type("TIMESTAMP")).cast("date").alias("day"),
     )
+
+
+@registered(
+    """
+    SELECT o_orderkey % 50 AS bucket,
+           CASE o_orderkey % 50 % 10 WHEN 3 THEN 'No Arrow data provided' WHEN 5 THEN 'Invalid Arrow IPC data'
+                WHEN 7 THEN 'Invalid or empty Arrow table' END AS error,
+           CASE WHEN o_orderkey % 50 % 10 NOT IN (3, 5, 7) THEN o_orderkey END AS o_orderkey,
+           CASE WHEN o_orderkey % 50 % 10 NOT IN (3, 5, 7) THEN o_totalprice END AS o_totalprice
+    FROM orders WHERE o_orderkey % 50 % 10 NOT IN (3, 5, 7) OR o_orderkey IN (SELECT min(o_orderkey) FROM orders GROUP BY o_orderkey % 50)
+    """
+)
+def payloads(spark, sf_dir):
+    """Orders as fifty Arrow payloads, some of them empty, cut off or without rows."""
+    orders = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 50).alias("bucket"), "o_orderkey", "o_totalprice")
+
+    def encode(key, rows):
+        import pyarrow as pa
+
+        bucket = key[0].as_py()
+        rows = rows.select(["o_orderkey", "o_totalprice"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema) as writer:
+            writer.write_table(rows.slice(0, 0 if bucket % 10 == 7 else None))
+        body = sink.getvalue().to_pybytes()
+        body = {3: b"", 5: body[:10]}.get(bucket % 10, body)
+        return pa.table({"bucket": pa.array([bucket], pa.int64()), "body": pa.array([body], pa.binary())})
+
+    sent = orders.groupBy("bucket").applyInArrow(encode, "bucket bigint, body binary")
+    return decode_payloads(sent, "body", "o_orderkey bigint, o_totalprice double", keep=["bucket"])
+
+
+@registered(
+    """
+    SELECT s AS status, CASE WHEN count(o_orderkey) = 0 THEN 'orders of status X holds no records' END AS refused, count(o_orderkey) AS n
+    FROM (VALUES ('F'), ('O'), ('P'), ('X')) t(s) LEFT JOIN orders ON o_orderstatus = s GROUP BY s
+    """
+)
+def required_rows(spark, sf_dir):
+    """Work that stops where a selection is empty: there are no orders of status X."""
+    orders, done = table(spark, sf_dir, "orders"), []
+    for status in ("F", "O", "P", "X"):
+        chosen = orders.where(F.col("o_orderstatus") == status)
+        try:
+            refused = F.lit(None).cast("string")
+            chosen = require_rows(chosen, f"orders of status {status}")
+        except EmptyInput as e:
+            refused = F.lit(str(e))
+        done.append(chosen.agg(F.lit(status).alias("status"), refused.alias("refused"), F.count("*").alias("n")))
+    return Q.bag_union(*done)
+
+
+@registered(
+    """
+    SELECT o_orderkey, o_totalprice, year(o_orderdate) AS year FROM orders
+    WHERE year(o_orderdate) IN (SELECT year(o_orderdate) FROM orders GROUP BY 1 HAVING count(*) % 2 = 0)
+    """
+)
+def partitioned_bare(spark, sf_dir):
+    """Bare folders such as `1997/`; a join decides which of them are read."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.year("o_orderdate").alias("year"))
+    path = scratch_path(spark, "partitioned-bare")
+    write_parquet(orders, path, partition_by=["year"])
+    for name in list_names(spark, path):
+        if name.startswith("year="):
+            rename(spark, f"{path}/{name}", f"{path}/{name.removeprefix('year=')}")
+    even = orders.groupBy(F.col("year").cast("bigint").alias("even_year")).agg(F.count("*").alias("n")).where("n % 2 = 0")
+    scan = read_partitioned(spark, path, ["year"])
+    return scan.join(F.broadcast(even), F.col("year") == F.col("even_year"), "left_semi").select("o_orderkey", "o_totalprice", "year")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from batchwright.functions import scalar as S
 from batchwright.operators import query as Q
 from batchwright.operators.position import rows_between, with_row_position
 from batchwright.operators.records import normalize, validate
@@ -152,6 +153,32 @@ def sample_by_seed(spark, sf_dir):
     return chosen.select("c_custkey", "c_name", drawn.alias("drawn"))
 
 
+@registered(
+    """
+    SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (
+        PARTITION BY o_orderpriority ORDER BY md5('11:' || o_orderkey), o_orderkey) AS rn FROM orders)
+    WHERE rn <= 100
+    """
+)
+def sample_exact(spark, sf_dir):
+    """A hundred orders of each priority."""
+    return Q.sample_exact(table(spark, sf_dir, "orders"), ["o_orderpriority"], ["o_orderkey"], 100, 11)
+
+
+@registered(
+    """
+    SELECT o_orderkey, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 400 AS INTEGER) AS due,
+           date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-08-02') AS days_left
+    FROM orders
+    """
+)
+def date_days(spark, sf_dir):
+    """Dates some days later, and days up to a date."""
+    day = F.col("o_orderdate").cast("date")
+    left = S.days_between(day, F.lit("1998-08-02").cast("date"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", S.plus_days(day, F.col("o_orderkey") % 400).alias("due"), left.alias("days_left"))
+
+
 @registered("SELECT * FROM customer")
 def shuffle_rows(spark, sf_dir):
     return Q.shuffle_rows(table(spark, sf_dir, "customer"), seed=42, keys=["c_custkey"])

@@ -1,5 +1,6 @@
 """Streams."""
 
+from batchwright.operators.query import sample_by_digest
 from batchwright.plans.appends import EVENTS, KEYS
 from batchwright.plans.registry import registered, table
 from batchwright.schema import read_table
@@ -29,3 +30,17 @@ def stream_dedupe(spark, sf_dir):
     writer = kept.writeStream.format("parquet").option("checkpointLocation", scratch_path(spark, "stream-checkpoint"))
     writer.trigger(availableNow=True).start(out).awaitTermination()
     return spark.read.schema(kept.schema).parquet(out)
+
+
+@registered("SELECT event_id, user_id, value FROM events WHERE value > 20 AND md5('5:' || event_id) < '40000000000000000000000000000000'")
+def stream_filtered(spark, sf_dir):
+    """A live feed, filtered, sampled by digest and cut to three columns, for a consumer that takes it batch by batch."""
+    events = table(spark, sf_dir, "events")
+    inbox = scratch_path(spark, "inbox")
+    events.repartition(4).write.parquet(inbox)
+    feed = ingest.stream_filter(ingest.read_stream(spark, inbox, events.schema, max_files=2), "value > 20")
+    feed = sample_by_digest(feed, ["event_id"], 0.25, 5).select("event_id", "user_id", "value")
+    out = scratch_path(spark, "feed")
+    writer = feed.writeStream.format("parquet").option("checkpointLocation", scratch_path(spark, "stream-checkpoint"))
+    writer.trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema(feed.schema).parquet(out)

@@ -1,7 +1,7 @@
 """JSON record envelopes: `{"...": ..., "value": [{...}, ...]}`.
 
 Records are read as VARIANT, because a typed read cannot tell an absent key from an
-explicit null. Four layouts:
+explicit null. Three layouts:
 
 document  any JSON document. One document is parsed by one task; scale comes from many
           documents.
@@ -11,9 +11,6 @@ lines     one record or one whole document per line, or the documents written by
 indented  documents pretty-printed with any indent, records being the only list of
           objects at their depth. The text between two closing braces of a record is one
           row, so a single huge document is split between tasks too.
-streamed  any JSON document of any size: one task per document, which holds one record at
-          a time. The way for huge documents in one line, which cannot be split. Only
-          failfast, as records are passed on before the rest of the document was seen.
 
 With key=None the document is the bare list of records.
 
@@ -219,17 +216,18 @@ def _indented(spark, path, key, mode, glob) -> DataFrame:
     if mode == "failfast":
         _require_lists(spark, path, key, glob)
         return pieces.select("ordinal", F.parse_json("text").alias("record"))
-    read = _without_cut_piece(spark, path, glob, pieces).select("ordinal", F.try_parse_json("text").alias("record"))
+    read = _without_cut_piece(spark, path, key, glob, pieces).select("ordinal", F.try_parse_json("text").alias("record"))
     return read.filter(F.col("record").isNotNull())
 
 
 def open_ended(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(file) of the files whose JSON is not closed: more or fewer brackets than are opened, or a string without an end.
+    """(file, braces, brackets) of the files whose JSON is not closed: brackets left open, or closed too often, or a string without an end.
 
     Strings end on the line they begin on, so every line is judged by itself and the counts
     are added up: a file of any size is split, and one row per file and task is exchanged.
     """
-    bare = F.regexp_replace("value", r'"(?:[^"\\]++|\\.)*+"', "")
+    closed = F.regexp_replace("value", r'"(?:[^"\\]++|\\.)*+"', "")
+    bare = F.substring_index(closed, '"', 1)
 
     def difference(opening: str, closing: str) -> Column:
         def count(c):
@@ -239,29 +237,30 @@ def open_ended(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
     lines = spark.read.option("pathGlobFilter", glob).text(path)
     depth = lines.groupBy(F.col("_metadata.file_path").alias("file")).agg(
-        difference("{", "}").alias("braces"), difference("[", "]").alias("brackets"), F.bool_or(bare.contains('"')).alias("string")
+        difference("{", "}").alias("braces"), difference("[", "]").alias("brackets"), F.bool_or(closed.contains('"')).alias("string")
     )
-    return depth.where("braces <> 0 OR brackets <> 0 OR string").select("file")
+    return depth.where("braces <> 0 OR brackets <> 0 OR string").select("file", "braces", "brackets")
 
 
-def _without_cut_piece(spark, path, glob, pieces: DataFrame) -> DataFrame:
-    """Pieces without the last one of a file that is cut off: a closing brace would make a record of it that never was."""
-    cut = open_ended(spark, path, glob)
+def _without_cut_piece(spark, path, key, glob, pieces: DataFrame) -> DataFrame:
+    """Pieces without the last one of a file that is cut off in a record: a closing brace would make a record of it that never was.
+
+    In a record more braces are open than the document's own, and its list is.
+    """
+    cut = open_ended(spark, path, glob).where((F.col("braces") > (0 if key is None else 1)) & (F.col("brackets") > 0))
     if cut.first() is None:
         return pieces
     place = F.struct("ordinal.block", "ordinal.row", "ordinal.piece")
     fragments = pieces.join(cut.select(F.col("file").alias("cut_file")), F.col("ordinal.file") == F.col("cut_file"), "left_semi")
     last = fragments.groupBy(F.col("ordinal.file").alias("cut_file")).agg(F.max(place).alias("last"))
     marked = pieces.join(last, F.col("ordinal.file") == F.col("cut_file"), "left")
-    # Text that its own brackets close is a whole record, after which the file was cut.
-    whole = F.try_parse_json(F.regexp_replace("text", r"\n\}$", "")).isNotNull()
-    return marked.where(F.col("last").isNull() | (place != F.col("last")) | whole).select("ordinal", "text")
+    return marked.where(F.col("last").isNull() | (place != F.col("last"))).select("ordinal", "text")
 
 
 def rejected_pieces(spark: SparkSession, path: str, key: str | None = "value", glob: str = "*") -> DataFrame:
     """(file, text) of what a permissive read of the indented layout leaves out: broken records, and one row for each file that is cut off."""
     pieces = _indented_pieces(spark, path, key, glob)
-    broken = _without_cut_piece(spark, path, glob, pieces).where(F.try_parse_json("text").isNull())
+    broken = _without_cut_piece(spark, path, key, glob, pieces).where(F.try_parse_json("text").isNull())
     ended = open_ended(spark, path, glob)
     return broken.select("ordinal.file", "text").unionAll(ended.select("file", F.lit("the document is not closed").alias("text")))
 

@@ -81,6 +81,12 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(place, True)
 
 
+def rename(spark: SparkSession, source: str, target: str) -> None:
+    fs, place = _hadoop(spark, source)
+    if not fs.rename(place, _hadoop(spark, target)[1]):
+        raise InvalidData(f"cannot rename '{source}' to '{target}'")
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     fs, place = _hadoop(spark, path)
     stream = fs.open(place)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType, TimestampNTZType
+from pyspark.sql.types import AtomicType, StructType, TimestampNTZType
 
 from batchwright import storage
 from batchwright.errors import EmptyInput
@@ -52,12 +53,30 @@ def stream_append(
     return sdf.writeStream.foreachBatch(one_batch).option("checkpointLocation", location).trigger(availableNow=True).start()
 
 
+def first_in_batches(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The first row of each key in every Arrow batch: a hot key sends one row a batch to its exchange, not all.
+
+    Keys that Arrow cannot group, such as structs and arrays, leave the rows as they are.
+    """
+    if not all(isinstance(df.schema[k].dataType, AtomicType) for k in keys):
+        return df
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = pa.table([*(batch.column(k) for k in keys), pa.array(range(batch.num_rows))], names=[*map(str, range(len(keys))), "place"])
+            first = places.group_by([str(i) for i in range(len(keys))]).aggregate([("place", "min")])["place_min"]
+            yield batch.take(first.combine_chunks().sort())
+
+    return df.mapInArrow(run, df.schema)
+
+
 def stream_dedupe(
     sdf: DataFrame, keys: Sequence[str], event_time: str | None = None, delay: str | None = None
 ) -> DataFrame:
     """One row per key (T4). With an event time and a delay, state is dropped once the
     watermark has passed; without them it grows with the number of keys, which suits
-    bounded input only."""
+    bounded input only. Rows that a batch repeats are dropped before they are exchanged."""
+    sdf = first_in_batches(sdf, keys)
     if event_time and delay:
         # A watermark needs a timestamp with a zone; a zone-less one is cast for it.
         clock = F.col(event_time)

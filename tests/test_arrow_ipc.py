@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from batchwright.errors import DatasetNotFound, EmptyInput, InvalidData
 from batchwright.sources import arrow_ipc as A
 from batchwright.sources.batches import fetch_batches, map_batches, stream_bytes
-from batchwright.sources.local import from_ipc_payload, from_local
+from batchwright.sources.local import decode_payloads, from_ipc_payload, from_local
 from batchwright.sources.parquet import bulk_read
 
 
@@ -275,3 +275,23 @@ def test_W3_no_file_is_moved_but_the_manifest(spark, tmp_path, monkeypatch):
     assert moved == [f"{path}/_manifest-{'a' * 32}.json"]
     monkeypatch.undo()
     assert len(A.visible_files(path)) == 1000
+
+
+def test_V4_many_payloads(spark):
+    def body(n, dictionary=False):
+        t = pa.table({"t": pa.array([f"x{i}" for i in range(n)]), "a": pa.array(range(n), pa.int32()), "more": pa.array([1.5] * n)})
+        t = t.set_column(0, "t", t["t"].dictionary_encode()) if dictionary else t
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, t.schema) as writer:
+            writer.write_table(t, max_chunksize=2)
+        return sink.getvalue().to_pybytes()
+
+    lacking = pa.BufferOutputStream()
+    with pa.ipc.new_stream(lacking, pa.schema([("a", pa.int64())])) as writer:
+        writer.write_batch(pa.record_batch([pa.array([1], pa.int64())], names=["a"]))
+    rows_ = [(1, body(3)), (2, b""), (3, None), (4, body(3)[:-30]), (5, b"not arrow at all"), (6, body(0)), (7, body(2, True)), (8, lacking.getvalue().to_pybytes())]
+    df = spark.createDataFrame(rows_, "id int, body binary").repartition(3)
+    got = rows(decode_payloads(df, "body", "a bigint, t string", keep=["id"]))
+    assert [r for r in got if r[3] is None] == [(1, 0, "x0", None), (1, 1, "x1", None), (1, 2, "x2", None), (7, 0, "x0", None), (7, 1, "x1", None)]
+    assert {r[0]: r[3] for r in got if r[3]} == {2: "No Arrow data provided", 3: "No Arrow data provided", 4: "Invalid Arrow IPC data",
+                                                 5: "Invalid Arrow IPC data", 6: "Invalid or empty Arrow table", 8: "Invalid Arrow IPC data"}

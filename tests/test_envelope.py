@@ -172,3 +172,36 @@ def test_W1_W2_codecs(spark, table, tmp_path):
         assert rows(spark.read.parquet(str(path))) == rows(table("part"))
     with pytest.raises(InvalidData):
         write_parquet(table("part"), str(tmp_path / "c"), codec="gzip", level=1)
+
+
+CUT = json.dumps({"c": 1, "value": [{"a": i, "t": 'x { ] " y'} for i in range(3)], "z": [1]}, indent=2)
+
+
+@pytest.mark.parametrize("at", range(0, len(CUT), 9))
+def test_R10_a_document_cut_off_anywhere_is_refused(spark, tmp_path, at):
+    """Failfast refuses it; a permissive read keeps the records before the cut and counts one reject."""
+    (tmp_path / "cut.json").write_text(CUT[:at])
+    path = str(tmp_path / "cut.json")
+    whole = CUT[:at].count('"\n    }')
+    if CUT[:at].strip():
+        with pytest.raises((InvalidData, PySparkException)):
+            E.read_envelope(spark, path, layout="indented", mode="failfast").collect()
+        assert E.rejected_pieces(spark, path).count() == 1
+    assert [r["a"] for r in records(E.read_envelope(spark, path, layout="indented"))] == list(range(whole))
+
+
+def test_R9_rejects_of_the_indented_layout(spark, tmp_path):
+    save(tmp_path / "a.json", {"value": [{"a": 1}, {"a": 2}]})
+    broken = json.dumps({"value": [{"a": 3}, {"a": "?"}, {"a": 4}]}, indent=2).replace('"?"', "oops")
+    (tmp_path / "b.json").write_text(broken)
+    assert sorted(r["a"] for r in records(E.read_envelope(spark, str(tmp_path), layout="indented"))) == [1, 2, 3, 4]
+    got = E.rejected_pieces(spark, str(tmp_path)).collect()
+    assert len(got) == 1 and got[0].file.endswith("b.json") and "oops" in got[0].text
+    assert E.open_ended(spark, str(tmp_path)).collect() == []
+
+
+def test_open_strings_and_brackets_inside_strings(spark, tmp_path):
+    texts = {"ok": json.dumps({"a": ']}{"', "b": "\\"}), "string": '{"a": "x}', "extra": '{"a": 1}}', "list": '[{"a": "["}'}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    assert sorted(r.file.rsplit("/", 1)[1] for r in E.open_ended(spark, str(tmp_path)).collect()) == ["extra", "list", "string"]

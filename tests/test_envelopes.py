@@ -106,3 +106,12 @@ def test_D3_empty_envelope(spark, tmp_path):
     source = save(tmp_path / "x.json", {"@odata.context": "c", "value": []})
     assert tuple(W.dedupe_envelope(spark, source, str(tmp_path / "out")).first()) == (0, 0, 0, 0.0)
     assert written(spark, str(tmp_path / "out")) == []
+
+
+def test_W9_rejects_of_indented_documents_are_counted(spark, tmp_path):
+    text = json.dumps({"value": [record(i) for i in range(4)]}, indent=2)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text(text)
+    (tmp_path / "in" / "b.json").write_text(text.replace('"field_code": ', '"field_code": 1')[: text.index("F2")])
+    result = W.load_records(spark, str(tmp_path / "in"), str(tmp_path / "t"), layout="indented")
+    assert (result.inserted, result.rejected) == (6, 1)

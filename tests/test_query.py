@@ -6,6 +6,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from batchwright.errors import DatasetNotFound, InvalidData, RecordNotFound
+from batchwright.operators import position as P
 from batchwright.operators import query as Q
 from batchwright.operators.position import with_row_position
 from batchwright.sources.parquet import bulk_read, dataset_path, parquet_scan, read_partitioned
@@ -196,3 +197,57 @@ def test_R14_text_and_null_partitions(spark, tmp_path):
     assert rows(got) == sorted([(1, "a b", 7), (2, None, 8), (3, "c=d/e", None)], key=repr)
     assert rows(read_partitioned(spark, str(tmp_path / "d"), ["t", "n"], where="t IS NULL OR n = 7")) == [(1, "a b", 7), (2, None, 8)]
     assert "PartitionFilters: [isnotnull(t" in got.filter("t = 'a b'")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_R14_declared_types_and_pruning_by_a_join(spark, tmp_path):
+    root = tmp_path / "codes"
+    for code in ("007", "08", "8", "x'y"):
+        spark.createDataFrame([(code,)], "v string").coalesce(1).write.parquet(str(root / code))
+    df = read_partitioned(spark, str(root), ["code"], types={"code": "string"})
+    assert rows(df) == sorted(((c, c) for c in ("007", "08", "8", "x'y")), key=repr)
+    assert rows(df.where("code = '08'")) == [("08", "08")] and len(df.where("code = '08'").inputFiles()) == 1
+    with pytest.raises(InvalidData, match="bigint"):
+        read_partitioned(spark, str(root), ["code"])
+    native = tmp_path / "native"
+    spark.createDataFrame([(1, "007"), (2, "08"), (3, None)], "v int, code string").write.partitionBy("code").parquet(str(native))
+    got = read_partitioned(spark, str(native), ["code"], types={"code": "string"})
+    assert rows(got) == sorted([(1, "007"), (2, "08"), (3, None)], key=repr)
+    chosen = spark.createDataFrame([("08", 1), ("9", 0)], "wanted string, flag int").where("flag = 1")
+    joined = df.join(F.broadcast(chosen), F.col("code") == F.col("wanted"))
+    assert joined.count() == 1 and "dynamicpruning" in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_L5_exact_size_per_stratum(spark):
+    df = spark.range(20_000).selectExpr("id", "if(id % 3 > 0, 'hot', if(id < 30, 'rare', 'other')) AS kind")
+    one = Q.sample_exact(df, ["kind"], ["id"], 50, 1)
+    assert {r.kind: r["count"] for r in one.groupBy("kind").count().collect()} == {"hot": 50, "rare": 10, "other": 50}
+    assert rows(one) == rows(Q.sample_exact(df.repartition(7), ["kind"], ["id"], 50, 1))
+    assert rows(one) != rows(Q.sample_exact(df, ["kind"], ["id"], 50, 2))
+    want = sorted((hashlib.md5(f"1:{i}".encode()).hexdigest(), i) for i in range(20_000) if i % 3)[:50]
+    assert sorted(r.id for r in one.where("kind = 'hot'").collect()) == sorted(i for _, i in want)
+    assert "WindowGroupLimit" in one._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("order", [
+    lambda: ["x", "id"], lambda: [F.col("x").desc(), "id"], lambda: [F.desc("x"), F.col("id").desc()], lambda: [F.col("x").asc_nulls_last(), "id"],
+    lambda: [F.col("x").desc_nulls_first(), "id"], lambda: [F.col("x") + 0, "id"], lambda: ["t"], lambda: [F.col("d").desc(), "id"],
+    lambda: ["same", "id"],
+])
+def test_L4_page_by_rank(spark, order):
+    order = order()
+    df = spark.range(0, 20_000, 1, 5).selectExpr(
+        "id", "if(id % 10 = 0, null, double(id * 7919 % 4001)) AS x", "concat('t', id * 31 % 20000) AS t", "1 AS same",
+        "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id * 17 % 20000) AS d")
+    want = [r.id for r in df.orderBy(*order).collect()]
+    for skip in (0, 1990, 9000, 17_999, 19_990, 25_000):
+        assert [r.id for r in P.rows_between(df, order, skip, 20).collect()] == want[skip : skip + 20], skip
+
+
+def test_L4_deep_page_sorts_a_part_only(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(0, 200_000, 1, 4).selectExpr("id", "id * 7919 % 200003 AS x").write.parquet(path)
+    df = spark.read.parquet(path)
+    near, passed = P._near_page(df, ["x"], 100_000, 50)
+    assert near.count() <= 2000 and passed <= 100_000
+    assert "GreaterThanOrEqual(x" in near._jdf.queryExecution().executedPlan().toString()
+    assert [r.x for r in Q.page(df, ["x"], 100_000, 50).collect()] == sorted(i * 7919 % 200003 for i in range(200_000))[100_000:100_050]

@@ -76,3 +76,19 @@ def test_F15_A12_guards(spark):
         25.0, 0.0, 1.5, 0.0,
     )
     assert one(spark, B.ratio(F.lit(1.0), F.lit(0.0))) == (None,)
+
+
+@pytest.mark.parametrize("digits, high", [(7, 100.0), (8, 20.0), (8, 5.0)])
+def test_F10_more_digits(spark, digits, high):
+    import random
+
+    rng = random.Random(digits)
+    values = [rng.random() * high for _ in range(20_000)] + [k / 2**n for n in range(20, 40) for k in range(1, 40)] + [0.0, 0.5, 1e-9, high]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert [r.y for r in df.select(B.round_exact(F.col("x"), digits).alias("y")).collect()] == [round(v, digits) for v in values]
+
+
+def test_F6_days(spark):
+    df = spark.createDataFrame([(dt.date(2024, 2, 28), 2), (dt.date(2023, 12, 31), 1), (dt.date(2024, 1, 1), -1), (None, 1)], "d date, n bigint")
+    got = df.select(B.plus_days(F.col("d"), F.col("n")).alias("e"), B.days_between(F.col("d"), F.lit(dt.date(2024, 3, 1))).alias("k")).collect()
+    assert [tuple(r) for r in got] == [(dt.date(2024, 3, 1), 2), (dt.date(2024, 1, 1), 61), (dt.date(2023, 12, 31), 60), (None, None)]

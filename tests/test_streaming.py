@@ -66,3 +66,26 @@ def test_T2_T3_feed(spark, table, inbox, tmp_path):
     out = str(tmp_path / "out")
     feed.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(out).awaitTermination()
     assert rows(spark.read.parquet(out)) == rows(table("events").filter("value > 100").select("event_id", "value"))
+
+
+def test_T4_hot_key_is_thinned_before_the_exchange(spark, setting):
+    setting("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    df = spark.range(0, 20_000, 1, 4).selectExpr("if(id % 100 > 0, 7, id) AS k", "if(id % 2 = 0, null, 'a') AS t", "id")
+    thin = ingest.first_in_batches(df, ["k", "t"])
+    assert thin.where("k = 7").count() <= 2 * 20
+    assert rows(thin.select("k", "t").distinct()) == rows(df.select("k", "t").distinct())
+    nested = spark.createDataFrame([([1],), ([1],)], "k array<int>")
+    assert ingest.first_in_batches(nested, ["k"]).count() == 2
+
+
+def test_T1_micro_batches_stay_cheap(spark, tmp_path):
+    """Fifty small appends: the segments stay few, and the last appends open no more files than the first ones."""
+    from batchwright import segments
+
+    path, most = str(tmp_path / "t"), 0
+    events = spark.range(0, 50 * 40).selectExpr(
+        "id AS event_id", "timestamp_ntz'2024-01-01' AS ts", "id % 5 AS user_id", "'e' AS event_type", "1D AS value", "'{}' AS props")
+    for i in range(50):
+        bulk_append(events.where(f"event_id % 50 = {i}"), path, EVENTS, "name", on_conflict="skip")
+        most = max(most, len(segments.segments(spark, path)))
+    assert most <= 8 and read_table(spark, EVENTS, path).count() == 2000
