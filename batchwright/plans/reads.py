@@ -1,5 +1,6 @@
 """Sources, sinks and round trips."""
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -154,7 +155,7 @@ def envelope_strict(spark, sf_dir):
     for file in files:
         try:
             read_envelope(spark, file.path, layout="indented", mode="failfast").write.format("noop").mode("overwrite").save()
-        except (InvalidData, PySparkException):
+        except (InvalidData, PySparkException, Py4JJavaError):
             refused += 1
     return accepted.agg(F.lit(refused).alias("refused"), F.count("*").alias("accepted"))
 
