@@ -17,6 +17,8 @@ from batchwright.operators.joins import rows_with_keys
 
 # Key columns used when the caller names none.
 DEFAULT_KEYS = ("field_code", "well_code", "production_period")
+#: Positions that one mask covers, a power of two.
+MASK_BITS = 32
 
 
 def resolve_keys(df: DataFrame, keys: Sequence[str] | None = None) -> list[str]:
@@ -106,6 +108,31 @@ def duplicate_groups(df: DataFrame, keys: Sequence[str] | None, ordinal: str) ->
     return grouped.filter("occurrences > 1")
 
 
+def duplicate_positions(df: DataFrame, keys: Sequence[str] | None, ordinal: str) -> DataFrame:
+    """All positions of every key that occurs more than once, as masks: the keys, `block`, `mask` and `n`.
+
+    `ordinal` numbers the rows with whole numbers. Bit i of `mask` is position
+    MASK_BITS * block + i, and `n` is how many bits are set, so the positions of a group of any
+    size are rows of fixed width and never a list. Masks are put together in each task before
+    the exchange. `listed_positions` turns them back into positions.
+    """
+    names = resolve_keys(df, keys)
+    at =F.col(f"`{ordinal}`").cast("bigint")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(MASK_BITS - 1).cast("int"))
+    block = F.shiftright(at, MASK_BITS.bit_length() - 1).alias("block")
+    masks = df.groupBy(*[f"`{k}`" for k in names], block).agg(F.bit_or(bit).alias("mask"))
+    masks = masks.withColumn("n", F.bit_count("mask").cast("bigint"))
+    repeated = masks.groupBy(*[f"`{k}`" for k in names]).agg(F.sum("n").alias("__n")).filter("__n > 1")
+    return rows_with_keys(masks, repeated, names)
+
+
+def listed_positions(masks: DataFrame, name: str = "position") -> DataFrame:
+    """One row per position of `duplicate_positions`."""
+    bits = F.filter(F.sequence(F.lit(0), F.lit(MASK_BITS - 1)), lambda i: F.getbit("mask", i) == 1)
+    spread = masks.withColumn("__bit", F.explode(bits)).withColumn(name, F.col("block") * MASK_BITS + F.col("__bit"))
+    return spread.drop("__bit", "block", "mask", "n")
+
+
 def duplicate_members(df: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """Full rows of every key that occurs more than once."""
     names, grouped = _keyed(df, keys)

@@ -15,7 +15,7 @@ from batchwright.operators.duplicates import DEFAULT_KEYS, dedupe_first, dedupe_
 from batchwright.operators.records import WELL_RULES, Rule, normalize
 from batchwright.schema import get_schema
 from batchwright.sinks.files import write_envelope
-from batchwright.sources.envelope import corrupt_documents, envelope_fields, field, read_envelope, rejected_lines, rejected_pieces
+from batchwright.sources.envelope import Rejects, envelope_fields, field, read_envelope
 
 
 def load_records(
@@ -33,14 +33,13 @@ def load_records(
 
     The payload is a bare list (key=None), or the list below `key`, such as `value` of an
     envelope or `data` of a request that names its schema. Nothing to load is EmptyInput.
-    A permissive read counts the lines, records or documents it left out as `rejected`.
+    A permissive read counts the lines, records or documents it left out as `rejected`, in
+    the one pass that stages the batch.
     """
-    rows = normalize(read_envelope(spark, path, key, layout, mode), rules)
+    rejects = Rejects()
+    rows = normalize(read_envelope(spark, path, key, layout, mode, rejects=rejects), rules)
     result = bulk_append(rows, table, get_schema(schema), "name", on_conflict, ordinal="ordinal")
-    if mode == "failfast":
-        return result
-    rejects = {"lines": rejected_lines, "indented": rejected_pieces, "document": corrupt_documents}[layout]
-    return replace(result, rejected=rejects(spark, path, key).count())
+    return replace(result, rejected=rejects.count())
 
 
 def load_request(spark: SparkSession, path: str, tables: str, **options) -> AppendResult:
@@ -57,14 +56,17 @@ def load_request(spark: SparkSession, path: str, tables: str, **options) -> Appe
 
 def keyed_records(records: DataFrame, keys: Sequence[str] = DEFAULT_KEYS) -> tuple[DataFrame, list[str]]:
     """Records with one text column per key field, absent and null being the same. Those
-    of `keys` that occur in any record are the key; if none does, all fields are (D2)."""
+    of `keys` that occur in any record are the key; if none does, all fields are (D2), as one
+    text column, so records may have any number of differing fields."""
     record = F.col("record")
     occurring = records.agg(*[F.bool_or(field(record, k).isNotNull()).alias(f"k{i}") for i, k in enumerate(keys)]).first()
     chosen = [k for k, found in zip(keys, occurring) if found]
     if not chosen:
-        members = records.lateralJoin(records.sparkSession.tvf.variant_explode(F.col("record").outer()))
-        chosen = sorted(r.key for r in members.select("key").filter("key IS NOT NULL").distinct().collect())
-    text = [F.to_json(field(record, k)) for k in chosen]
+        fields = F.try_variant_get(record, "$", "map<string,variant>")
+        filled = F.map_filter(fields, lambda _, v: ~F.coalesce(F.is_variant_null(v), F.lit(True)))
+        named = F.transform(F.sort_array(F.map_keys(filled)), lambda k: F.struct(k.alias("k"), F.to_json(filled[k]).alias("v")))
+        return records.withColumn("__key_0", F.coalesce(F.to_json(named), F.to_json(record))), ["__key_0"]
+    text =[F.to_json(field(record, k)) for k in chosen]
     columns = [F.nullif(t, F.lit("null")).alias(f"__key_{i}") for i, t in enumerate(text)]
     return records.select("*", *columns), [f"__key_{i}" for i in range(len(chosen))]
 
@@ -88,7 +90,5 @@ def dedupe_envelope(
         envelope = envelope_fields(spark, source, layout=layout)
     records = storage.materialize(read_envelope(spark, source, layout=layout, mode="failfast"), "records")
     keyed, columns = keyed_records(records, keys)
-    if not columns:  # no record has any field
-        keyed, columns = records.withColumn("__key_0", F.to_json("record")), ["__key_0"]
     write_envelope(dedupe_first(keyed, columns, ["ordinal"]), target, envelope, record="record")
     return dedupe_report(keyed, columns)

@@ -25,6 +25,15 @@ def content_hash(df: DataFrame) -> Column:
     return F.xxhash64(*[_hashable(f.name, f.dataType) for f in df.schema])
 
 
+#: Two hashes of all columns: together they tell rows apart, one alone orders ties.
+HASHES = ["__hash", "__check"]
+
+
+def _with_hashes(df: DataFrame) -> DataFrame:
+    check = F.xxhash64(F.lit("check"), *[_hashable(f.name, f.dataType) for f in df.schema])
+    return df.withColumns({"__hash": content_hash(df), "__check": check})
+
+
 def _in_order(df: DataFrame, order: Sequence[str | Column], keep: Sequence[str], name: str) -> DataFrame:
     """The columns of `keep` with the position of each row in (order, hash of all columns).
 
@@ -33,8 +42,8 @@ def _in_order(df: DataFrame, order: Sequence[str | Column], keep: Sequence[str],
     its rank in its partition plus the sizes of the partitions before. Only one count
     per partition is brought together.
     """
-    columns = [*[F.col(f"`{o}`") if isinstance(o, str) else o for o in order], F.col("__hash")]
-    ranged = df.withColumn("__hash", content_hash(df)).repartitionByRange(*columns).sortWithinPartitions(*columns)
+    columns = [*[F.col(f"`{o}`") if isinstance(o, str) else o for o in order], *map(F.col, HASHES)]
+    ranged = _with_hashes(df).repartitionByRange(*columns).sortWithinPartitions(*columns)
     numbered = checkpoint(ranged.select(*[f"`{c}`" for c in keep])).withColumn("__id", F.monotonically_increasing_id())
     part = F.shiftright("__id", 33)
     sizes = numbered.groupBy(part.alias("__part")).agg(F.count("*").alias("__size"))
@@ -122,18 +131,18 @@ def rows_between(df: DataFrame, order: Sequence[str | Column], skip: int, limit:
 def _sorted_between(df: DataFrame, order: Sequence[str | Column], skip: int, limit: int) -> DataFrame:
     """Rows skip .. skip+limit-1 in (order, hash of all columns), in that order.
 
-    Only the order columns and the hash are sorted and only the hash is stored, eight bytes a
-    row. The hashes of the page then pick its rows from a scan; rows that are equal in all
-    columns are taken as often as their hash is on the page.
+    Only the order columns and two hashes are sorted and only the hashes are stored, sixteen
+    bytes a row. The hashes of the page then pick its rows from a scan; rows that are equal in
+    all columns are taken as often as their hashes are on the page.
     """
-    places = _in_order(df, order, ["__hash"], "__position").where(
+    places = _in_order(df, order, HASHES, "__position").where(
         (F.col("__position") >= skip) & (F.col("__position") < skip + limit)
     )
-    wanted = places.groupBy("__hash").agg(F.collect_list("__position").alias("__positions"))
+    wanted = places.groupBy(*HASHES).agg(F.collect_list("__position").alias("__positions"))
     found = (
-        df.withColumn("__hash", content_hash(df))
-        .join(wanted, "__hash")
-        .groupBy("__hash")
+        _with_hashes(df)
+        .join(wanted, HASHES)
+        .groupBy(*HASHES)
         .agg(F.any_value(F.struct(*[f"`{c}`" for c in df.columns])).alias("__row"), F.any_value("__positions").alias("__positions"))
     )
     placed = found.select("__row.*", F.explode("__positions").alias("__position"))

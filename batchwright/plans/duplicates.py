@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from batchwright.operators import duplicates as D
+from batchwright.operators.position import with_row_position
 from batchwright.plans.registry import registered, table
 from batchwright.plans.rows import LINE_ORDER
 
@@ -42,6 +43,21 @@ def duplicate_groups(spark, sf_dir):
     return D.duplicate_groups(table(spark, sf_dir, "lineitem"), KEYS, "l_shipdate")
 
 
+@registered(
+    f"""
+    WITH p AS (SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY {', '.join(LINE_ORDER)}) - 1 AS position FROM lineitem)
+    SELECT l_orderkey, l_linenumber, position // 32 AS block, bit_or(1::BIGINT << (position % 32)) AS mask, count(*) AS n
+    FROM p WHERE (l_orderkey, l_linenumber) IN
+      (SELECT (l_orderkey, l_linenumber) FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)
+    GROUP BY ALL
+    """
+)
+def duplicate_positions(spark, sf_dir):
+    """Where the repeated lines stand in the ordered table, 32 positions a row."""
+    lines = with_row_position(table(spark, sf_dir, "lineitem"), LINE_ORDER)
+    return D.duplicate_positions(lines, KEYS, "position")
+
+
 @registered(
     f"""
     SELECT sum(n)::BIGINT AS total_records, count(*) AS unique_records, sum(n - 1)::BIGINT AS total_duplicates,

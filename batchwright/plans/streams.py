@@ -32,6 +32,23 @@ def stream_dedupe(spark, sf_dir):
     return spark.read.schema(kept.schema).parquet(out)
 
 
+@registered(
+    """
+    SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events)
+    WHERE rn = 1 AND date_trunc('millisecond', ts) < date_trunc('millisecond', (SELECT max(ts) FROM events)) - INTERVAL 2 DAY
+    """
+)
+def stream_first(spark, sf_dir):
+    """Each user's first event, told once the watermark, two days behind, has passed it."""
+    events = table(spark, sf_dir, "events")
+    inbox, out = scratch_path(spark, "inbox"), scratch_path(spark, "first")
+    events.repartition(4).write.parquet(inbox)
+    first = ingest.stream_first(ingest.read_stream(spark, inbox, events.schema), ["user_id"], "ts", "2 days", ["event_id"])
+    writer = first.writeStream.format("parquet").option("checkpointLocation", scratch_path(spark, "stream-checkpoint"))
+    writer.trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema(first.schema).parquet(out)
+
+
 @registered("SELECT event_id, user_id, value FROM events WHERE value > 20 AND md5('5:' || event_id) < '40000000000000000000000000000000'")
 def stream_filtered(spark, sf_dir):
     """A live feed, filtered, sampled by digest and cut to three columns, for a consumer that takes it batch by batch."""

@@ -50,6 +50,15 @@ def _json_ready(field: T.StructField) -> Column:
     return column.alias(field.name)
 
 
+NESTED = (T.StructType, T.ArrayType, T.MapType, T.VariantType)
+
+
+def _flat_indented(pretty: Column, margin: str) -> Column:
+    """A record as `to_json` prints it over several lines, as `indented` would: no space before colons, and a margin."""
+    colons = F.regexp_replace(pretty, r'(?m)^(  "(?:[^"\\]|\\.)*+") : ', "$1: ")
+    return F.concat(F.lit(margin), F.replace(colons, F.lit("\n"), F.lit(f"\n{margin}")))
+
+
 _TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[][{},:]|[^][{},:"\s]+')
 
 
@@ -85,20 +94,21 @@ def write_envelope(
     `indent` the documents are pretty-printed, for `layout="indented"`. A record is made of
     all columns, or is the VARIANT column `record` as it was read.
     """
+    # Flat records are indented by column expressions, others token by token in the tasks.
+    flat = not record and not any(isinstance(f.dataType, NESTED) for f in df.schema)
     if record:
         lines = df.select(F.to_json(record).alias("value"))
     else:
         fields = F.struct(*[_json_ready(f) for f in df.schema])
-        lines = df.select(F.to_json(fields, {"ignoreNullFields": "false"}).alias("value"))
+        text = F.to_json(fields, {"ignoreNullFields": "false", "pretty": str(indent and flat).lower()})
+        lines = df.select((_flat_indented(text, "    ") if indent and flat else text).alias("value"))
     fields = [f"{json.dumps(k)}: {json.dumps(v, ensure_ascii=False)}" for k, v in (envelope or {}).items()]
     separator = ",\n  " if indent else ", "
     head = ("{\n  " if indent else "{") + separator.join([*fields, json.dumps(key) + ": ["])
     end = "  ]\n}" if indent else "]}"
 
     def shown(text: str) -> str:
-        if not indent:
-            return text
-        return "    " + indented(text, "    ")
+        return "    " + indented(text, "    ") if indent and not flat else text
 
     def frame(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Add the head, the commas and the tail; holds back one record at a time."""

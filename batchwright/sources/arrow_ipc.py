@@ -48,7 +48,7 @@ from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 from pyspark.sql.types import StructType
 
 from batchwright.errors import DatasetNotFound, EmptyInput, InvalidData
-from batchwright.storage import data_files, filesystem
+from batchwright.storage import data_files, filesystem, qualified
 
 FORMAT = "arrow_ipc"
 TARGET_BYTES = 128 * 1024 * 1024
@@ -460,6 +460,7 @@ def read_arrow(
     scan, so name the wanted `columns` here and only their buffers are read. Filters are
     pushed down to it, for which the session's switch for Python sources is turned on."""
     spark.conf.set(PUSHDOWN, "true")
+    name, path = name or path, qualified(spark, path)
     schema = ipc_schema(path, layout, name)
     if columns:
         schema = StructType([schema[c] for c in columns])
@@ -480,7 +481,7 @@ def write_arrow(
     (path, rows, batches, bytes), one row per file."""
     spark = df.sparkSession
     spark.dataSource.register(ArrowIpcSource)
-    job = uuid.uuid4().hex
+    path, job = qualified(spark, path), uuid.uuid4().hex
     # Made here and not by the tasks, so that a task which outlives a failed job cannot
     # bring the folder back.
     fs, folder = filesystem(job_folder(path, job))

@@ -24,7 +24,7 @@ import re
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +35,26 @@ from batchwright.schema import empty_frame
 ORDINAL = "struct<file:string,block:bigint,row:bigint,piece:int>"
 
 
+class Rejects:
+    """Counts what one permissive read leaves out, while the first job over its rows runs."""
+
+    def __init__(self):
+        self._observed: Observation | None = None
+        self._files = 0
+
+    def watch(self, df: DataFrame, left_out: Column) -> DataFrame:
+        """`df`, whose rows are counted as rejects where `left_out` is true."""
+        self._observed = Observation()
+        return df.observe(self._observed, F.count_if(left_out).alias("rejected"))
+
+    def add(self, files: int) -> None:
+        self._files += files
+
+    def count(self) -> int:
+        """Lines, records and documents left out; to be asked once the rows have been used."""
+        return self._files + (self._observed.get["rejected"] if self._observed else 0)
+
+
 def read_envelope(
     spark: SparkSession,
     path: str,
@@ -43,12 +63,13 @@ def read_envelope(
     mode: str = "permissive",
     keep: Sequence[str] = (),
     glob: str | None = None,
+    rejects: Rejects | None = None,
 ) -> DataFrame:
     """Columns `ordinal`, `record` (variant) and, for documents, the envelope fields in
     `keep` as text.
 
     permissive  a missing path gives no rows, malformed documents and lines are skipped
-                (`corrupt_documents` lists them)
+                (`corrupt_documents` lists them, and `rejects` counts them in the read itself)
     failfast    a missing path raises DatasetNotFound, malformed input fails the job
     """
     if mode not in ("permissive", "failfast"):
@@ -57,11 +78,12 @@ def read_envelope(
         raise InvalidData(f"unknown envelope layout '{layout}'")
     if keep and (layout != "document" or key is None):
         raise InvalidData("envelope fields can only be kept from documents that have them")
+    rejects = rejects if rejects is not None and mode == "permissive" else None
     try:
         if layout == "document":
-            return _documents(spark, path, key, mode, keep, glob or "*")
+            return _documents(spark, path, key, mode, keep, glob or "*", rejects)
         read = _lines if layout == "lines" else _indented
-        return read(spark, path, key, mode, glob or "*")
+        return read(spark, path, key, mode, glob or "*", rejects)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -77,12 +99,15 @@ def _ordinal(file: Column, block: Column, row: Column, piece: Column) -> Column:
     ).alias("ordinal")
 
 
-def _documents(spark, path, key, mode, keep, glob) -> DataFrame:
+def _documents(spark, path, key, mode, keep, glob, rejects=None) -> DataFrame:
     if key is None:
         # A list is parsed element by element: no VARIANT holds the whole document.
         whole = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
         lists = F.from_json("value", T.ArrayType(T.VariantType()), {"mode": mode.upper()})
-        docs = whole.select(F.col("_metadata.file_path").alias("file"), lists.alias("list"))
+        empty = F.trim("value") == ""
+        docs = whole.select(F.col("_metadata.file_path").alias("file"), lists.alias("list"), empty.alias("empty"))
+        if rejects:
+            docs = rejects.watch(docs, F.col("list").isNull() & ~F.col("empty"))
         items = docs.select("file", F.posexplode("list").alias("row", "record"))
         return items.select(_ordinal(F.col("file"), F.lit(0), F.col("row"), F.lit(0)), "record")
     columns = [f"`{k}` string" for k in keep] + [f"`{key}` array<variant>", "_corrupt_record string"]
@@ -90,8 +115,12 @@ def _documents(spark, path, key, mode, keep, glob) -> DataFrame:
         spark.read.schema(", ".join(columns))
         .options(multiLine=True, mode=mode.upper(), pathGlobFilter=glob)
         .json(path)
-        .select(F.col("_metadata.file_path").alias("file"), *[f"`{k}`" for k in keep], f"`{key}`")
     )
+    if rejects:
+        documents = documents.select("*", F.col("_metadata.file_path").alias("file"))
+        documents = rejects.watch(documents, F.col("_corrupt_record").isNotNull() & F.col(f"`{key}`").isNull())
+    else:
+        documents = documents.select(F.col("_metadata.file_path").alias("file"), *[f"`{k}`" for k in keep], f"`{key}`")
     exploded = documents.select("*", F.posexplode(f"`{key}`").alias("row", "record"))
     ordinal = _ordinal(F.col("file"), F.lit(0), F.col("row"), F.lit(0))
     return exploded.select(ordinal, "record", *[f"`{k}`" for k in keep])
@@ -140,8 +169,10 @@ def _classified_lines(raw: DataFrame, key: str | None) -> DataFrame:
     return parsed.select("*", kind.alias("kind"))
 
 
-def _lines(spark, path, key, mode, glob) -> DataFrame:
+def _lines(spark, path, key, mode, glob, rejects=None) -> DataFrame:
     lines = _classified_lines(_raw_lines(spark, path, glob), key)
+    if rejects:
+        lines = rejects.watch(lines, F.col("kind") == "reject")
     if mode == "failfast":
         _require_tails(spark, path, key, glob)
         message = F.concat(F.lit("[MALFORMED_RECORD] neither a record nor an envelope's head or tail: "), "file", F.lit(": "), "text")
@@ -211,12 +242,15 @@ def _indented_pieces(spark, path, key, glob) -> DataFrame:
     )
 
 
-def _indented(spark, path, key, mode, glob) -> DataFrame:
+def _indented(spark, path, key, mode, glob, rejects=None) -> DataFrame:
     pieces = _indented_pieces(spark, path, key, glob)
     if mode == "failfast":
         _require_lists(spark, path, key, glob)
         return pieces.select("ordinal", F.parse_json("text").alias("record"))
-    read = _without_cut_piece(spark, path, key, glob, pieces).select("ordinal", F.try_parse_json("text").alias("record"))
+    whole = _without_cut_piece(spark, path, key, glob, pieces, rejects)
+    read = whole.select("ordinal", F.try_parse_json("text").alias("record"))
+    if rejects:
+        read = rejects.watch(read, F.col("record").isNull())
     return read.filter(F.col("record").isNotNull())
 
 
@@ -242,14 +276,20 @@ def open_ended(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return depth.where("braces <> 0 OR brackets <> 0 OR string").select("file", "braces", "brackets")
 
 
-def _without_cut_piece(spark, path, key, glob, pieces: DataFrame) -> DataFrame:
+def _without_cut_piece(spark, path, key, glob, pieces: DataFrame, rejects: Rejects | None = None) -> DataFrame:
     """Pieces without the last one of a file that is cut off in a record: a closing brace would make a record of it that never was.
 
-    In a record more braces are open than the document's own, and its list is.
+    In a record more braces are open than the document's own, and its list is. Files that are
+    not closed are added to the rejects.
     """
-    cut = open_ended(spark, path, glob).where((F.col("braces") > (0 if key is None else 1)) & (F.col("brackets") > 0))
-    if cut.first() is None:
+    ended = open_ended(spark, path, glob)
+    in_record = (F.col("braces") > (0 if key is None else 1)) & (F.col("brackets") > 0)
+    found = ended.agg(F.count("*").alias("files"), F.count_if(in_record).alias("cut")).first()
+    if rejects:
+        rejects.add(found["files"])
+    if not found["cut"]:
         return pieces
+    cut = ended.where(in_record)
     place = F.struct("ordinal.block", "ordinal.row", "ordinal.piece")
     fragments = pieces.join(cut.select(F.col("file").alias("cut_file")), F.col("ordinal.file") == F.col("cut_file"), "left_semi")
     last = fragments.groupBy(F.col("ordinal.file").alias("cut_file")).agg(F.max(place).alias("last"))

@@ -53,6 +53,15 @@ def _hadoop(spark: SparkSession, path: str):
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path without a scheme with that of Spark's default file system; local ones stay as they are."""
+    if ":/" in path:
+        return path
+    fs, place = _hadoop(spark, path)
+    full = place.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString()
+    return path if full.startswith("file:") else full
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether anything is at `path`, as Spark resolves it."""
     fs, place = _hadoop(spark, path)

@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import AtomicType, StructType, TimestampNTZType
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.types import AtomicType, BooleanType, LongType, StructField, StructType, TimestampNTZType
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 from batchwright import storage
 from batchwright.errors import EmptyInput
@@ -53,16 +56,19 @@ def stream_append(
     return sdf.writeStream.foreachBatch(one_batch).option("checkpointLocation", location).trigger(availableNow=True).start()
 
 
-def first_in_batches(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The first row of each key in every Arrow batch: a hot key sends one row a batch to its exchange, not all.
+def first_in_batches(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """The first row of each key in every Arrow batch, as the rows come or by the columns of `order`:
+    a hot key sends one row a batch to its exchange, not all.
 
     Keys that Arrow cannot group, such as structs and arrays, leave the rows as they are.
     """
-    if not all(isinstance(df.schema[k].dataType, AtomicType) for k in keys):
+    if not all(isinstance(df.schema[k].dataType, AtomicType) for k in [*keys, *order]):
         return df
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if order:
+                batch = batch.take(pc.sort_indices(batch, sort_keys=[(o, "ascending") for o in order]))
             places = pa.table([*(batch.column(k) for k in keys), pa.array(range(batch.num_rows))], names=[*map(str, range(len(keys))), "place"])
             first = places.group_by([str(i) for i in range(len(keys))]).aggregate([("place", "min")])["place_min"]
             yield batch.take(first.combine_chunks().sort())
@@ -87,6 +93,70 @@ def stream_dedupe(
     return sdf.dropDuplicates(list(keys))
 
 
+def stream_first(
+    sdf: DataFrame, keys: Sequence[str], event_time: str, delay: str, tie: Sequence[str] = (), keep_ms: int = 0
+) -> DataFrame:
+    """The row of each key with the earliest event time, by `tie` where several have it (T4).
+
+    A row is told once no earlier one can come, which is when the watermark, `delay` behind the
+    latest event time seen, has passed it. `keep_ms` later its key is forgotten: until then
+    further rows of the key are dropped, and after that they count as a new first. So state is
+    one row per key of the last `delay` and `keep_ms`. Rows without an event time are left out.
+
+    Each task sends one row per key and Arrow batch to the exchange. State needs the RocksDB
+    store, which is set for the session.
+    """
+    sdf.sparkSession.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    names, told_schema = sdf.columns, StructType([StructField("told", BooleanType()), StructField("at", LongType()), *sdf.schema])
+    clock = F.col(f"`{event_time}`").cast("timestamp")
+    timed = sdf.where(F.col(f"`{event_time}`").isNotNull()).withColumns({"__clock": clock, "__at": F.unix_micros(clock)})
+    order = ["__at", *tie]
+    thin = first_in_batches(timed, keys, order).withWatermark("__clock", delay)
+
+    class FirstByTime(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.first = handle.getValueState("first", told_schema)
+
+        def handleInputRows(self, key, rows, timerValues):
+            held = self.first.get() if self.first.exists() else None
+            if held is not None and held[0]:
+                return iter(())
+
+            def place(row, at):
+                return at, [(row[t] is None, row[t]) for t in tie]
+
+            best = None if held is None else dict(zip(names, held[2:]))
+            best_at = None if held is None else held[1]
+            for row in rows:
+                if best is None or place(row, row["__at"]) < place(best, best_at):
+                    best, best_at = {n: row[n] for n in names}, row["__at"]
+            if best is not None and (held is None or best_at != held[1]):
+                if held is not None:
+                    self.handle.deleteTimer(held[1] // 1000 + 1)
+                self.handle.registerTimer(best_at // 1000 + 1)
+            if best is not None:
+                self.first.update((False, best_at, *[best[n] for n in names]))
+            return iter(())
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            held = self.first.get() if self.first.exists() else None
+            if held is None or held[0]:
+                self.first.clear()
+                return iter(())
+            if keep_ms > 0:
+                self.first.update((True, held[1], *[None] * len(names)))
+                self.handle.registerTimer(held[1] // 1000 + 1 + keep_ms)
+            else:
+                self.first.clear()
+            return iter([Row(**dict(zip(names, held[2:])))])
+
+        def close(self):
+            pass
+
+    return thin.groupBy(*[f"`{k}`" for k in keys]).transformWithState(FirstByTime(), sdf.schema, "Append", "EventTime")
+
+
 def stream_filter(sdf: DataFrame, *conditions, columns: Sequence[str] | None = None) -> DataFrame:
     """Filtered and projected feed for a sequential consumer."""
     for c in conditions:

@@ -140,3 +140,12 @@ def test_J1_null_safe(spark):
     df = spark.createDataFrame([(1, None), (None, None), (2, "x")], "a bigint, b string")
     found = rows_with_keys(df, spark.createDataFrame([(None, None), (1, None)], "a bigint, b string"), ["a", "b"])
     assert rows(found) == sorted([(1, None), (None, None)], key=repr)
+
+
+def test_D4_positions_of_any_size(spark):
+    df = spark.range(0, 5000, 1, 4).selectExpr("if(id % 10 = 0, id, if(id % 7 = 0, null, 1)) AS k", "id")
+    masks = D.duplicate_positions(df, ["k"], "id")
+    assert {r.k for r in masks.select("k").distinct().collect()} == {None, 1}
+    assert masks.count() <= 2 * (5000 // D.MASK_BITS + 1)
+    assert rows(D.listed_positions(masks, "id")) == rows(df.filter("k IS NULL OR k = 1"))
+    assert D.duplicate_positions(df.limit(0), ["k"], "id").count() == 0

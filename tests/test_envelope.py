@@ -80,6 +80,14 @@ def test_W5_same_text_as_a_plain_dump(spark, tmp_path):
     assert part.read_text(encoding="utf-8").rstrip("\n") == json.dumps(want, ensure_ascii=False, indent=2)
 
 
+def test_W5_flat_records_with_odd_texts(spark, tmp_path):
+    value = [{"a b": 'x" : y', "t": 'line\nbreak\n  "k" : {', "n": None, "x": 1.5}, {"a b": "\\", "t": "", "n": 3, "x": None}]
+    df = spark.createDataFrame([tuple(v.values()) for v in value], "`a b` string, t string, n bigint, x double").coalesce(1)
+    write_envelope(df, str(tmp_path / "out"), indent=True)
+    (part,) = (tmp_path / "out").glob("part-*")
+    assert part.read_text(encoding="utf-8").rstrip("\n") == json.dumps({"value": value}, indent=2)
+
+
 def test_W5_empty(spark, tmp_path):
     write_envelope(spark.range(0), str(tmp_path / "out"))
     assert E.read_envelope(spark, str(tmp_path / "out"), layout="lines").count() == 0

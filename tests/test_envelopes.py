@@ -6,6 +6,7 @@ from conftest import rows
 from batchwright.errors import EmptyInput, InvalidData, SchemaNotFound
 from batchwright.operators import envelopes as W
 from batchwright.schema import get_schema, read_table
+from batchwright.sources import envelope as E
 from batchwright.sources.envelope import envelope_fields, read_envelope
 
 WELLS = get_schema("well_production")
@@ -115,3 +116,26 @@ def test_W9_rejects_of_indented_documents_are_counted(spark, tmp_path):
     (tmp_path / "in" / "b.json").write_text(text.replace('"field_code": ', '"field_code": 1')[: text.index("F2")])
     result = W.load_records(spark, str(tmp_path / "in"), str(tmp_path / "t"), layout="indented")
     assert (result.inserted, result.rejected) == (6, 1)
+
+
+@pytest.mark.parametrize("key", ["value", None])
+def test_W9_rejected_documents_are_counted_as_the_batch_is_staged(spark, tmp_path, monkeypatch, key):
+    for name in ("rejected_lines", "rejected_pieces", "corrupt_documents"):
+        monkeypatch.setattr(E, name, None)
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        value = [record(2 * i), record(2 * i + 1)]
+        save(tmp_path / "in" / f"{i}.json", {"value": value} if key else value)
+    (tmp_path / "in" / "cut.json").write_text("{" if key else "nothing")
+    (tmp_path / "in" / "empty.json").write_text("")
+    result = W.load_records(spark, str(tmp_path / "in"), str(tmp_path / "t"), key=key)
+    assert (result.inserted, result.rejected) == (6, 1)
+    assert W.load_records(spark, str(tmp_path / "in" / "1.json"), str(tmp_path / "t"), key=key, mode="failfast").rejected == 0
+
+
+def test_D2_free_form_records_have_one_key_column(spark, tmp_path):
+    value = [{f"f{i % 300}": 1, "n": {"b": 1, "a": [2]}} for i in range(450)] + [{"n": {"a": [2], "b": 1}, "f7": 1, "z": None}]
+    source = save(tmp_path / "x.json", {"value": value})
+    keyed, columns = W.keyed_records(read_envelope(spark, source))
+    assert columns == ["__key_0"] and keyed.select("__key_0").distinct().count() == 300
+    assert tuple(W.dedupe_envelope(spark, source, str(tmp_path / "out")).first())[:3] == (451, 300, 151)

@@ -251,3 +251,26 @@ def test_L4_deep_page_sorts_a_part_only(spark, tmp_path):
     assert near.count() <= 2000 and passed <= 100_000
     assert "GreaterThanOrEqual(x" in near._jdf.queryExecution().executedPlan().toString()
     assert [r.x for r in Q.page(df, ["x"], 100_000, 50).collect()] == sorted(i * 7919 % 200003 for i in range(200_000))[100_000:100_050]
+
+
+def test_L4_rows_of_one_hash_stay_apart(spark, monkeypatch):
+    from batchwright.operators import position
+
+    monkeypatch.setattr(position, "content_hash", lambda df: F.lit(7).cast("bigint"))
+    df = spark.range(0, 200, 1, 3).selectExpr("id", "'x' AS t")
+    pages = [position.rows_between(df, ["t"], skip, 50).collect() for skip in (0, 50, 100, 150)]
+    assert sorted(r.id for page in pages for r in page) == list(range(200))
+
+
+def test_paths_are_on_the_default_file_system(spark):
+    from batchwright.storage import qualified
+
+    assert qualified(spark, "/a/b") == "/a/b" and qualified(spark, "s3a://x/y") == "s3a://x/y"
+    hadoop = spark._jsc.hadoopConfiguration()
+    before = hadoop.get("fs.defaultFS")
+    hadoop.set("fs.defaultFS", "viewfs:///")
+    hadoop.set("fs.viewfs.mounttable.default.link./a", "file:///tmp")
+    try:
+        assert qualified(spark, "/a/b").startswith("viewfs:/")
+    finally:
+        hadoop.set("fs.defaultFS", before)

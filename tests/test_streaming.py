@@ -1,3 +1,5 @@
+import datetime as dt
+
 import pytest
 from conftest import rows
 
@@ -78,6 +80,29 @@ def test_T4_hot_key_is_thinned_before_the_exchange(spark, setting):
     assert ingest.first_in_batches(nested, ["k"]).count() == 2
 
 
+def drained(spark, sdf, out, checkpoint):
+    sdf.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema(sdf.schema).parquet(out)
+
+
+def test_T4_first_by_event_time(spark, tmp_path):
+    """Told behind the watermark; an earlier row replaces a later one; a key comes back once it is forgotten."""
+    inbox, out, schema = str(tmp_path / "inbox"), str(tmp_path / "out"), "k string, ts timestamp_ntz, v bigint"
+
+    def run(*sent):
+        data = [(k, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m) if m is not None else None, v) for k, m, v in sent]
+        spark.createDataFrame(data, schema).repartition(3).write.mode("append").parquet(inbox)
+        stream = ingest.read_stream(spark, inbox, spark.createDataFrame([], schema).schema)
+        first = ingest.stream_first(stream, ["k"], "ts", "10 minutes", ["v"], keep_ms=30 * 60_000)
+        return sorted((r.k or "", r.v) for r in drained(spark, first, out, str(tmp_path / "c")).collect())
+
+    assert run(("a", 5, 1), ("b", 6, 2), ("a", 6, 3), (None, 3, 4), ("n", None, 5)) == []
+    assert run(("a", 4, 6), ("b", 6, 1), ("c", 12, 7)) == []
+    assert run(("c", 20, 8), ("a", 13, 9)) == [("", 4), ("a", 6), ("b", 1)]
+    assert run(("a", 15, 10), ("d", 200, 11)) == [("", 4), ("a", 6), ("b", 1), ("c", 7)]
+    assert run(("a", 195, 12), ("d", 400, 13)) == [("", 4), ("a", 6), ("a", 12), ("b", 1), ("c", 7), ("d", 11)]
+
+
 def test_T1_micro_batches_stay_cheap(spark, tmp_path):
     """Fifty small appends: the segments stay few, and the last appends open no more files than the first ones."""
     from batchwright import segments
