@@ -18,6 +18,8 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -203,7 +205,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[list[tuple[str, str]]]:
+def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str]]]:
     """The items as (item_id text, text) in blocks of about `block_bytes`, one at a time.
 
     Null and empty texts have no words and are left out. Items with a null id hit as all
@@ -264,19 +266,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     hits nothing. Every row is answered by itself, also where a doc_id is null or repeated.
     """
     base = docs.select("doc_id", whole_text().alias("text"))
-    blocks = list(item_blocks(benchmark, block_bytes))
-    if len(blocks) == 1:
-        return block_hits(base, blocks[0], window).drop("text")
+    only, blocks = _one_or_more(item_blocks(benchmark, block_bytes))
+    if only is not None:
+        return block_hits(base, only, window).drop("text")
     numbered = materialize(base.withColumn("row_number", F.monotonically_increasing_id()), "numbered-documents")
     found = _hits_of_blocks(numbered.select("row_number", "text"), blocks, window)
     return numbered.select("row_number", "doc_id").join(found, "row_number").drop("row_number")
 
 
-def _hits_of_blocks(numbered: DataFrame, blocks: list[list[tuple[str, str]]], window: int) -> DataFrame:
-    """row_number, n_words, spans, items of each row of (row_number, text): what all blocks together hit."""
-    found = block_hits(numbered, blocks[0], window).drop("text")
-    for rows in blocks[1:]:
-        found = found.unionByName(block_hits(numbered, rows, window).drop("text"))
+def _one_or_more(blocks: Iterator[list[tuple[str, str]]]) -> tuple[list[tuple[str, str]] | None, Iterator[list[tuple[str, str]]]]:
+    """(the block, nothing) if there is only one, else (None, all blocks); no more than two are held."""
+    blocks = iter(blocks)
+    first, second = next(blocks), next(blocks, None)
+    return (first, iter(())) if second is None else (None, chain([first, second], blocks))
+
+
+def _hits_of_blocks(numbered: DataFrame, blocks: Iterator[list[tuple[str, str]]], window: int) -> DataFrame:
+    """row_number, n_words, spans, items of each row of (row_number, text): what all blocks together hit.
+
+    A block leaves the driver for its broadcast before the next one comes.
+    """
+    found = None
+    for rows in blocks:
+        hits = block_hits(numbered, rows, window).drop("text")
+        found = hits if found is None else found.unionByName(hits)
     together = found.groupBy("row_number").agg(
         F.max("n_words").alias("n_words"),
         F.flatten(F.collect_list("spans")).alias("spans"),
@@ -322,9 +335,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     they are. Hits are those of the whole benchmark on the text as it is given, however many
     blocks it needs.
     """
-    blocks = list(item_blocks(benchmark))
-    if len(blocks) == 1:
-        return _cut_block(docs, blocks[0], window, coverage)
+    only, blocks = _one_or_more(item_blocks(benchmark))
+    if only is not None:
+        return _cut_block(docs, only, window, coverage)
     # Two plain names that the table does not have itself.
     number, spans = (next(n for n in (base + "_" * k for k in range(len(docs.columns) + 1)) if n not in docs.columns)
                      for base in ("row_number", "spans"))
