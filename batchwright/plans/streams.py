@@ -4,18 +4,33 @@ from batchwright.operators.query import sample_by_digest
 from batchwright.plans.appends import EVENTS, KEYS
 from batchwright.plans.registry import registered, table
 from batchwright.schema import read_table
-from batchwright.storage import scratch_path
+from batchwright.storage import scratch_path, total_bytes
 from batchwright.streaming import ingest
 
+FILES = 4
+ROWS_PER_FILE = 1_000_000
+BYTES_PER_FILE = 64 << 20
+
+
+def filled_inbox(spark, sf_dir, name):
+    """A table dealt evenly over the files of a new inbox: its path and the number of files that are half of them.
+
+    There are FILES at least, and enough for one to hold ROWS_PER_FILE rows and BYTES_PER_FILE stored
+    bytes of the table at most, so the task that writes a file does not grow with the table.
+    """
+    rows, inbox = table(spark, sf_dir, name), scratch_path(spark, "inbox")
+    files = max(FILES, -(-rows.count() // ROWS_PER_FILE), -(-total_bytes(spark, f"{sf_dir}/{name}.parquet") // BYTES_PER_FILE))
+    rows.repartition(files).write.parquet(inbox)
+    return inbox, -(-files // 2)
+
 
 @registered("SELECT * FROM events")
 def stream_append(spark, sf_dir):
-    """Four files of events, each in two of the files' worth of micro-batches, into a keyed table."""
+    """Files of events, in micro-batches of half of them each, into a keyed table."""
     events = table(spark, sf_dir, "events")
-    inbox = scratch_path(spark, "inbox")
-    events.repartition(4).write.parquet(inbox)
+    inbox, half = filled_inbox(spark, sf_dir, "events")
     target = scratch_path(spark, "events")
-    stream = ingest.read_stream(spark, inbox, events.schema, max_files=2)
+    stream = ingest.read_stream(spark, inbox, events.schema, max_files=half)
     ingest.stream_append(stream, target, EVENTS).awaitTermination()
     return read_table(spark, EVENTS, target)
 
@@ -23,9 +38,8 @@ def stream_append(spark, sf_dir):
 @registered("SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem")
 def stream_dedupe(spark, sf_dir):
     lineitem = table(spark, sf_dir, "lineitem")
-    inbox = scratch_path(spark, "inbox")
-    lineitem.repartition(4).write.parquet(inbox)
-    kept = ingest.stream_dedupe(ingest.read_stream(spark, inbox, lineitem.schema, max_files=2), KEYS).select(*KEYS)
+    inbox, half = filled_inbox(spark, sf_dir, "lineitem")
+    kept = ingest.stream_dedupe(ingest.read_stream(spark, inbox, lineitem.schema, max_files=half), KEYS).select(*KEYS)
     out = scratch_path(spark, "lines")
     writer = kept.writeStream.format("parquet").option("checkpointLocation", scratch_path(spark, "stream-checkpoint"))
     writer.trigger(availableNow=True).start(out).awaitTermination()
@@ -41,8 +55,8 @@ def stream_dedupe(spark, sf_dir):
 def stream_first(spark, sf_dir):
     """Each user's first event, told once the watermark, two days behind, has passed it."""
     events = table(spark, sf_dir, "events")
-    inbox, out = scratch_path(spark, "inbox"), scratch_path(spark, "first")
-    events.repartition(4).write.parquet(inbox)
+    inbox, _ = filled_inbox(spark, sf_dir, "events")
+    out = scratch_path(spark, "first")
     first = ingest.stream_first(ingest.read_stream(spark, inbox, events.schema), ["user_id"], "ts", "2 days", ["event_id"])
     writer = first.writeStream.format("parquet").option("checkpointLocation", scratch_path(spark, "stream-checkpoint"))
     writer.trigger(availableNow=True).start(out).awaitTermination()
@@ -53,9 +67,8 @@ def stream_first(spark, sf_dir):
 def stream_filtered(spark, sf_dir):
     """A live feed, filtered, sampled by digest and cut to three columns, for a consumer that takes it batch by batch."""
     events = table(spark, sf_dir, "events")
-    inbox = scratch_path(spark, "inbox")
-    events.repartition(4).write.parquet(inbox)
-    feed = ingest.stream_filter(ingest.read_stream(spark, inbox, events.schema, max_files=2), "value > 20")
+    inbox, half = filled_inbox(spark, sf_dir, "events")
+    feed = ingest.stream_filter(ingest.read_stream(spark, inbox, events.schema, max_files=half), "value > 20")
     feed = sample_by_digest(feed, ["event_id"], 0.25, 5).select("event_id", "user_id", "value")
     out = scratch_path(spark, "feed")
     writer = feed.writeStream.format("parquet").option("checkpointLocation", scratch_path(spark, "stream-checkpoint"))

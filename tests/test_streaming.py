@@ -2,8 +2,11 @@ import datetime as dt
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
+from batchwright import storage
 from batchwright.operators.append import bulk_append
+from batchwright.plans import streams
 from batchwright.plans.appends import EVENTS
 from batchwright.schema import read_table
 from batchwright.streaming import ingest
@@ -114,3 +117,32 @@ def test_T1_micro_batches_stay_cheap(spark, tmp_path):
         bulk_append(events.where(f"event_id % 50 = {i}"), path, EVENTS, "name", on_conflict="skip")
         most = max(most, len(segments.segments(spark, path)))
     assert most <= 8 and read_table(spark, EVENTS, path).count() == 2000
+
+
+@pytest.mark.parametrize("bound", ["ROWS_PER_FILE", "BYTES_PER_FILE"])
+@pytest.mark.parametrize("name", ["stream_append", "stream_dedupe", "stream_first", "stream_filtered"])
+def test_inbox_files_grow_in_number_not_in_rows(spark, tmp_path, monkeypatch, name, bound):
+    """2,000 rows at 100 a file, or at a twentieth of the bytes: 20 files, where four would hold 500 rows each."""
+    spark.range(0, 2000, 1, 2).selectExpr(
+        "if(id % 10 = 0, null, id div 3) AS l_orderkey", "int(id % 2) AS l_linenumber", "id AS l_partkey"
+    ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(0, 2000, 1, 2).selectExpr(
+        "id AS event_id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, id) AS ts", "id % 50 AS user_id", "'e' AS event_type",
+        "double(id % 40) AS value", "'{}' AS props",
+    ).write.parquet(str(tmp_path / "events.parquet"))
+    source = "lineitem" if name == "stream_dedupe" else "events"
+    most = 100 if bound == "ROWS_PER_FILE" else -(-storage.total_bytes(spark, str(tmp_path / f"{source}.parquet")) // 20)
+    monkeypatch.setattr(streams, bound, most, raising=False)
+    monkeypatch.setattr(streams, "scratch_path", lambda _, label: str(tmp_path / label))
+    got = getattr(streams, name)(spark, str(tmp_path))
+    files = spark.read.parquet(str(tmp_path / "inbox")).groupBy(F.input_file_name()).count().collect()
+    assert len(files) == 20 and max(f["count"] for f in files) <= 110
+    given = spark.read.parquet(str(tmp_path / f"{source}.parquet"))
+    if name == "stream_dedupe":
+        assert rows(got) == rows(given.select("l_orderkey", "l_linenumber").distinct())
+    elif name == "stream_append":
+        assert rows(got) == rows(given)
+    elif name == "stream_first":
+        assert got.count() > 0 and rows(got) == rows(given.where(f"event_id < {min(50, got.count())}"))
+    else:
+        assert got.count() > 0 and rows(got.join(given, ["event_id", "user_id", "value"], "left_anti")) == []
