@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from pyspark.sql.types import AtomicType, BooleanType, LongType, StructField, StructType, TimestampNTZType
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 from batchwright import storage
 from batchwright.errors import EmptyInput
@@ -81,7 +82,11 @@ def stream_dedupe(
 ) -> DataFrame:
     """One row per key (T4). With an event time and a delay, state is dropped once the
     watermark has passed; without them it grows with the number of keys, which suits
-    bounded input only. Rows that a batch repeats are dropped before they are exchanged."""
+    bounded input only. Rows that a batch repeats are dropped before they are exchanged.
+
+    State needs the RocksDB store, which is set for the session: the keys lie on disk, where the
+    default store keeps two versions of them in memory."""
+    sdf.sparkSession.conf.set(STATE_STORE, ROCKSDB)
     sdf = first_in_batches(sdf, keys)
     if event_time and delay:
         # A watermark needs a timestamp with a zone; a zone-less one is cast for it.
@@ -106,7 +111,7 @@ def stream_first(
     Each task sends one row per key and Arrow batch to the exchange. State needs the RocksDB
     store, which is set for the session.
     """
-    sdf.sparkSession.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    sdf.sparkSession.conf.set(STATE_STORE, ROCKSDB)
     names, told_schema = sdf.columns, StructType([StructField("told", BooleanType()), StructField("at", LongType()), *sdf.schema])
     clock = F.col(f"`{event_time}`").cast("timestamp")
     timed = sdf.where(F.col(f"`{event_time}`").isNotNull()).withColumns({"__clock": clock, "__at": F.unix_micros(clock)})

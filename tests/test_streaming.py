@@ -146,3 +146,24 @@ def test_inbox_files_grow_in_number_not_in_rows(spark, tmp_path, monkeypatch, na
         assert got.count() > 0 and rows(got) == rows(given.where(f"event_id < {min(50, got.count())}"))
     else:
         assert got.count() > 0 and rows(got.join(given, ["event_id", "user_id", "value"], "left_anti")) == []
+
+
+def test_T4_dedupe_state_lies_on_disk(spark, setting, tmp_path):
+    """The RocksDB store holds the keys; a checkpoint begun with the default store goes on with that one."""
+    inbox = str(tmp_path / "inbox")
+    setting(ingest.STATE_STORE, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+
+    def run(where, numbers, started=None):
+        numbers.selectExpr("if(id = 3, null, id) AS k").write.mode("append").parquet(inbox)
+        stream = ingest.read_stream(spark, inbox, spark.range(1).selectExpr("id AS k").schema)
+        kept = started(stream) if started else ingest.stream_dedupe(stream, ["k"])
+        out = kept.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / f"{where}-c"))
+        query = out.trigger(availableNow=True).start(str(tmp_path / where))
+        query.awaitTermination()
+        found = sorted(-1 if r.k is None else r.k for r in spark.read.parquet(str(tmp_path / where)).collect())
+        return found, any(k.startswith("rocksdb") for p in query.recentProgress for o in p.stateOperators for k in o.customMetrics)
+
+    assert run("old", spark.range(5), lambda stream: stream.dropDuplicates(["k"])) == ([-1, 0, 1, 2, 4], False)
+    assert run("old", spark.range(8)) == ([-1, 0, 1, 2, 4, 5, 6, 7], False)
+    assert run("new", spark.range(9)) == ([-1, 0, 1, 2, 4, 5, 6, 7, 8], True)
+    assert run("new", spark.range(10)) == ([-1, 0, 1, 2, 4, 5, 6, 7, 8, 9], True)
